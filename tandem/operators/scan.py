@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tandem.runtime import shuffle_partitions, stage
 
-MARKS = [("_pid", T.IntegerType()), ("_local", T.LongType()), ("_run", T.LongType()), ("_head", T.BooleanType()), ("_tail", T.BooleanType()), ("_open", T.BooleanType())]
+MARKS = (("pid", T.IntegerType()), ("local", T.LongType()), ("run", T.LongType()), ("head", T.BooleanType()), ("tail", T.BooleanType()), ("open", T.BooleanType()))
 
 
 def _differs(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
@@ -34,7 +34,7 @@ def _differs(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return out
 
 
-def _number(group: list[str], copies: list[str], value: str | None, keep: int | None):
+def _number(group: list[str], copies: list[str], value: str | None, keep: int | None, tag: str):
     """The streaming pass.  A row is held back until the next is known, so that the last row of each
     group can be marked; the row in hand travels in front of the next batch."""
 
@@ -67,7 +67,7 @@ def _number(group: list[str], copies: list[str], value: str | None, keep: int |
             if last:
                 opened[gid == gid[-1]] = True
             cols = [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(pos.astype(np.int64)), pa.array(run_.astype(np.int64)), pa.array(head), pa.array(tail), pa.array(opened)]
-            out = pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *(m for m, _ in MARKS)])
+            out = pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *(tag + m for m, _ in MARKS)])
             if keep is not None:
                 out = out.filter(pa.array((pos <= keep) | tail))
             return out
@@ -105,30 +105,35 @@ def ranged_positions(
     number, null counts as 0), ``running`` (the sum up to and with the row).
 
     ``copies``: columns; adjacent rows equal in all of them count as one, so ``order`` must bring
-    copies together.  ``keep``: only positions up to it come out.  Nulls in the group form a group."""
+    copies together.  ``keep``: only positions up to it come out.  Nulls in the group form a group.
+    Columns of the input that are called ``position`` or ``running`` are replaced; all others stay."""
     spark = df.sparkSession
     n = shuffle_partitions(spark)
+    df = df.drop(*(c for c in ("position", "running") if c in df.columns and c not in group and c != value))
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in df.columns):
+        tag += "_"
     keys = [*(F.col(c).asc_nulls_first() for c in group), *order]
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*df.schema.fields, *(T.StructField(m, t) for m, t in MARKS)])
-    passed = stage(ranged.mapInArrow(_number(group, copies or [], value, keep), schema), label)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(tag + m, t) for m, t in MARKS)])
+    passed = stage(ranged.mapInArrow(_number(group, copies or [], value, keep, tag), schema), label)
+    mark = lambda m: F.col(tag + m)
     # Groups that end inside their partition and begin there need nothing.  A partition's last group
     # is open: it may go on in the next one.  Its total is added to the head group of later partitions.
-    border = passed.filter("_tail AND (_head OR _open)").select(*group, "_pid", "_local", "_run", "_head")
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    border = passed.filter(mark("tail") & (mark("head") | mark("open"))).select(*group, *(mark(m) for m in ("pid", "local", "run", "head")))
+    before = Window.partitionBy(*group).orderBy(mark("pid")).rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        border.withColumn("_local0", F.sum("_local").over(before))
-        .withColumn("_run0", F.sum("_run").over(before))
-        .filter("_head AND _local0 IS NOT NULL")
-        .select(F.col("_pid").alias("_hpid"), "_local0", "_run0")
+        border.select(mark("pid").alias(tag + "hpid"), mark("head"), F.sum(mark("local")).over(before).alias(tag + "local0"), F.sum(mark("run")).over(before).alias(tag + "run0"))
+        .filter(mark("head") & mark("local0").isNotNull())
+        .drop(tag + "head")
     )
     # at most one row a partition, so the broadcast is bounded by the number of partitions
-    joined = passed.join(F.broadcast(shift), F.col("_head") & (F.col("_pid") == F.col("_hpid")), "left")
-    out = joined.withColumn("position", F.col("_local") + F.coalesce("_local0", F.lit(0)))
+    joined = passed.join(F.broadcast(shift), mark("head") & (mark("pid") == mark("hpid")), "left")
+    out = joined.withColumn("position", mark("local") + F.coalesce(mark("local0"), F.lit(0)))
     if keep is not None:
         out = out.filter(F.col("position") <= keep)
     names = [*(F.col(f"`{c}`") for c in df.columns), "position"]
     if value is not None:
-        out = out.withColumn("running", F.col("_run") + F.coalesce("_run0", F.lit(0)))
+        out = out.withColumn("running", mark("run") + F.coalesce(mark("run0"), F.lit(0)))
         names.append("running")
     return out.select(*names)
