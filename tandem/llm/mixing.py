@@ -95,6 +95,9 @@ def mix(items: DataFrame, targets: dict[str, tuple[float, int]], p: MixParams |
     a repeated id is one more item."""
     p = p or MixParams()
     spark = items.sparkSession
+    if not targets:
+        none = spark.createDataFrame([], "shard int, slot int, source string, doc_id long, repeat int, tokens long")
+        return none, spark.createDataFrame([], "source string, targetshare double, dueshare double, share double, maxrepeats int, repeats int, items long, tokens long, available long")
     wanted = items.filter(F.col("source").isin(*targets) & F.col("doc_id").isNotNull() & (F.col("tokens") > 0)).select("source", "doc_id", "tokens")
     rows = stage(wanted, "sources")
     held = {r.source: r.held for r in rows.groupBy("source").agg(F.sum("tokens").alias("held")).collect()}  # one row a target
@@ -133,10 +136,10 @@ def mix(items: DataFrame, targets: dict[str, tuple[float, int]], p: MixParams |
     mixture = drawn.withColumn("slot", F.row_number().over(order) - 1).select("shard", "slot", "source", "doc_id", "repeat", "tokens")
     due = spark.createDataFrame([(q.source, float(q.target), float(q.share), int(q.repeats), int(q.held)) for q in plan], "source string, targetshare double, dueshare double, maxrepeats int, available long")
     got = drawn.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"), (F.max("repeat") + 1).alias("repeats"))
-    everything = drawn.agg(F.sum("tokens").alias("all"))
-    report = (
-        due.join(got, "source", "left")
-        .crossJoin(F.broadcast(everything))  # one row
-        .select("source", "targetshare", F.round("dueshare", 6).alias("dueshare"), F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("share"), "maxrepeats", F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "available")
-    )
+    whole = drawn.agg(F.sum("tokens")).first()[0] or 1
+    none = lambda c: F.coalesce(c, F.lit(0))
+    report = due.join(got, "source", "left").select(
+        "source", "targetshare", F.round("dueshare", 6).alias("dueshare"), F.round(none("tokens") / whole, 6).alias("share"), "maxrepeats",
+        none("repeats").alias("repeats"), none("items").alias("items"), none("tokens").alias("tokens"), "available",
+    )
     return mixture, report

@@ -143,6 +143,19 @@ def suspicious(text: str) -> bool:
     return any(len(run) > 1 and _odd_run(run) for run in HIGH.findall(text))
 
 
+#: Ranges of characters that are used together: once a collection uses several of one, it may use all.
+SCRIPTS = ((0xC0, 0xFF, 3), (0x2010, 0x203A, 3), (0x386, 0x3CE, 5), (0x401, 0x451, 5), (0x3041, 0x30FF, 5), (0x4E00, 0x9FFF, 20))
+
+
+def widen(known: set[str]) -> frozenset[str]:
+    """The characters seen in sound text, their other cases, and the rest of the scripts they come from."""
+    out = known | {c for k in known for c in (k.upper(), k.lower()) if len(c) == 1}
+    for lo, hi, least in SCRIPTS:
+        if sum(lo <= ord(c) <= hi for c in known) >= least:
+            out |= {chr(c) for c in range(lo, hi + 1) if chr(c).isprintable()}
+    return frozenset(out)
+
+
 @dataclass(frozen=True)
 class Learned:
     """pages: code pages UTF-8 was misread in, best supported first; known: characters of sound text;
@@ -270,7 +283,7 @@ def learn(docs: DataFrame, p: MojibakeParams | None = None) -> tuple[Learned, Da
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.int64())], names=["c", "n"])
 
     used = windows.filter("NOT sus").select("win", "n").mapInArrow(letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.alphabet)
-    known = frozenset(r.c for r in used.collect())
+    known = widen({r.c for r in used.collect()})
     pages = tuple(h.split(">")[1] for h in chosen if h.startswith("utf_8>"))
     return Learned(pages, known, "cp1252>latin_1" in chosen), report, both
 

@@ -243,4 +243,4 @@ def recall(df: DataFrame, id_col: str, vec_col: str, every: int = 100, p: Neighb
     best = truth.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "neighbour"))), 1, p.k).alias("b")).select("id", F.inline("b"))
     found = nearest(df, id_col, vec_col, p).select("id", "neighbour", F.lit(1).alias("hit"))
     joined = best.select("id", "neighbour").join(found, ["id", "neighbour"], "left")
-    return joined.agg(F.lit(len(ids)).alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+    return joined.agg(F.lit(len(ids)).alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.try_divide(F.count("hit"), F.count("*")), 4).alias("recall"))

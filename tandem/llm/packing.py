@@ -169,6 +169,8 @@ def pack(items: DataFrame, capacities: dict[int, int], id_col: str = "doc_id", s
     null need no room and give no row, as do rows without id; a repeated id is one more item.
     Containers of a budget are numbered from 0 without holes."""
     spark = items.sparkSession
+    if not capacities:
+        return spark.createDataFrame([], "budgetid int, containerid long, doc_id long, piece long, size long")
     rows = items.filter(F.col(id_col).isNotNull() & (F.col(size_col) > 0)).select(F.col(id_col).alias("doc_id"), F.col(size_col).cast("long").alias("size"))
     # the budgets are a fixed, small list of capacities
     budgets = F.array(*(F.struct(F.lit(int(b)).alias("budgetid"), F.lit(int(c)).cast("long").alias("cap")) for b, c in sorted(capacities.items())))

@@ -79,9 +79,9 @@ class TermCounts:
         """(term, occurrences, records) without the marker row of the total."""
         return self._all(version).filter("term <> ''")
 
-    def total(self, version: int | None = None) -> DataFrame:
-        """One row (total): the number of records that have a term."""
-        return self._all(version).filter("term = ''").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("total"))
+    def total(self, version: int | None = None) -> int:
+        """The number of records that have a term."""
+        return self._all(version).filter("term = ''").agg(F.sum("records")).first()[0] or 0
 
     def _all(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
@@ -103,15 +103,14 @@ class TermCounts:
         return new
 
 
-def marked_terms(counts: DataFrame, total: DataFrame, common_share: float = 0.2, rare_records: int = 2) -> DataFrame:
+def marked_terms(counts: DataFrame, total: int, common_share: float = 0.2, rare_records: int = 2) -> DataFrame:
     """(term, occurrences, records, mark): 'common' in more than ``common_share`` of the records that have a
-    term, else 'rare' in at most ``rare_records`` of them, else null.  ``total`` is one row."""
-    mark = F.when(F.col("records") > F.lit(common_share) * F.col("total"), "common").when(F.col("records") <= rare_records, "rare")
-    # a one-row table: its size is fixed
-    return counts.join(F.broadcast(total)).select("term", "occurrences", "records", mark.alias("mark"))
+    term, else 'rare' in at most ``rare_records`` of them, else null."""
+    mark = F.when(F.col("records") > common_share * total, "common").when(F.col("records") <= rare_records, "rare")
+    return counts.select("term", "occurrences", "records", mark.alias("mark"))
 
 
-def caption_counts(spark: SparkSession, images: DataFrame, export: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+def caption_counts(spark: SparkSession, images: DataFrame, export: DataFrame) -> dict[str, tuple[DataFrame, int]]:
     """Counts of the exported captions, and of the images' captions as the export plus the changes since."""
     older, newer = snapshot(export, "id", "caption"), snapshot(images, "id", "caption")
     store = TermCounts(spark, fresh_path(spark, "termcounts"))
