@@ -308,23 +308,51 @@ def judged(docs: DataFrame, learned: Learned, id_col: str = "doc_id") -> DataFra
     return spread(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, garbled boolean, restored string")
 
 
-def restore_lost(rows: DataFrame, both: DataFrame) -> DataFrame:
+def restore_lost(rows: DataFrame, both: DataFrame, p: MojibakeParams | None = None) -> DataFrame:
     """``rows`` (doc_id, restored) with words that hold a replacement character exchanged for the word at their
-    place in the clean twins, where the twins agree; other words stay."""
+    place in the clean twin of their window, or else for the only clean word twins know for them anywhere;
+    other words stay."""
+    half = (p or MojibakeParams()).words // 2
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def words(batches):
+    def pairs(batches):
         for b in batches:
             got = []
-            for g, c, mid in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for key, mid, g, c in zip(*(b.column(i).to_pylist() for i in range(4))):
                 a, z = g.split(" "), c.split(" ")
                 if len(a) == len(z) and LOST in a[mid] and LOST not in z[mid]:
-                    got.append((a[mid], z[mid]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.string())], names=["word", "clean"])
-
-    pairs = both.filter(F.col("garbled").contains(LOST)).select("garbled", "clean", "mid").mapInArrow(words, "word string, clean string")
-    table = pairs.groupBy("word").agg(F.min("clean").alias("clean"), F.max("clean").alias("other")).filter("clean = other").select("word", "clean")
-    lost = rows.filter(F.col("restored").contains(LOST))
-    cut = lost.select("doc_id", F.posexplode(F.split("restored", "(?<=[ \\t\\r\\n])|(?=[ \\t\\r\\n])")).alias("i", "word"))
-    joined = cut.join(table, "word", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("clean", "word").alias("w")))).alias("ws"))
-    mended = joined.select("doc_id", F.concat_ws("", F.col("ws.w")).alias("restored"))
+                    got.append((key, mid, a[mid], z[mid]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["key", "mid", "word", "clean"])
+
+    known = stage(both.filter(F.col("garbled").contains(LOST)).select("key", "mid", "garbled", "clean").mapInArrow(pairs, "key string, mid int, word string, clean string"), "lostwords")
+    here = known.groupBy("key", "mid", "word").agg(F.min("clean").alias("here"))
+    anywhere = known.groupBy("word").agg(F.min("clean").alias("anywhere"), F.max("clean").alias("other")).filter("anywhere = other").drop("other")
+    lost = stage(rows.filter(F.col("restored").contains(LOST)).select("doc_id", "restored"), "lost")
+
+    def places(batches):
+        for b in batches:
+            got = []
+            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = BLANK.split(text)
+                for i, w in enumerate(words):
+                    if LOST in w:
+                        win = " ".join(words[max(0, i - half) : i + half + 1])
+                        got.append((d, i, HIGH.sub("", win), min(i, half), w))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], b.schema.field(0).type), *(pa.array([x[i] for x in got], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.string()), 1))], names=["doc_id", "i", "key", "mid", "word"])
+
+    asked = lost.mapInArrow(places, f"doc_id {kind}, i int, key string, mid int, word string")
+    new = asked.join(here, ["key", "mid", "word"], "left").join(anywhere, "word", "left").select("doc_id", "i", F.coalesce("here", "anywhere").alias("new")).filter("new IS NOT NULL")
+    swaps = new.groupBy("doc_id").agg(F.collect_list(F.struct("i", "new")).alias("swaps"))
+
+    def mend(batches):
+        for b in batches:
+            out = []
+            for text, swap in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                parts = re.split(f"({BLANK.pattern})", text)
+                for s in swap or ():
+                    parts[2 * s["i"]] = s["new"]
+                out.append("".join(parts))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "restored"])
+
+    mended = lost.join(swaps, "doc_id", "left").select("doc_id", "restored", "swaps").mapInArrow(mend, f"doc_id {kind}, restored string")
     return rows.filter(~F.col("restored").contains(LOST)).select("doc_id", "restored").unionByName(mended)
