@@ -45,3 +45,10 @@ def normalize_evidence(text: Column) -> Column:
     """Lower case, straight quotes, single spaces, trimmed."""
     straight = F.translate(F.lower(text), "‘’“”", "''\"\"")
     return F.trim(F.regexp_replace(straight, r"\s+", " "))
+
+
+def whole_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value as a whole; null for null, for anything else, and where more
+    than white space follows the value (the parser alone would stop there and accept it)."""
+    one = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(one, "$[1]", "variant").isNull(), F.try_variant_get(one, "$[0]", "variant"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import vocab
+from tandem.functions.text import whole_json
 
 
 def profiles(images: DataFrame, id_col: str = "id", text_col: str = "roleprofile") -> DataFrame:
@@ -13,9 +14,9 @@ def profiles(images: DataFrame, id_col: str = "id", text_col: str = "roleprofile
 
     Fields are tolerant one by one: an array with a null element, or phenomena lacking a part, count as
     empty; missing parts of objects become ''.  One row per id (copies count once)."""
-    ok = F.col(text_col).startswith("{") & F.try_parse_json(text_col).isNotNull()
+    ok = F.col(text_col).startswith("{") & whole_json(F.col(text_col)).isNotNull()
     whole = images.filter(F.col(id_col).isNotNull()).filter(ok).groupBy(F.col(id_col).alias("id")).agg(F.max(text_col).alias("t"))
-    rows = whole.select("id", F.try_parse_json("t").alias("v"))
+    rows = whole.select("id", whole_json(F.col("t")).alias("v"))
     kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
     part = lambda x, n: F.when(kind(F.try_variant_get(x, f"$.{n}", "variant")) == "STRING", F.try_variant_get(x, f"$.{n}", "string"))
 
