@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.functions.text import terms
+from tandem.functions.text import terms, whole_json
 from tandem.llm import mixing, mojibake, packing, survivor
 from tandem.llm.neighbours import NeighbourParams, nearest, recall
 from tandem.llm.setjoin import SketchParams, expand, set_classes, similar_classes
@@ -45,8 +45,7 @@ def caption_sets(images: DataFrame) -> DataFrame:
 
 def role_sets(images: DataFrame) -> DataFrame:
     """(id, items) of the profiles whose stored text starts with { and is whole JSON."""
-    # a text that is JSON as a whole parses as a variant; the paths then take strings of arrays only
-    v = F.try_parse_json("roleprofile")
+    v = whole_json(F.col("roleprofile"))
     rows = images.filter(F.col("roleprofile").startswith("{")).select("id", v.alias("v")).filter("v IS NOT NULL")
     text = lambda x: F.lower(F.trim(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))))
 
