@@ -1,8 +1,9 @@
 """The k most similar vectors of every vector, by sharded robust-pruned graphs.
 
-Equal vectors share a class.  Class vectors are projected, cut into cells around centroids of a
-bounded sample, and large cells into sub-shards.  Each shard builds its graph and beam-searches
-the vectors whose nearest cells it belongs to; survivors are re-ranked with exact double cosine.
+Equal vectors share a class.  Class vectors are cut into cells around centroids of a bounded
+sample, and large cells into sub-shards.  Each shard builds its graph over projected vectors and
+beam-searches the vectors whose nearest cells it belongs to; survivors are re-ranked with exact
+double cosine.
 """
 
 from __future__ import annotations
@@ -27,18 +28,18 @@ for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
 
 @dataclass(frozen=True)
 class NeighbourParams:
-    """k: neighbours wanted; limit: least cosine; dims: projected size; cell: vectors aimed at per cell;
-    probes: cells searched per vector; most_cells: bound of the centroid table; sample: bound of the
-    vectors the centroids are fitted on; chunk: queries handled by one task."""
+    """k: neighbours wanted; limit: least cosine; dims: projected size of the graphs; cell: vectors aimed at
+    per cell; probes: cells searched per vector; most_cells: bound of the centroid table; sample: bound of
+    the vectors the centroids are fitted on; chunk: queries handled by one task."""
 
     size: int = 512
     k: int = 5
     limit: float = 0.8
     dims: int = 64
     cell: int = 3000
-    probes: int = 4
-    most_cells: int = 16384
-    sample: int = 32768
+    probes: int = 2
+    most_cells: int = 8192
+    sample: int = 16384
     rounds: int = 6
     chunk: int = 16384
     seed: int = 5
@@ -73,18 +74,9 @@ def _project(x: np.ndarray, proj: np.ndarray) -> np.ndarray:
 
 
 def _sample(reps: DataFrame, p: NeighbourParams) -> np.ndarray:
-    """A bounded, repeatable sample of projected class vectors: the smallest hashes of their ids."""
-    proj = _projection(p)
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                y = _project(_matrix(b.column(1), p.size), proj)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in y], pa.binary())], names=["cid", "y"])
-
-    small = reps.select("cid", "vec").mapInArrow(run, "cid long, y binary")
-    rows = small.orderBy(F.xxhash64("cid"), "cid").limit(p.sample).select("y").toArrow()
-    return np.frombuffer(b"".join(rows.column(0).to_pylist()), np.float32).reshape(-1, p.dims)
+    """A bounded, repeatable sample of class vectors at length 1: the smallest hashes of their ids."""
+    rows = reps.orderBy(F.xxhash64("cid"), "cid").limit(p.sample).select("vec").toArrow()
+    return _unit(_matrix(rows.column(0).combine_chunks(), p.size)).astype(np.float32)
 
 
 def _centroids(sample: np.ndarray, cells: int, p: NeighbourParams) -> np.ndarray:
@@ -108,40 +100,61 @@ def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
         return spark.createDataFrame([], "cid long, nid long, sim double")
     cells = int(min(p.most_cells, max(1, math.ceil(n / p.cell))))
     cent = _centroids(_sample(reps, p), cells, p)
-    # the centroid table has at most most_cells * dims floats (4 MB)
+    # the centroid table has at most most_cells vectors (16 MB)
     shared = spark.sparkContext.broadcast(cent)
-    probes, proj = min(p.probes, len(cent)), _projection(p)
+    probes = min(p.probes, len(cent))
+
+    def nearest_cells(vecs: np.ndarray) -> np.ndarray:
+        far = -(_unit(vecs).astype(np.float32) @ shared.value.T)
+        part = np.argpartition(far, probes - 1, axis=1)[:, :probes]
+        return np.take_along_axis(part, np.argsort(np.take_along_axis(far, part, 1), axis=1, kind="stable"), 1)
 
-    def route(batches):
-        c = shared.value
+    def survey(batches):
+        """Per task and cell: the vectors at home in it and those that ask in it."""
+        home, asked = np.zeros(len(cent), np.int64), np.zeros(len(cent), np.int64)
         for b in batches:
-            if not len(b):
-                continue
-            near = -(_project(_matrix(b.column(1), p.size), proj) @ c.T)
-            part = np.argpartition(near, probes - 1, axis=1)[:, :probes]
-            part = np.take_along_axis(part, np.argsort(np.take_along_axis(near, part, 1), axis=1, kind="stable"), 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(part.astype(np.int32)), pa.list_(pa.int32()))], names=["cid", "cells"])
+            if len(b):
+                near = nearest_cells(_matrix(b.column(0), p.size))
+                home += np.bincount(near[:, 0], minlength=len(cent))
+                asked += np.bincount(near.ravel(), minlength=len(cent))
+        cell = np.nonzero(asked)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home[cell]), pa.array(asked[cell])], names=["cell", "home", "asked"])
 
-    routed = stage(reps.select("cid", "vec").mapInArrow(route, "cid long, cells array<int>"), "routes")
-    counts = routed.select(F.posexplode("cells").alias("r", "cell")).groupBy("cell").agg(F.count_if(F.col("r") == 0).alias("home"), F.count("*").alias("asked"))
+    counts = reps.select("vec").mapInArrow(survey, "cell int, home long, asked long").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("asked").alias("asked"))
     # at most most_cells rows: how many sub-shards and query chunks each cell has
     plan = {r.cell: (max(1, math.ceil(r.home / (2 * p.cell))), max(1, math.ceil(r.asked / p.chunk))) for r in counts.collect()}
-    layout = spark.createDataFrame([(c, s, k) for c, (s, k) in plan.items()], "cell int, subs int, chunks int")
-    # Every class row goes to each (sub-shard, chunk) of its probed cells that needs it: as indexed vector to all
-    # chunks of its own sub-shard, as query to its own chunk of all sub-shards.
-    base = routed.select("cid", F.posexplode("cells").alias("r", "cell")).join(F.broadcast(layout), "cell")
-    own_sub, own_chunk = F.pmod(F.xxhash64("cid"), F.col("subs")), F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks"))
-    targets = (
-        base.withColumn("own_sub", own_sub)
-        .withColumn("own_chunk", own_chunk)
-        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("held", (F.col("r") == 0) & (F.col("sub") == F.col("own_sub")))
-        .withColumn("asks", F.col("chunk") == F.col("own_chunk"))
-        .filter("held OR asks")
-        .select("cid", F.concat_ws("/", "cell", "sub", "chunk").alias("shard"), "held", "asks")
-    )
-    rows = targets.join(reps.select("cid", "vec"), "cid").select("shard", "cid", "held", "asks", "vec")
+    layout = spark.sparkContext.broadcast(plan)
+
+    def deal(batches):
+        """Every vector goes to all (sub-shard, chunk) of its cells that need it: as indexed vector to all chunks of
+        its own sub-shard of its home cell, as query to its own chunk of all sub-shards of each cell."""
+        for b in batches:
+            if not len(b):
+                continue
+            cid, near = b.column(0).to_numpy(), nearest_cells(_matrix(b.column(1), p.size))
+            mixed = (cid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            take, shard, held, asks = [], [], [], []
+            for r in range(probes):
+                for cell in np.unique(near[:, r]):
+                    at = np.nonzero(near[:, r] == cell)[0]
+                    subs, chunks = layout.value[int(cell)]
+                    sub, chunk = (mixed[at] % np.uint64(subs)).astype(np.int64), (mixed[at] // np.uint64(subs) % np.uint64(chunks)).astype(np.int64)
+                    for u in range(subs):
+                        for c in range(chunks):
+                            h, a = (sub == u) & (r == 0), chunk == c
+                            ok = h | a
+                            take.append(at[ok])
+                            shard.append(np.full(int(ok.sum()), (int(cell) << 40) | (u << 20) | c, np.int64))
+                            held.append(h[ok])
+                            asks.append(a[ok])
+            rows = np.concatenate(take)
+            keys, hs, qs = np.concatenate(shard), np.concatenate(held), np.concatenate(asks)
+            for at in range(0, len(rows), 2048):
+                cut = slice(at, at + 2048)
+                idx = pa.array(rows[cut])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), b.column(0).take(idx), pa.array(hs[cut]), pa.array(qs[cut]), b.column(1).take(idx)], names=["shard", "cid", "held", "asks", "vec"])
+
+    rows = reps.select("cid", "vec").mapInArrow(deal, "shard long, cid long, held boolean, asks boolean, vec array<float>")
     out = T.StructType([T.StructField("cid", T.LongType()), T.StructField("nid", T.LongType()), T.StructField("sim", T.DoubleType())])
     return rows.groupBy("shard").applyInArrow(_search_shard(p), out)
 
@@ -198,12 +211,17 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, p: NeighbourParams | None
     search; of its members only the ``k`` + 1 smallest ids can be anyone's neighbour."""
     p = p or NeighbourParams()
     rows = usable(df, id_col, vec_col, p.size).withColumn("ka", F.xxhash64("vec")).withColumn("kb", F.xxhash64(F.lit(1), F.col("vec")))
-    # copies shrink to one row per map task before the vectors are shuffled
-    reps = stage(rows.groupBy("ka", "kb").agg(F.min("id").alias("cid"), F.first("vec").alias("vec")), "vectors")
-    keyed = rows.select("ka", "kb", "id")
-    few = ranged_positions(keyed, ["ka", "kb"], [F.col("id").asc()], copies=["ka", "kb", "id"], keep=p.k + 1, label="copies")
-    named = reps.select("ka", "kb", "cid")
-    heads = stage(few.join(named, ["ka", "kb"]).select("cid", F.col("id").alias("member")), "heads")
+    keyed = stage(rows.select("ka", "kb", "id"), "keys")
+    named = stage(keyed.groupBy("ka", "kb").agg(F.min("id").alias("cid"), F.count("*").alias("n")), "classes")
+    # Vectors that come once go on as they are; only repeated ones are shuffled, one row per map task.  The table
+    # of repeated keys has a known size, by which the planner broadcasts or shuffles it.
+    many = stage(named.filter("n > 1").select("ka", "kb"), "repeated")
+    single = rows.join(many, ["ka", "kb"], "left_anti").select(F.col("id").alias("cid"), "vec")
+    merged = rows.join(many, ["ka", "kb"], "left_semi").groupBy("ka", "kb").agg(F.min("id").alias("cid"), F.first("vec").alias("vec")).select("cid", "vec")
+    reps = stage(single.unionByName(merged), "vectors")
+    few = ranged_positions(keyed.join(many, ["ka", "kb"], "left_semi"), ["ka", "kb"], [F.col("id").asc()], copies=["ka", "kb", "id"], keep=p.k + 1, label="copies")
+    twins = few.join(named, ["ka", "kb"]).select("cid", F.col("id").alias("member"))
+    heads = stage(named.filter("n = 1").select("cid", F.col("cid").alias("member")).unionByName(twins), "heads")
     links = stage(class_neighbours(reps.select("cid", "vec"), p).distinct(), "links")
     # each class's list: members of the near classes and, at similarity 1, of its own if it has several
     shared = heads.groupBy("cid").agg(F.count("*").alias("k")).filter("k > 1").select("cid")
