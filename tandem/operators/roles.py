@@ -13,7 +13,8 @@ def profiles(images: DataFrame, id_col: str = "id", text_col: str = "roleprofile
     """(id, phenomena, claims, embodied, subverts, objects) of the texts that are a JSON object as a whole.
 
     Fields are tolerant one by one: an array with a null element, or phenomena lacking a part, count as
-    empty; missing parts of objects become ''.  One row per id (copies count once)."""
+    empty; missing parts of objects become ''.  One row per id (copies count once).  Claims, embodiments and
+    objects carry their words, so that a join need not split texts again; stage the table before joining."""
     ok = F.col(text_col).startswith("{") & whole_json(F.col(text_col)).isNotNull()
     whole = images.filter(F.col(id_col).isNotNull()).filter(ok).groupBy(F.col(id_col).alias("id")).agg(F.max(text_col).alias("t"))
     rows = whole.select("id", whole_json(F.col("t")).alias("v"))
@@ -34,7 +35,11 @@ def profiles(images: DataFrame, id_col: str = "id", text_col: str = "roleprofile
     ph = F.transform(ph, lambda x: F.struct(F.when(x["phenomenon"].isin("speech", "music"), "sound").otherwise(x["phenomenon"]).alias("phenomenon"), x["role"].alias("role")))
     low = lambda x, n: F.lower(F.coalesce(part(x, n), F.lit("")))
     ob = F.transform(elements("objects", "OBJECT"), lambda x: F.struct(low(x, "object").alias("object"), low(x, "register").alias("register"), low(x, "category").alias("category")))
-    return rows.select("id", ph.alias("phenomena"), strings("claims").alias("claims"), F.concat(strings("enacts"), strings("subverts")).alias("embodied"), strings("subverts").alias("subverts"), ob.alias("objects"))
+    said = lambda arr: F.transform(arr, lambda x: F.struct(x.alias("text"), tokens(x).alias("words")))
+    cats = F.create_map(*(F.lit(x) for kv in vocab.CLAIM_CATEGORY.items() for x in kv))
+    claims = F.transform(strings("claims"), lambda x: F.struct(x.alias("text"), tokens(x).alias("words"), F.filter(F.transform(tokens(x), lambda t: cats[t]), lambda w: w.isNotNull()).alias("cats")))
+    things = F.transform(ob, lambda x: F.struct(x["object"].alias("object"), x["register"].alias("register"), x["category"].alias("category"), tokens(x["object"]).alias("words")))
+    return rows.select("id", ph.alias("phenomena"), claims.alias("claims"), said(F.concat(strings("enacts"), strings("subverts"))).alias("embodied"), strings("subverts").alias("subverts"), things.alias("objects"))
 
 
 def tokens(text: Column) -> Column:
@@ -46,8 +51,8 @@ def tokens(text: Column) -> Column:
 def frequencies(prof: DataFrame) -> DataFrame:
     """(kind, key, df): phenomena and concepts by profiles, nouns and categories by occurrences."""
     ph = prof.select(F.explode(F.array_distinct(F.transform("phenomena", lambda x: x["phenomenon"]))).alias("key")).select(F.lit("phenomenon").alias("kind"), "key")
-    said = F.concat("claims", "embodied")
-    co = prof.select(F.explode(F.array_distinct(F.flatten(F.transform(said, tokens)))).alias("key")).select(F.lit("concept").alias("kind"), "key")
+    said = F.concat(F.col("claims.words"), F.col("embodied.words"))
+    co = prof.select(F.explode(F.array_distinct(F.flatten(said))).alias("key")).select(F.lit("concept").alias("kind"), "key")
     ob = prof.select(F.explode("objects").alias("o"))
     no = ob.filter("o.object <> ''").select(F.lit("object").alias("kind"), F.col("o.object").alias("key"))
     ca = ob.filter("o.category <> ''").select(F.lit("category").alias("kind"), F.col("o.category").alias("key"))
@@ -78,7 +83,7 @@ def rule_hits(a: str = "a", b: str = "b") -> tuple[Column, Column, Column]:
             out = out | ((F.lower(c) == claim) & (F.lower(e) == body))
         return out
 
-    says = lambda claims, embodied: _first(F.filter(claims, lambda c: F.exists(embodied, lambda e: F.arrays_overlap(tokens(c), tokens(e)) | bridged(c, e))))
+    says = lambda claims, embodied: _first(F.filter(claims, lambda c: F.exists(embodied, lambda e: F.arrays_overlap(c["words"], e["words"]) | bridged(c["text"], e["text"]))))["text"]
     two = F.coalesce(says(A("claims"), B("embodied")), says(B("claims"), A("embodied")))
     alt = F.array(*map(F.lit, vocab.ALTERNATIVE_REGISTERS))
 
@@ -90,12 +95,9 @@ def rule_hits(a: str = "a", b: str = "b") -> tuple[Column, Column, Column]:
 
     pairs3 = F.flatten(F.transform(A("objects"), lambda x: F.transform(F.filter(B("objects"), lambda y: versions(x, y)), lambda y: F.struct(F.when((x["object"] != "") & (x["object"] == y["object"]), F.lit("object")).otherwise("category").alias("kind"), F.when((x["object"] != "") & (x["object"] == y["object"]), x["object"]).otherwise(x["category"]).alias("key")))))
     three = _first(pairs3)
-    cats = F.create_map(*(F.lit(x) for kv in vocab.CLAIM_CATEGORY.items() for x in kv))
-
     def named(claims: Column, objects: Column) -> Column:
         def hit(c: Column, o: Column) -> Column:
-            want = F.transform(tokens(c), lambda t: cats[t])
-            return ((o["category"] != "") & F.coalesce(F.array_contains(F.filter(want, lambda w: w.isNotNull()), o["category"]), F.lit(False))) | ((o["object"] != "") & F.arrays_overlap(tokens(c), tokens(o["object"])))
+            return ((o["category"] != "") & F.array_contains(c["cats"], o["category"])) | ((o["object"] != "") & F.arrays_overlap(c["words"], o["words"]))
 
         got = F.flatten(F.transform(claims, lambda c: F.transform(F.filter(objects, lambda o: hit(c, o)), lambda o: F.struct(F.when(o["category"] != "", F.lit("category")).otherwise("object").alias("kind"), F.when(o["category"] != "", o["category"]).otherwise(o["object"]).alias("key")))))
         return _first(got)

@@ -15,7 +15,7 @@ from tandem.functions import vocab
 from tandem.operators import dupes, features, gaze, greedy, mutations, nested, pools, roles
 from tandem.operators.features import finite
 from tandem.operators.scan import ranged_positions
-from tandem.plans import blocked
+from tandem.plans import blocked, scoring
 from tandem.queries.sql import ORACLES
 from tandem.runtime import stage, table
 
@@ -313,6 +313,23 @@ def folder_best_pairs(spark, d):
     return best.select(F.col("scope").cast("long").alias("folderid"), "id", "other", "rank")
 
 
+def _library(spark, d):
+    img = meta(spark, d).filter("folderid IS NOT NULL")
+    both = features.features(table(spark, d, "clipoutput")).join(img, "id").withColumn("scope", F.col("folderid").cast("string"))
+    return scoring.score_library(scoring.prepare(both), k=10)
+
+
+@query
+def library_pairs(spark, d):
+    """Indexing a library: all pairs of images inside each folder scored by the whole kernel, bursts left out, and the
+    edges the four pools admit, with the pool that did."""
+    edges = stage(_library(spark, d), "edges").withColumn("id", F.concat_ws("-", "a", "b"))
+    picked = pools.select_pools(edges.withColumn("structural", F.col("geometricmode") == "structural"), k=10)
+    got = edges.join(picked, "id")
+    first = F.when(F.col("flipped"), F.col("b")).otherwise(F.col("a"))
+    return got.select("a", "b", first.alias("leftid"), "label", *(r6(F.col(c)).alias(c) for c in ("aesthetic", "geometric", "thematic", "composite")), "aestheticmode", "geometricmode")
+
+
 @query
 def judge_verdicts(spark, d):
     """Verdicts of findings that quote the first sentences of both captions, one for every pair with captions."""

@@ -262,3 +262,9 @@ _OPEN = "^(The (photograph|image) (captures|depicts|shows|features|portrays|pres
 ORACLES["caption_clean"] = w(IMG) + f"""SELECT DISTINCT id, CASE WHEN r <> c AND length(r) >= 20 THEN upper(r[1]) || r[2:] ELSE c END AS caption
 FROM (SELECT id, c, regexp_replace(c, '{_OPEN}', '') AS r FROM (SELECT id, trim(split_part(caption, '<|im_', 1), ' ') AS c FROM img WHERE caption IS NOT NULL))"""
 ORACLES["evidence_normalize"] = w(IMG) + """SELECT DISTINCT id, trim(regexp_replace(translate(lower(caption), '‘’“”', chr(39) || chr(39) || chr(34) || chr(34)), '\\s+', ' ', 'g'), ' ') AS caption FROM img WHERE caption IS NOT NULL"""
+
+_ALL = "prs AS (SELECT x.id || '-' || y.id AS id, x.id AS a, y.id AS b FROM (SELECT id, max(folderid) AS folderid FROM images WHERE id IS NOT NULL GROUP BY id) x JOIN (SELECT id, max(folderid) AS folderid FROM images WHERE id IS NOT NULL GROUP BY id) y ON x.folderid = y.folderid AND x.id < y.id)"
+_LIB = POOLED.replace("pos AS (SELECT * FROM edg WHERE composite > 0)", "pos AS (SELECT * REPLACE (round(composite, 9) AS composite, round(thematic, 9) AS thematic, round(geometric, 9) AS geometric, round(aesthetic, 9) AS aesthetic, geometricmode = 'structural' AS structural) FROM six WHERE composite > 0 AND NOT (variants OR coalesce(gap <= 300, false)))").replace("WHERE n <= 50)", "WHERE n <= 10)")
+ORACLES["library_pairs"] = w(_ALL, FEAT, VIS, META, TOK, CLU, FULL, _LIB) + """
+SELECT a, b, CASE WHEN geometricmode = 'gaze_conversation' AND back THEN b ELSE a END AS leftid, label, round(aesthetic, 6) AS aesthetic, round(geometric, 6) AS geometric, round(thematic, 6) AS thematic,
+  round(composite, 6) AS composite, aestheticmode, geometricmode FROM pos JOIN (SELECT id, (['composite', 'thematic', 'geometric', 'aesthetic'])[min(p) + 1] AS label FROM allp GROUP BY id) USING (id)"""

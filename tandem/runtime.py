@@ -47,9 +47,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Evens rows out over all cores before a stage that is heavy per row."""
-    n = max(shuffle_partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    """Evens rows out over all cores before a stage that is heavy per row, where the input has fewer parts than
+    cores; a larger input already has enough and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(max(shuffle_partitions(df.sparkSession), cores), *keys)
 
 
 def unnull(col, otherwise):
