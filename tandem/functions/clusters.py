@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +12,12 @@ from tandem.functions import vocab
 from tandem.functions.text import tokenize
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once: a lambda variable is bound to it instead of its text being
+    repeated at every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fired(tokens: Column, rows: Iterable[tuple[str, int, str]] | None = None) -> Column:
     """Sorted names of the clusters whose every keyword group meets the tokens."""
     groups: dict[str, dict[int, list[str]]] = {}
@@ -24,7 +30,8 @@ def fired(tokens: Column, rows: Iterable[tuple[str, int, str]] | None = None) ->
 
 def caption_clusters(caption: Column, rows: Iterable[tuple[str, int, str]] | None = None) -> Column:
     """Clusters of a caption; none for a null or empty one."""
-    return fired(tokenize(caption), rows)
+    rows = list(rows) if rows is not None else None
+    return let(tokenize(caption), lambda t: fired(t, rows))
 
 
 def _weights() -> Column:
@@ -70,4 +77,4 @@ def thematic(a: Column, b: Column, clip: Column, captions: Column, diversity: Co
 def representative(names: Column) -> Column:
     """The heaviest cluster, equal weights by name; null for none."""
     ranked = F.array_sort(F.transform(names, lambda n: F.struct((-weight_of(n, 0.0)).alias("w"), n.alias("n"))))
-    return F.when(F.size(names) > 0, F.element_at(ranked, 1)["n"])
+    return F.try_element_at(ranked, F.lit(1))["n"]

@@ -101,13 +101,17 @@ def gaze_conversation(ga: Column, gb: Column) -> Column:
     return F.when(ga.isNotNull() & gb.isNotNull(), F.greatest(F.lit(0.0), (n(ga) - n(gb)) / 2))
 
 
-def orientation_opposition(ea: Column, eb: Column, pa: Column, pb: Column) -> Column:
-    dominant = lambda e: F.pmod(F.array_position(e, F.array_max(e)) - 1, F.lit(16)).cast("double")
-    a, b = dominant(ea), dominant(eb)
+def dominant_line(edge: Column) -> Column:
+    """The undirected bin (0 to 15) of the strongest of 32 edge directions, the first on a tie; null for fewer bins."""
+    return F.when(F.size(edge) >= 32, F.pmod(F.array_position(edge, F.array_max(edge)) - 1, F.lit(16)).cast("double"))
+
+
+def orientation_opposition(a: Column, b: Column, pa: Column, pb: Column) -> Column:
+    """How far two dominant slanted lines cross, from their bins and peakednesses; 0 for unclear or level lines."""
     slanted = lambda x: F.abs(F.sin(x * F.lit(3.141592653589793) / 8)) >= 0.5
     diff = F.abs(a - b)
     score = F.sin(F.least(diff, 16 - diff) * F.lit(3.141592653589793) / 16) * F.sqrt(pa * pb)
-    ok = (pa >= 0.25) & (pb >= 0.25) & (F.size(ea) >= 32) & (F.size(eb) >= 32) & slanted(a) & slanted(b)
+    ok = (pa >= 0.25) & (pb >= 0.25) & slanted(a) & slanted(b)
     return F.when(ok, score).otherwise(F.lit(0.0))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandem.functions import kernels as K
+
 
 def finite(col):
     """A score for arithmetic: null, NaN and infinite ones count as 0."""
@@ -15,7 +17,8 @@ def finite(col):
 
 
 def features(clip: DataFrame) -> DataFrame:
-    """(id, clip, edge, grid, hist, palette) for every image with a usable 512-value embedding (copies once)."""
+    """(id, clip, edge, grid, hist, palette, peak, var, line) for every image with a usable 512-value embedding
+    (copies once): the vectors, and what the pair kernels need of each image alone."""
     ok = F.forall("embedding", lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))) & ~F.isnan(v)) & F.exists("embedding", lambda v: v != 0)
     rows = clip.filter(F.col("imageid").isNotNull() & (F.size("embedding") == 512)).filter(ok)
     one = rows.groupBy(F.col("imageid").alias("id")).agg(F.min("embedding").alias("e"))
@@ -25,7 +28,7 @@ def features(clip: DataFrame) -> DataFrame:
     over = lambda a, by, n: F.zip_with(a, F.array_repeat(by, n), lambda x, y: x / y)
     share = lambda start, n: over(absolute(start, n), total(absolute(start, n)), n)
     length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return one.select(
+    got = one.select(
         "id",
         over(F.transform("e", lambda x: x.cast("double")), length, 512).alias("clip"),
         share(1, 32).alias("edge"),
@@ -33,6 +36,7 @@ def features(clip: DataFrame) -> DataFrame:
         share(65, 64).alias("hist"),
         F.transform(over(F.transform(F.slice("e", 129, 18), lambda x: x.cast("double")), length, 18), lambda x: x * 1000).alias("palette"),
     )
+    return got.select("*", K.norm_peak(F.col("edge")).alias("peak"), K.norm_variance(F.col("grid")).alias("var"), K.dominant_line(F.col("edge")).alias("line"))
 
 
 def surrogate_scalars(images: DataFrame) -> DataFrame:

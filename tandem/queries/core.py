@@ -57,7 +57,8 @@ def with_images(p: DataFrame, img: DataFrame) -> DataFrame:
 
 
 def visual(spark: SparkSession, d: str) -> DataFrame:
-    return with_images(pairs_once(spark, d), features.features(table(spark, d, "clipoutput")))
+    # both sides of the join read the features, so they are worked out once
+    return with_images(pairs_once(spark, d), stage(features.features(table(spark, d, "clipoutput")), "features"))
 
 
 def meta(spark: SparkSession, d: str) -> DataFrame:
@@ -84,9 +85,8 @@ def _visual_scores(spark, d):
         K.palette_contrast(*c("palette")).alias("contrast"),
         K.cosine01(*c("edge")).alias("edge"),
         K.cosine01(*c("grid")).alias("grid"),
-        K.norm_peak(F.col("a_edge")).alias("pa"), K.norm_peak(F.col("b_edge")).alias("pb"),
-        K.norm_variance(F.col("a_grid")).alias("va"), K.norm_variance(F.col("b_grid")).alias("vb"),
-        K.orientation_opposition(F.col("a_edge"), F.col("b_edge"), K.norm_peak(F.col("a_edge")), K.norm_peak(F.col("b_edge"))).alias("orientation"),
+        F.col("a_peak").alias("pa"), F.col("b_peak").alias("pb"), F.col("a_var").alias("va"), F.col("b_var").alias("vb"),
+        K.orientation_opposition(*c("line"), *c("peak")).alias("orientation"),
     )
 
 
@@ -98,7 +98,8 @@ def visual_kernels(spark, d):
 
 def _full_scores(spark, d):
     v = _visual_scores(spark, d)
-    m = with_images(v, meta(spark, d).select("id", "folderid", "date", "filename", "caption", "bw", "gaze", "hue", "sat", "x", "y", C.caption_clusters(F.col("caption")).alias("cl")))
+    img = meta(spark, d).select("id", "folderid", "date", "filename", "caption", "bw", "gaze", "hue", "sat", "x", "y", C.caption_clusters(F.col("caption")).alias("cl"))
+    m = with_images(v, stage(img, "meta"))
     col = lambda n: (F.col(f"a_{n}"), F.col(f"b_{n}"))
     echo = K.accent_echo(F.col("a_hue"), F.col("a_sat"), F.col("b_hue"), F.col("b_sat"))
     aes, amode = K.aesthetic(F.col("harmony"), F.col("contrast"), echo, F.col("a_bw") & F.col("b_bw"))
