@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.runtime import heavy_groups
+
 OUT = "scope string, id long, other long, score double"
 
 
@@ -54,6 +56,6 @@ def best_pairs(vectors: DataFrame, k: int, floor: float = -2.0, block: int = 204
         left, right, score = (np.concatenate(z) for z in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"scope": pa.array([scope] * len(left), pa.string()), "id": pa.array(left, pa.int64()), "other": pa.array(right, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    found = keyed.groupBy("scope", "i", "j").applyInArrow(tile, OUT)
+    found = heavy_groups(keyed, "scope", "i", "j").applyInArrow(tile, OUT)
     w = Window.partitionBy("scope", "id").orderBy(F.col("score").desc(), "other")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

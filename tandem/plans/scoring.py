@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import clusters, vocab
 from tandem.functions.text import filename_bases
-from tandem.runtime import stage
+from tandem.runtime import heavy_groups, stage
 
 NAMES = sorted(vocab.CLUSTER_WEIGHTS)
 OUT = "a long, b long, aesthetic double, geometric double, thematic double, composite double, aestheticmode string, geometricmode string, flipped boolean"
@@ -191,4 +191,4 @@ def score_library(prepared: DataFrame, k: int = 50, block: int = 512, thematic_f
         cols = [np.minimum(p.id[x], q.id[y]), np.maximum(p.id[x], q.id[y]), *(s[n][x, y] for n in ("aesthetic", "geometric", "thematic", "composite")), np.array(AMODES)[s["amode"][x, y]], np.array(GMODES)[s["gmode"][x, y]], flipped]
         return pa.table(dict(zip(names, map(pa.array, cols))))
 
-    return keyed.groupBy("scope", "i", "j").applyInArrow(tile, OUT)
+    return heavy_groups(keyed, "scope", "i", "j").applyInArrow(tile, OUT)

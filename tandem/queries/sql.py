@@ -174,8 +174,8 @@ ORACLES = {
         WHEN captions AND thematic >= 0.20 THEN CASE WHEN len({strong('list_intersect(ca, cb)')}) > 0 THEN 'shared:' || (list_sort(list_transform({strong('list_intersect(ca, cb)')}, lambda n: [CASE WHEN ({_W}) = 1.0 THEN '0' ELSE '1' END, n])))[1][2]
           ELSE coalesce({', '.join(f"CASE WHEN (list_contains(ca, '{x}') AND list_contains(cb, '{y}')) OR (list_contains(ca, '{y}') AND list_contains(cb, '{x}')) THEN 'axis:{x}/{y}' END" for x, y, _ in vocab.AXIS_PAIRS)}, 'contrast') END
         WHEN thematic >= greatest(aesthetic, geometric) THEN CASE WHEN thematic >= 0.75 THEN 'semantic' ELSE 'thematic' END WHEN aesthetic >= geometric THEN aestheticmode ELSE geometricmode END AS reason FROM six""",
-    "temporal_penalty": w(PRS, META, TOK, CLU) + f"""SELECT p.id, {_PEN.format(_GAP)} AS penalty, {_VAR} AS variants, coalesce({_GAP} <= 300, false) OR {_VAR} AS burst, coalesce({_GAP} <= 10, false) AS sequential,
-        CASE WHEN {_GAP} > 300 AND {_GAP} <= 21600 AND list_has_any({strong('cx.cl')}, {strong('cy.cl')}) THEN CASE WHEN {_GAP} <= 1800 THEN 0.70 WHEN {_GAP} <= 7200 THEN 0.80 ELSE 0.90 END ELSE 1.0 END AS event
+    "temporal_penalty": w(PRS, META, TOK, CLU) + f"""SELECT p.id, ({_PEN.format(_GAP)})::DOUBLE AS penalty, {_VAR} AS variants, coalesce({_GAP} <= 300, false) OR {_VAR} AS burst, coalesce({_GAP} <= 10, false) AS sequential,
+        (CASE WHEN {_GAP} > 300 AND {_GAP} <= 21600 AND list_has_any({strong('cx.cl')}, {strong('cy.cl')}) THEN CASE WHEN {_GAP} <= 1800 THEN 0.70 WHEN {_GAP} <= 7200 THEN 0.80 ELSE 0.90 END ELSE 1.0 END)::DOUBLE AS event
         FROM prs p JOIN meta x ON x.id = p.a JOIN meta y ON y.id = p.b JOIN clu cx ON cx.id = p.a JOIN clu cy ON cy.id = p.b""",
     "tokenize_stem": w(META, TOK) + "SELECT id, stem, count(*) AS n FROM (SELECT id, unnest(tok) AS stem FROM tok) GROUP BY id, stem",
     "match_clusters": w(META, TOK, CLU) + "SELECT id, unnest(cl) AS cluster FROM clu",

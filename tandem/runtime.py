@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +54,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(shuffle_partitions(df.sparkSession), cores), *keys)
 
 
-def unnull(col, otherwise):
-    return F.coalesce(col, F.lit(otherwise))
+def heavy_groups(df: DataFrame, *keys: str):
+    """``df.groupBy(*keys)`` for a function that is heavy per group: partitions of few bytes are not merged, so small
+    tables with much work still use all cores."""
+    n = max(shuffle_partitions(df.sparkSession), 3 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys).groupBy(*keys)
