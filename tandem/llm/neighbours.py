@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tandem.llm import graph as G
 from tandem.operators.scan import ranged_positions
-from tandem.runtime import stage
+from tandem.runtime import heavy_groups, stage
 
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
     os.environ.setdefault(_name, "1")
@@ -156,7 +156,7 @@ def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
 
     rows = reps.select("cid", "vec").mapInArrow(deal, "shard long, cid long, held boolean, asks boolean, vec array<float>")
     out = T.StructType([T.StructField("cid", T.LongType()), T.StructField("nid", T.LongType()), T.StructField("sim", T.DoubleType())])
-    return rows.groupBy("shard").applyInArrow(_search_shard(p), out)
+    return heavy_groups(rows, "shard").applyInArrow(_search_shard(p), out)
 
 
 def _search_shard(p: NeighbourParams):
