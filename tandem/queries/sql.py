@@ -268,3 +268,6 @@ _LIB = POOLED.replace("pos AS (SELECT * FROM edg WHERE composite > 0)", "pos AS
 ORACLES["library_pairs"] = w(_ALL, FEAT, VIS, META, TOK, CLU, FULL, _LIB) + """
 SELECT a, b, CASE WHEN geometricmode = 'gaze_conversation' AND back THEN b ELSE a END AS leftid, label, round(aesthetic, 6) AS aesthetic, round(geometric, 6) AS geometric, round(thematic, 6) AS thematic,
   round(composite, 6) AS composite, aestheticmode, geometricmode FROM pos JOIN (SELECT id, (['composite', 'thematic', 'geometric', 'aesthetic'])[min(p) + 1] AS label FROM allp GROUP BY id) USING (id)"""
+_UNIT = "least(greatest({0}, 0.0), 1.0)"
+ORACLES["gaze_clarity"] = w(SCO, META, f"""cla AS (SELECT s.id, 0.60 + 0.35 * (0.5 * {_UNIT.format("(coalesce(greatest(abs(x.gaze), abs(y.gaze)), 0.0) - 0.22) / 0.38")} + 0.5 * {_UNIT.format("abs(y.x - 0.5) / 0.45")}) AS c
+  FROM sco s JOIN meta x ON x.id = s.a JOIN meta y ON y.id = s.b WHERE s.selectedfor = 'gaze')""") + "SELECT id, round(c, 6)::DOUBLE AS clarity, round(least(greatest(0.50 + (c - 0.60) / 0.35 * 0.26, 0.50), 0.76), 6)::DOUBLE AS geometric FROM cla"
