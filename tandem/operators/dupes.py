@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.kernels import hamming
+from tandem.functions.text import filename_bases
 from tandem.runtime import stage
 
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -68,14 +69,28 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots).distinct()
 
 
+def variant_edges(images: DataFrame, id_col: str = "id", hash_col: str = "dhash", date_col: str = "capturedate", name_col: str = "filename") -> DataFrame:
+    """(a, b): images of equal date whose different names share a base form, each linked to the smallest id of its
+    date and form; only images with a hash.
+
+    All names under a date and form are variants of each other or of the same other one, so linking them to one
+    image connects what all their pairs connect, and a frequent name costs its rows and not their square."""
+    ok = images.filter((F.col(hash_col) != "") & F.col(id_col).isNotNull() & (F.col(name_col) != "") & ~F.isnan(date_col))
+    rows = ok.select(F.col(id_col).alias("id"), F.col(date_col).alias("date"), F.lower(name_col).alias("name")).distinct()
+    forms = rows.withColumn("form", F.explode(filename_bases(F.col("name"))))
+    lead = forms.groupBy("date", "form").agg(F.min("id").alias("b"), (F.min("name") < F.max("name")).alias("many")).filter("many").drop("many")
+    return forms.join(lead, ["date", "form"]).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def duplicate_groups(images: DataFrame, radius: int = 8) -> DataFrame:
-    """(id, groupid): images connected by near hashes; only groups of two or more.  Needs id and dhash."""
+    """(id, groupid): images connected by near hashes, or by equal dates together with file name variants; only
+    groups of two or more, named by their smallest id.  Needs id and dhash, for the second branch also capturedate
+    and filename; a table without those two columns has only the first."""
     classes, members = hash_classes(images)
-    pairs = stage(hamming_pairs(classes, radius).select("a", "b"), "near")
-    roots = components(pairs)
-    named = members.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").select("id", F.coalesce("root", "cid").alias("groupid"))
-    sizes = named.groupBy("groupid").agg((F.min("id") < F.max("id")).alias("many")).filter("many").select("groupid")
-    return named.join(sizes, "groupid").select("id", "groupid")
+    edges = hamming_pairs(classes, radius).select("a", "b").unionByName(members.select(F.col("id").alias("a"), F.col("cid").alias("b")))
+    if {"capturedate", "filename"} <= set(images.columns):
+        edges = edges.unionByName(variant_edges(images))
+    return components(edges.filter("a <> b")).select("id", F.col("root").alias("groupid"))
 
 
 def heroes(members: DataFrame) -> DataFrame:
@@ -84,4 +99,4 @@ def heroes(members: DataFrame) -> DataFrame:
     return members.groupBy("groupid").agg(F.min(rank)["id"].alias("heroid"))
 
 
-__all__ = ["components", "duplicate_groups", "hamming", "hamming_pairs", "hash_classes", "heroes"]
+__all__ = ["components", "duplicate_groups", "hamming", "hamming_pairs", "hash_classes", "heroes", "variant_edges"]

@@ -238,12 +238,28 @@ def hamming_pairs(spark, d):
 
 @query
 def dup_components(spark, d):
-    return dupes.duplicate_groups(table(spark, d, "images"), 8)
+    """Groups by near hashes alone, as the SQL equivalent has them; ``dup_groups`` has the whole pair join."""
+    return dupes.duplicate_groups(table(spark, d, "images").select("id", "dhash"), 8)
 
 
 @query
 def dup_heroes(spark, d):
-    groups = dupes.duplicate_groups(table(spark, d, "images"), 8)
+    """Heroes of the groups by near hashes alone; ``dup_group_heroes`` has those of the whole pair join."""
+    return _heroes(spark, d, dup_components(spark, d))
+
+
+@query
+def dup_groups(spark, d):
+    """Groups by near hashes or by equal dates with file name variants."""
+    return dupes.duplicate_groups(table(spark, d, "images"), 8)
+
+
+@query
+def dup_group_heroes(spark, d):
+    return _heroes(spark, d, dup_groups(spark, d))
+
+
+def _heroes(spark, d, groups):
     dates = images_once(spark, d, "capturedate").groupBy("id").agg(F.min("capturedate").alias("date"))
     return dupes.heroes(groups.join(dates, "id"))
 
