@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import vocab
 from tandem.functions.text import whole_json
+from tandem.runtime import stage
 
 
 def profiles(images: DataFrame, id_col: str = "id", text_col: str = "roleprofile") -> DataFrame:
@@ -127,3 +128,104 @@ def with_specificity(hits: DataFrame, freq: DataFrame, total: int) -> DataFrame:
     f = freq.select("kind", F.col("key").alias("one"), "df")
     scored = flat.join(f, ["kind", "one"], "left").withColumn("s", F.when(F.col("one").isNull(), F.lit(0.0)).otherwise(specificity(F.lit(total), F.col("df"))))
     return scored.groupBy(*hits.columns).agg(F.max("s").alias("specificity"))
+
+
+def _occurrences(prof: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(left, right) of (rule, key, id, i): what the sides of each rule are matched by, with the first position in the
+    profile.  Rules 1 to 5: phenomenon, claim, noun, category, claim and object."""
+    at = lambda c: prof.select("id", F.posexplode(c).alias("i", "x"))
+    row = lambda df, rule, key: df.select(F.lit(rule).alias("rule"), key.alias("key"), "id", F.col("i").cast("long").alias("i"))
+    x = F.col("x")
+    many = lambda df, rule, keys: df.select(F.lit(rule).alias("rule"), F.explode(keys).alias("key"), "id", F.col("i").cast("long").alias("i"))
+    tag = lambda t, words: F.transform(words, lambda w: F.concat(F.lit(t), w))
+    ph = at("phenomena").filter("x.phenomenon <> 'gaze'")
+    strained = prof.filter(F.size("subverts") > 0).select("id")
+    claims, said, things = at("claims"), at("embodied"), at("objects")
+    bridge = F.array(*(F.when(F.lower(x["text"]) == c, F.lit("b" + e)) for c, e in vocab.CLAIM_BRIDGE))
+    bodies = sorted({e for _, e in vocab.CLAIM_BRIDGE})
+    reached = F.array(F.when(F.lower(x["text"]).isin(*bodies), F.concat(F.lit("b"), F.lower(x["text"]))))
+    known = lambda arr: F.filter(arr, lambda v: v.isNotNull())
+    real, alt = things.filter("x.register = 'real'"), things.filter(x["register"].isin(*vocab.ALTERNATIVE_REGISTERS))
+    noun, listed = x["object"] != "", x["category"].isin(*vocab.CATEGORY_WHITELIST)
+    left = [
+        row(ph.filter("x.role = 'source'"), 1, x["phenomenon"]), many(claims, 2, F.concat(tag("w", x["words"]), known(bridge))),
+        row(real.filter(noun), 3, x["object"]), row(real.filter(listed), 4, x["category"]), many(claims, 5, F.concat(tag("w", x["words"]), tag("c", x["cats"]))),
+    ]
+    right = [
+        row(ph.filter("x.role = 'receiver'").join(strained, "id", "left_semi"), 1, x["phenomenon"]), many(said, 2, F.concat(tag("w", x["words"]), known(reached))),
+        row(alt.filter(noun), 3, x["object"]), row(alt.filter(listed), 4, x["category"]), many(things, 5, F.concat(tag("w", x["words"]), F.array(F.concat(F.lit("c"), x["category"])))),
+    ]
+
+    def once(parts: list[DataFrame]) -> DataFrame:
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        return whole.groupBy("rule", "key", "id").agg(F.min("i").alias("i"))
+
+    return once(left), once(right)
+
+
+def _keys(prof: DataFrame) -> DataFrame:
+    """(owner, slot, kind, key): the key a hit is looked up by, under the image and the position that hold it."""
+    at = lambda c, rule: prof.select(F.col("id").alias("owner"), F.posexplode(c).alias("i", "x")).withColumn("slot", F.lit(rule).cast("long") * PLACES + F.col("i"))
+    put = lambda df, kind, key: df.select("owner", "slot", kind.alias("kind"), key.alias("key"))
+    noun, cat = F.lit("object"), F.lit("category")
+    first = F.when(F.col("x.category") != "", cat).otherwise(noun)
+    return (
+        put(at("phenomena", 1), F.lit("phenomenon"), F.col("x.phenomenon")).unionByName(put(at("claims", 2), F.lit("concept"), F.col("x.text")))
+        .unionByName(put(at("objects", 3), noun, F.col("x.object"))).unionByName(put(at("objects", 4), cat, F.col("x.category")))
+        .unionByName(put(at("objects", 5), first, F.when(first == "category", F.col("x.category")).otherwise(F.col("x.object"))))
+    )
+
+
+#: Positions inside a profile's lists that a packed rank has room for; more stop the query instead of being dropped.
+PLACES = 1 << 20
+#: Pairs of one key that one join task makes, about; keys with more are spread over several.
+TASK_PAIRS = 500_000
+
+
+def connect_all(prof: DataFrame, freq: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """(a, b, priority, kind, key) of all pairs a < b of profiles that a rule connects, the same as ``connect`` over every
+    pair; with ``freq`` and ``total`` also the specificity.
+
+    Each rule is an equi-join on what its sides have in common, so only pairs that are connected are made; frequent
+    keys are spread over tasks.  Where several rules or positions connect a pair, the first counts: a rank of priority
+    and positions is packed into one number, and its smallest names the key."""
+    spark = prof.sparkSession
+    left, right = (stage(side, "occurrences") for side in _occurrences(prof))
+    n = lambda df, c: df.groupBy("rule", "key").agg(F.count("*").alias(c))
+    salts = stage(n(left, "l").join(n(right, "r"), ["rule", "key"]).select("rule", "key", F.ceil(F.col("l") * F.col("r") / TASK_PAIRS).cast("int").alias("salts")), "salts")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    one = left.join(salts, ["rule", "key"]).select("rule", "key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("x"), F.col("i").alias("xi"))
+    two = right.join(salts, ["rule", "key"]).select("rule", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("y"), F.col("i").alias("yi"))
+    on = ["rule", "key", "salt"]
+    met = one.repartition(parts, *on).join(two.repartition(parts, *on), on).filter("x <> y")
+    up = F.col("x") < F.col("y")
+    way = F.when(up, 0).otherwise(1).cast("long")
+    mine, other = F.when(up, F.col("xi")).otherwise(F.col("yi")), F.when(up, F.col("yi")).otherwise(F.col("xi"))
+    zero = F.lit(0).cast("long")
+
+    def pack(p: int, *places) -> Column:
+        room = F.greatest(*places) < PLACES
+        code = F.lit(p - 1).cast("long")
+        for v in places:
+            code = code * PLACES + v
+        return F.when(room, code).otherwise(F.raise_error(F.lit(f"a profile list of more than {PLACES} elements")).cast("long"))
+
+    rule = F.col("rule")
+    rank = F.when(rule == 1, pack(1, mine, zero, zero)).when(rule == 2, pack(2, way, F.col("xi"), zero)).when(rule == 3, pack(3, mine, other, zero))
+    rank = rank.when(rule == 4, pack(3, mine, other, zero + 1)).otherwise(pack(4, way, F.col("xi"), F.col("yi")))
+    best = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), rank.alias("rank")).groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    place = lambda k: F.shiftright("rank", 20 * k).bitwiseAND(F.lit(PLACES - 1).cast("long"))
+    o1, o2, o3 = place(2), place(1), place(0)
+    p = (F.shiftright("rank", 60) + 1).cast("int")
+    hits = best.select("a", "b", p.alias("priority"), o1.alias("o1"), o2.alias("o2"), o3.alias("o3"))
+    p = F.col("priority")
+    other_side = ((p == 2) & (F.col("o1") == 1)) | ((p == 4) & (F.col("o1") == 0))
+    slot = F.when(p == 1, F.col("o1") + PLACES).when(p == 2, F.col("o2") + 2 * PLACES).when(p == 3, (F.col("o3") + 3) * PLACES + F.col("o1")).otherwise(F.col("o3") + 5 * PLACES)
+    hits = hits.select("a", "b", "priority", F.when(other_side, F.col("b")).otherwise(F.col("a")).alias("owner"), slot.alias("slot"))
+    keys = _keys(prof)
+    if freq is not None:
+        rated = with_specificity(keys.select("kind", "key").distinct(), freq, total)
+        keys = keys.join(rated, ["kind", "key"])
+    return hits.join(stage(keys, "keys"), ["owner", "slot"]).drop("owner", "slot")

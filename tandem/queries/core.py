@@ -382,28 +382,28 @@ def role_frequency(spark, d):
 
 @query
 def role_join(spark, d):
+    """All pairs of profiled images that a role rule connects, stored as pairs or not."""
+    return roles.connect_all(stage(roles.profiles(table(spark, d, "images")), "profiles"))
+
+
+def _rated(spark, d):
     prof = stage(roles.profiles(table(spark, d, "images")), "profiles")
-    return roles.connect(pairs_once(spark, d), prof).select("id", "priority", "kind", "key")
+    return roles.connect_all(prof, roles.frequencies(prof), prof.count())
 
 
 @query
 def role_specificity(spark, d):
-    prof = stage(roles.profiles(table(spark, d, "images")), "profiles")
-    hits = roles.connect(pairs_once(spark, d), prof).select("id", "priority", "kind", "key")
-    got = roles.with_specificity(hits, roles.frequencies(prof), prof.count())
-    return got.select("id", "priority", r6(F.col("specificity")).alias("specificity"))
+    return _rated(spark, d).select("a", "b", "priority", r6(F.col("specificity")).alias("specificity"))
 
 
 @query
 def role_admission(spark, d):
-    """Role connections admitted rarest first within priorities, under the degree cap of each priority."""
-    prof = stage(roles.profiles(table(spark, d, "images")), "profiles")
-    hits = roles.connect(pairs_once(spark, d), prof)
-    rated = stage(roles.with_specificity(hits, roles.frequencies(prof), prof.count()).filter("a <> b"), "rated")
-    order = [F.col("priority").asc(), F.col("specificity").desc(), F.col("a").asc(), F.col("b").asc(), F.col("id").asc()]
+    """Role connections of all pairs admitted rarest first within priorities, under the degree cap of each priority."""
+    rated = stage(_rated(spark, d).select("a", "b", "priority", "specificity"), "rated")
+    order = [F.col("priority").asc(), F.col("specificity").desc(), F.col("a").asc(), F.col("b").asc()]
     pos = ranged_positions(rated.withColumn("g", F.lit(0)), ["g"], order, label="order")
-    edges = pos.select(F.col("position").alias("pos"), "a", "b", F.col("priority").alias("kind"), "id")
-    return greedy.capped_greedy(edges.select("pos", "a", "b", "kind"), {1: 8, 2: 8, 3: 5, 4: 12}).join(edges.select("pos", "id"), "pos").select("id", F.col("kind").alias("priority"))
+    edges = pos.select(F.col("position").alias("pos"), "a", "b", F.col("priority").alias("kind"))
+    return greedy.capped_greedy(edges, {1: 8, 2: 8, 3: 5, 4: 12}).select("a", "b", F.col("kind").alias("priority"))
 
 
 @query
