@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import vocab
@@ -78,3 +78,22 @@ def representative(names: Column) -> Column:
     """The heaviest cluster, equal weights by name; null for none."""
     ranked = F.array_sort(F.transform(names, lambda n: F.struct((-weight_of(n, 0.0)).alias("w"), n.alias("n"))))
     return F.try_element_at(ranked, F.lit(1))["n"]
+
+
+def keyword_audit(captions: DataFrame, rows: Iterable[tuple[str, int, str]] | None = None) -> DataFrame:
+    """(cluster, grp, keyword, captions, sole) of every keyword of all groups, also those that never occur: in how many
+    captions it occurs, and in how many the cluster would not fire without it, being alone in its group while every
+    other group of the cluster is met.  Needs id and caption."""
+    rows = list(rows) if rows is not None else vocab.starter_rows()
+    groups: dict[str, set[int]] = {}
+    for c, g, _ in rows:
+        groups.setdefault(c, set()).add(g)
+    words = captions.sparkSession.createDataFrame([(c, g, k, len(groups[c])) for c, g, k in sorted(set(rows))], "cluster string, grp int, keyword string, need int")
+    toks = captions.select("id", F.explode(F.array_distinct(tokenize(F.col("caption")))).alias("keyword")).distinct()
+    hits = toks.join(F.broadcast(words), "keyword")  # the vocabulary is a fixed list
+    met = hits.groupBy("id", "cluster", "need", "grp").agg(F.count("*").alias("k"), F.min("keyword").alias("keyword"))
+    fires = met.groupBy("id", "cluster", "need").agg(F.collect_list(F.struct("grp", "keyword", "k")).alias("by")).filter(F.size("by") == F.col("need"))
+    sole = fires.select("cluster", F.inline("by")).filter("k = 1").groupBy("cluster", "grp", "keyword").agg(F.count("*").alias("sole"))
+    on = ["cluster", "grp", "keyword"]
+    got = words.drop("need").join(hits.groupBy(on).agg(F.count("*").alias("captions")), on, "left").join(sole, on, "left")
+    return got.na.fill(0, ["captions", "sole"])

@@ -201,7 +201,8 @@ def caption_overlap(spark, d):
 
 @query
 def keyword_firing(spark, d):
-    """How many captions each keyword of the cluster vocabulary occurs in, and in how many it alone fires."""
+    """How many captions each first-group keyword occurs in, and in how many no other of its group does, as the SQL
+    equivalent has it; ``keyword_audit`` has every keyword and the group condition."""
     words = spark.createDataFrame(vocab.starter_rows(), "cluster string, grp int, keyword string").filter("grp = 0")
     toks = images_once(spark, d, "caption").select("id", F.explode(F.array_distinct(X.tokenize(F.col("caption")))).alias("keyword")).distinct()
     hits = toks.join(F.broadcast(words), "keyword")  # the vocabulary is a fixed list
@@ -209,6 +210,12 @@ def keyword_firing(spark, d):
     return hits.groupBy("cluster", "keyword").agg(F.count("*").alias("captions")).join(sole, ["cluster", "keyword"], "left").select("cluster", "keyword", "captions", F.coalesce("sole", F.lit(0)).alias("sole"))
 
 
+@query
+def keyword_audit(spark, d):
+    """How many captions each keyword of all groups occurs in, and in how many its cluster fires by it alone."""
+    return C.keyword_audit(images_once(spark, d, "caption"))
+
+
 @query
 def cluster_distribution(spark, d):
     """Pairs by shared cluster and selection pool, as a pivot."""
