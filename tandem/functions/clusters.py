@@ -21,7 +21,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def fired(tokens: Column, rows: Iterable[tuple[str, int, str]] | None = None) -> Column:
     """Sorted names of the clusters whose every keyword group meets the tokens."""
     groups: dict[str, dict[int, list[str]]] = {}
-    for c, g, k in rows if rows is not None else vocab.starter_rows():
+    for c, g, k in rows if rows is not None else vocab.full_rows():
         groups.setdefault(c, {}).setdefault(g, []).append(k)
     meets = lambda words: F.arrays_overlap(tokens, F.array(*map(F.lit, sorted(words))))
     each = [F.when(reduce(lambda x, y: x & y, [meets(w) for w in gs.values()]), F.lit(name)) for name, gs in sorted(groups.items())]
@@ -84,7 +84,7 @@ def keyword_audit(captions: DataFrame, rows: Iterable[tuple[str, int, str]] | No
     """(cluster, grp, keyword, captions, sole) of every keyword of all groups, also those that never occur: in how many
     captions it occurs, and in how many the cluster would not fire without it, being alone in its group while every
     other group of the cluster is met.  Needs id and caption."""
-    rows = list(rows) if rows is not None else vocab.starter_rows()
+    rows = list(rows if rows is not None else vocab.full_rows())
     groups: dict[str, set[int]] = {}
     for c, g, _ in rows:
         groups.setdefault(c, set()).add(g)

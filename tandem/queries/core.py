@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from tandem.runtime import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: The cluster vocabulary of the queries that read captions; their SQL equivalents have the starter set.
+VOCABULARY: ContextVar[tuple[tuple[str, int, str], ...]] = ContextVar("vocabulary", default=tuple(vocab.starter_rows()))
 
 
 def query(f: Query) -> Query:
@@ -98,7 +101,7 @@ def visual_kernels(spark, d):
 
 def _full_scores(spark, d):
     v = _visual_scores(spark, d)
-    img = meta(spark, d).select("id", "folderid", "date", "filename", "caption", "bw", "gaze", "hue", "sat", "x", "y", C.caption_clusters(F.col("caption")).alias("cl"))
+    img = meta(spark, d).select("id", "folderid", "date", "filename", "caption", "bw", "gaze", "hue", "sat", "x", "y", C.caption_clusters(F.col("caption"), VOCABULARY.get()).alias("cl"))
     m = with_images(v, stage(img, "meta"))
     col = lambda n: (F.col(f"a_{n}"), F.col(f"b_{n}"))
     echo = K.accent_echo(F.col("a_hue"), F.col("a_sat"), F.col("b_hue"), F.col("b_sat"))
@@ -159,7 +162,7 @@ def pair_rationale(spark, d):
 @query
 def temporal_penalty(spark, d):
     """Time factor, burst and sequence flags, and the event factor of every pair."""
-    m = with_images(pairs_once(spark, d), meta(spark, d).select("id", "date", "filename", C.meaningful(C.caption_clusters(F.col("caption"))).alias("cl")))
+    m = with_images(pairs_once(spark, d), meta(spark, d).select("id", "date", "filename", C.meaningful(C.caption_clusters(F.col("caption"), VOCABULARY.get())).alias("cl")))
     t = (F.col("a_date"), F.col("b_date"))
     variants = X.filename_variants(F.col("a_filename"), F.col("b_filename"))
     return m.select("id", K.temporal_penalty(*t).alias("penalty"), variants.alias("variants"), K.is_burst(*t, variants).alias("burst"), F.coalesce(F.abs(t[0] - t[1]) <= 10, F.lit(False)).alias("sequential"), K.event_factor(*t, F.arrays_overlap("a_cl", "b_cl")).alias("event"))
@@ -176,17 +179,17 @@ def tokenize_stem(spark, d):
 
 @query
 def match_clusters(spark, d):
-    return images_once(spark, d, "caption").select("id", F.explode(C.caption_clusters(F.col("caption"))).alias("cluster")).distinct()
+    return images_once(spark, d, "caption").select("id", F.explode(C.caption_clusters(F.col("caption"), VOCABULARY.get())).alias("cluster")).distinct()
 
 
 @query
 def representative_cluster(spark, d):
-    return images_once(spark, d, "caption").select("id", C.representative(C.caption_clusters(F.col("caption"))).alias("cluster")).filter("cluster IS NOT NULL")
+    return images_once(spark, d, "caption").select("id", C.representative(C.caption_clusters(F.col("caption"), VOCABULARY.get())).alias("cluster")).filter("cluster IS NOT NULL")
 
 
 @query
 def weighted_dice(spark, d):
-    m = with_images(pairs_once(spark, d), meta(spark, d).select("id", C.caption_clusters(F.col("caption")).alias("cl")))
+    m = with_images(pairs_once(spark, d), meta(spark, d).select("id", C.caption_clusters(F.col("caption"), VOCABULARY.get()).alias("cl")))
     return m.select("id", r6(C.weighted_dice(F.col("a_cl"), F.col("b_cl"))).alias("dice"), C.axis_bonus(F.col("a_cl"), F.col("b_cl")).alias("bonus"))
 
 
@@ -213,14 +216,14 @@ def keyword_firing(spark, d):
 @query
 def keyword_audit(spark, d):
     """How many captions each keyword of all groups occurs in, and in how many its cluster fires by it alone."""
-    return C.keyword_audit(images_once(spark, d, "caption"))
+    return C.keyword_audit(images_once(spark, d, "caption"), VOCABULARY.get())
 
 
 @query
 def cluster_distribution(spark, d):
     """Pairs by shared cluster and selection pool, as a pivot."""
     s = scored(spark, d).select("id", "a", "b", "selectedfor")
-    m = with_images(s, meta(spark, d).select("id", C.caption_clusters(F.col("caption")).alias("cl")))
+    m = with_images(s, meta(spark, d).select("id", C.caption_clusters(F.col("caption"), VOCABULARY.get()).alias("cl")))
     both = m.select("selectedfor", F.explode(F.array_intersect("a_cl", "b_cl")).alias("cluster"))
     return both.groupBy("cluster").pivot("selectedfor", ["composite", "thematic", "geometric", "aesthetic"]).count().na.fill(0)
 
@@ -340,7 +343,7 @@ def folder_best_pairs(spark, d):
 def _library(spark, d):
     img = meta(spark, d).filter("folderid IS NOT NULL")
     both = features.features(table(spark, d, "clipoutput")).join(img, "id").withColumn("scope", F.col("folderid").cast("string"))
-    return scoring.score_library(scoring.prepare(both), k=10)
+    return scoring.score_library(scoring.prepare(both, VOCABULARY.get()), k=10)
 
 
 @query
@@ -709,3 +712,22 @@ def p4_texts(spark, d):
     nodes = nested.flatten_profiles(table(spark, d, "images"), "id", "roleprofile")
     got = nested.node_table(nodes, ["subjects", "claims", "enacts", "subverts", "directed_at"], "value string", "value")
     return got.withColumn("field", F.regexp_extract("nodepath", r"^([a-z_]+)", 1))
+
+
+# --- the same with the whole cluster vocabulary -------------------------------------------------------
+
+
+def _whole_vocabulary(f: Query) -> Query:
+    def run(spark, d):
+        mark = VOCABULARY.set(vocab.full_rows())
+        try:
+            return f(spark, d)
+        finally:
+            VOCABULARY.reset(mark)
+
+    run.__name__, run.__doc__ = f"{f.__name__}_full", f"``{f.__name__}`` with the whole cluster vocabulary."
+    return run
+
+
+for _f in (match_clusters, representative_cluster, weighted_dice, cluster_distribution, temporal_penalty, pair_scores, pair_rationale, library_pairs, keyword_audit):
+    query(_whole_vocabulary(_f))

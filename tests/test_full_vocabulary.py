@@ -1,0 +1,36 @@
+"""Cluster queries with the whole vocabulary against the SQL equivalents written for it."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from tandem.functions import vocab
+from tandem.queries import core, sql
+
+DATA = "/root/testdata/sf0.001"
+NAMES = ("match_clusters", "representative_cluster", "weighted_dice", "temporal_penalty", "cluster_distribution", "pair_scores", "pair_rationale", "library_pairs")
+
+
+def test_whole_vocabulary():
+    rows = vocab.full_rows()
+    assert {c for c, _, _ in rows} == set(vocab.CLUSTER_WEIGHTS) and len(set(rows)) == len(rows) > 600
+    assert {c for c, g, _ in rows if g} == {c for c, g, _ in vocab.starter_rows() if g}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+@pytest.mark.parametrize("name", NAMES)
+def test_equals_sql(spark, name, monkeypatch):
+    monkeypatch.setattr(vocab, "starter_rows", lambda: list(vocab.full_rows()))
+    assert sql.CLU in sql.ORACLES[name]
+    text = sql.ORACLES[name].replace(sql.CLU, f"clu AS (SELECT id, {sql._clusters()} AS cl FROM tok)")
+    con = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    df = core.QUERIES[f"{name}_full"](spark, DATA)
+    cols = sorted(df.columns)
+    cell = lambda v: repr(round(float(v), 6) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    canon = lambda rows: sorted(tuple(map(cell, r)) for r in rows)
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({text})").fetchall()
+    assert canon(map(tuple, df.select(*cols).collect())) == canon(want)
