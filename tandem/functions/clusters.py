@@ -18,19 +18,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fired(tokens: Column, rows: Iterable[tuple[str, int, str]] | None = None) -> Column:
+def fired(tokens: Column, rows: Iterable[tuple[str, int, str]]) -> Column:
     """Sorted names of the clusters whose every keyword group meets the tokens."""
     groups: dict[str, dict[int, list[str]]] = {}
-    for c, g, k in rows if rows is not None else vocab.full_rows():
+    for c, g, k in rows:
         groups.setdefault(c, {}).setdefault(g, []).append(k)
     meets = lambda words: F.arrays_overlap(tokens, F.array(*map(F.lit, sorted(words))))
     each = [F.when(reduce(lambda x, y: x & y, [meets(w) for w in gs.values()]), F.lit(name)) for name, gs in sorted(groups.items())]
     return F.filter(F.array(*each), lambda x: x.isNotNull())
 
 
-def caption_clusters(caption: Column, rows: Iterable[tuple[str, int, str]] | None = None) -> Column:
-    """Clusters of a caption; none for a null or empty one."""
-    rows = list(rows) if rows is not None else None
+def caption_clusters(caption: Column, rows: Iterable[tuple[str, int, str]]) -> Column:
+    """Clusters of a caption under a vocabulary of (cluster, group, keyword); none for a null or empty one."""
+    rows = list(rows)
     return let(tokenize(caption), lambda t: fired(t, rows))
 
 
@@ -80,20 +80,24 @@ def representative(names: Column) -> Column:
     return F.try_element_at(ranked, F.lit(1))["n"]
 
 
-def keyword_audit(captions: DataFrame, rows: Iterable[tuple[str, int, str]] | None = None) -> DataFrame:
-    """(cluster, grp, keyword, captions, sole) of every keyword of all groups, also those that never occur: in how many
-    captions it occurs, and in how many the cluster would not fire without it, being alone in its group while every
-    other group of the cluster is met.  Needs id and caption."""
-    rows = list(rows if rows is not None else vocab.full_rows())
+def keyword_audit(captions: DataFrame, rows: Iterable[tuple[str, int, str]]) -> DataFrame:
+    """(cluster, grp, keyword, captions, percent, sole) of every keyword of all groups, also those that never occur: in how
+    many captions it occurs, that number in percent of the captions its cluster fires in (null where it fires in none), and
+    in how many the cluster would not fire without it, being alone in its group while every other group is met.  Needs id
+    and caption."""
+    rows = list(rows)
     groups: dict[str, set[int]] = {}
     for c, g, _ in rows:
         groups.setdefault(c, set()).add(g)
-    words = captions.sparkSession.createDataFrame([(c, g, k, len(groups[c])) for c, g, k in sorted(set(rows))], "cluster string, grp int, keyword string, need int")
-    toks = captions.select("id", F.explode(F.array_distinct(tokenize(F.col("caption")))).alias("keyword")).distinct()
+    spark = captions.sparkSession
+    words = spark.createDataFrame([(c, g, k, len(groups[c])) for c, g, k in sorted(set(rows))], "cluster string, grp int, keyword string, need int")
+    tok = captions.select("id", F.array_distinct(tokenize(F.col("caption"))).alias("t"))
+    toks = tok.select("id", F.explode("t").alias("keyword")).distinct()
     hits = toks.join(F.broadcast(words), "keyword")  # the vocabulary is a fixed list
     met = hits.groupBy("id", "cluster", "need", "grp").agg(F.count("*").alias("k"), F.min("keyword").alias("keyword"))
     fires = met.groupBy("id", "cluster", "need").agg(F.collect_list(F.struct("grp", "keyword", "k")).alias("by")).filter(F.size("by") == F.col("need"))
     sole = fires.select("cluster", F.inline("by")).filter("k = 1").groupBy("cluster", "grp", "keyword").agg(F.count("*").alias("sole"))
     on = ["cluster", "grp", "keyword"]
-    got = words.drop("need").join(hits.groupBy(on).agg(F.count("*").alias("captions")), on, "left").join(sole, on, "left")
-    return got.na.fill(0, ["captions", "sole"])
+    fired_in = fires.groupBy("cluster").agg(F.count("*").alias("fired"))
+    got = words.drop("need").join(hits.groupBy(on).agg(F.count("*").alias("captions")), on, "left").join(sole, on, "left").join(fired_in, "cluster", "left").na.fill(0, ["captions", "sole"])
+    return got.select(*on, "captions", F.round(F.col("captions") * 100 / F.col("fired"), 6).alias("percent"), "sole")

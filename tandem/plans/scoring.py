@@ -7,11 +7,12 @@ tiles' best are the best of all, so the pools over the returned edges are exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import clusters, vocab
@@ -23,7 +24,7 @@ OUT = "a long, b long, aesthetic double, geometric double, thematic double, comp
 SCALARS = ("date", "gaze", "hue", "sat", "x", "y")
 
 
-def prepare(images: DataFrame, vocabulary=None) -> DataFrame:
+def prepare(images: DataFrame, vocabulary, *keep: str) -> DataFrame:
     """Adds what a tile needs per image once: fired clusters as flags, hashed base forms of the file name.
 
     ``images``: id, scope, clip, hist, palette, edge, grid, date, filename, caption, bw, gaze, hue, sat, x, y."""
@@ -34,7 +35,7 @@ def prepare(images: DataFrame, vocabulary=None) -> DataFrame:
     four = F.slice(F.concat(bases, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: -F.col("id") * 8 - i)), 1, 4)
     return images.select(
         "id", "scope", *(F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("clip", "hist", "palette", "edge", "grid")), *(F.col(c).cast("double").alias(c) for c in SCALARS),
-        F.coalesce("bw", F.lit(False)).alias("bw"), (F.coalesce("caption", F.lit("")) != "").alias("captioned"), flags.alias("flags"), four.alias("bases"), F.xxhash64(F.lower("filename")).alias("name"), "cl",
+        F.coalesce("bw", F.lit(False)).alias("bw"), (F.coalesce("caption", F.lit("")) != "").alias("captioned"), flags.alias("flags"), four.alias("bases"), F.xxhash64(F.lower("filename")).alias("name"), "cl", *keep,
     )
 
 
@@ -154,26 +155,18 @@ def _keep(score: np.ndarray, ok: np.ndarray, k: int) -> Iterator[np.ndarray]:
 AMODES, GMODES = ("harmony", "contrast", "accent_echo"), ("structural", "gaze_conversation", "opposing_diagonals", "directional_complement")
 
 
-def score_library(prepared: DataFrame, k: int = 50, block: int = 512, thematic_floor: float = 0.20, aesthetic_floor: float = 0.55, few: int = 5) -> DataFrame:
-    """Scored edges (a < b; ``flipped``: in a gaze conversation b looks right) of all pairs inside each scope that a
-    pool of ``select_pools`` with the same parameters could admit.
-
-    Edges of a burst (300 s or variants of one file name) or with a composite of 0 or less never come.
-    ``prepared`` must have one row per id; null scopes and vectors take no part."""
-    rows = stage(prepared.filter("scope IS NOT NULL AND clip IS NOT NULL"), "prepared")
-    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = rows.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiles = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = tiles.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with", "blocks", "cl")
+def _tile(k: int, thematic_floor: float, aesthetic_floor: float, few: int):
+    """Scores one tile (blocks i and j of a group) and returns the edges that some pool could still admit."""
+    names, kinds = zip(*(x.split(" ") for x in OUT.split(", ")))
+    kind = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def tile(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         i, j, own = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("own").to_numpy()
         p = Block(t, np.nonzero(own == i)[0])
         q = p if i == j else Block(t, np.nonzero(own == j)[0])
-        names = [x.split(" ")[0] for x in OUT.split(", ")]
         if not len(p.id) or not len(q.id):
-            return pa.table({n: pa.array([], {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[x.split(" ")[1]]) for n, x in zip(names, OUT.split(", "))})
+            return pa.table({n: pa.array([], kind[x]) for n, x in zip(names, kinds)})
         s = score_tile(p, q)
         for n in ("aesthetic", "geometric", "thematic", "composite"):
             s[n] = np.round(s[n], 9)  # equal images tie, whatever their place in a matrix product
@@ -191,4 +184,36 @@ def score_library(prepared: DataFrame, k: int = 50, block: int = 512, thematic_f
         cols = [np.minimum(p.id[x], q.id[y]), np.maximum(p.id[x], q.id[y]), *(s[n][x, y] for n in ("aesthetic", "geometric", "thematic", "composite")), np.array(AMODES)[s["amode"][x, y]], np.array(GMODES)[s["gmode"][x, y]], flipped]
         return pa.table(dict(zip(names, map(pa.array, cols))))
 
-    return heavy_groups(keyed, "scope", "i", "j").applyInArrow(tile, OUT)
+    return tile
+
+
+def score_library(prepared: DataFrame, k: int = 50, block: int = 512, thematic_floor: float = 0.20, aesthetic_floor: float = 0.55, few: int = 5) -> DataFrame:
+    """Scored edges (a < b; ``flipped``: in a gaze conversation b looks right) of all pairs inside each scope that a
+    pool of ``select_pools`` with the same parameters could admit.
+
+    Edges of a burst (300 s or variants of one file name) or with a composite of 0 or less never come.
+    ``prepared`` must have one row per id; null scopes and vectors take no part."""
+    rows = stage(prepared.filter("scope IS NOT NULL AND clip IS NOT NULL"), "prepared")
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = rows.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tiles = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = tiles.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with", "blocks", "cl")
+    return heavy_groups(keyed, "scope", "i", "j").applyInArrow(_tile(k, thematic_floor, aesthetic_floor, few), OUT)
+
+
+def score_cross(prepared: DataFrame, new: Column, k: int = 50, block: int = 512, thematic_floor: float = 0.20, aesthetic_floor: float = 0.55, few: int = 5) -> DataFrame:
+    """As ``score_library``, for all pairs of a new image (where ``new`` is true) with an old one, over all scopes.
+
+    Only tiles of a new with an old block are made, so the work is the batch times the rest and not its square.
+    Images with a null vector take no part; a null ``new`` is old."""
+    rows = stage(prepared.filter("clip IS NOT NULL").withColumn("fresh", F.coalesce(new, F.lit(False))), "prepared")
+    n = {r.fresh: math.ceil(r.n / block) for r in rows.groupBy("fresh").agg(F.count("*").alias("n")).collect()}
+    mine, other = n.get(True, 0), n.get(False, 0)
+    if not mine or not other:
+        return prepared.sparkSession.createDataFrame([], OUT)
+    blocks, partners = F.when(F.col("fresh"), mine).otherwise(other), F.when(F.col("fresh"), other).otherwise(mine)
+    # new blocks are numbered from 0 and old ones after them
+    own = (F.pmod(F.xxhash64("id"), blocks) + F.when(F.col("fresh"), 0).otherwise(mine)).cast("int")
+    first = F.when(F.col("fresh"), mine).otherwise(0)
+    tiles = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(first, first + partners - 1))).withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
+    return heavy_groups(tiles.drop("with", "cl", "fresh"), "i", "j").applyInArrow(_tile(k, thematic_floor, aesthetic_floor, few), OUT)

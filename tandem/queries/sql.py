@@ -29,7 +29,7 @@ def tokens(col: str) -> str:
 
 def _clusters() -> str:
     groups: dict[str, dict[int, list[str]]] = {}
-    for c, g, k in vocab.starter_rows():
+    for c, g, k in vocab.default_rows():
         groups.setdefault(c, {}).setdefault(g, []).append(k)
     each = ", ".join("CASE WHEN " + " AND ".join(f"list_has_any(tok, [{_list(w)}])" for w in gs.values()) + f" THEN '{c}' END" for c, gs in sorted(groups.items()))
     return f"list_filter([{each}], lambda x: x IS NOT NULL)"
@@ -147,10 +147,13 @@ allp AS (SELECT id, p FROM {_pool(0, 'composite', 50)} UNION ALL SELECT id, p FR
   UNION ALL SELECT id, p FROM geo UNION ALL SELECT id, p FROM bon WHERE image NOT IN (SELECT image FROM geo WHERE NOT structural)
   UNION ALL SELECT id, p FROM {_pool(3, 'aesthetic', 5, 'aesthetic >= 0.55')})"""
 _HASH = "hsh AS (SELECT DISTINCT id, ('0x' || dhash)::UBIGINT AS h FROM images WHERE id IS NOT NULL AND regexp_full_match(dhash, '[0-9a-fA-F]{1,16}'))"
+_HASH40 = "hsh AS (SELECT h, min(id) AS id FROM (SELECT id, ('0x' || dhash)::UBIGINT >> 24 AS h FROM images WHERE id IS NOT NULL AND regexp_full_match(dhash, '[0-9a-fA-F]{1,16}')) GROUP BY h)"
 _NEAR = "near AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h)) AS distance FROM hsh x JOIN hsh y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 8)"
-_COMP = """reach AS (SELECT a AS id, a AS other FROM near UNION SELECT b, b FROM near UNION SELECT r.id, CASE WHEN n.a = r.other THEN n.b ELSE n.a END FROM reach r JOIN near n ON n.a = r.other OR n.b = r.other),
+_COMP = f"""dated AS (SELECT DISTINCT id, capturedate, filename FROM images WHERE id IS NOT NULL AND dhash <> '' AND filename <> '' AND NOT isnan(capturedate)),
+link AS (SELECT a, b FROM near UNION SELECT least(x.id, y.id), greatest(x.id, y.id) FROM dated x JOIN dated y ON x.id <> y.id AND x.capturedate = y.capturedate AND {_VAR}),
+reach AS (SELECT a AS id, a AS other FROM link UNION SELECT b, b FROM link UNION SELECT r.id, CASE WHEN n.a = r.other THEN n.b ELSE n.a END FROM reach r JOIN link n ON n.a = r.other OR n.b = r.other),
 grp AS (SELECT id, min(other) AS groupid FROM reach GROUP BY id)"""
-PROF = """raw_p AS (SELECT id, max(roleprofile)::JSON AS j FROM images WHERE id IS NOT NULL AND roleprofile LIKE '{%' AND json_valid(roleprofile) GROUP BY id),
+PROF = """raw_p AS (SELECT id, max(roleprofile)::JSON AS j FROM images WHERE id IS NOT NULL AND roleprofile LIKE '{%' AND json_valid(roleprofile) AND ishero AND isactive GROUP BY id),
 arr AS (SELECT id, f, json_extract(j, '$.' || f) AS v FROM raw_p, (SELECT unnest(['claims', 'enacts', 'subverts', 'phenomena', 'objects']) AS f)),
 el AS (SELECT id, f, unnest(json_extract(v, '$[*]')) AS x, generate_subscripts(json_extract(v, '$[*]'), 1) AS i FROM arr WHERE json_type(v) = 'ARRAY'),
 badf AS (SELECT DISTINCT id, f FROM el WHERE CASE WHEN f IN ('phenomena', 'objects') THEN json_type(x) <> 'OBJECT' OR (f = 'phenomena' AND ((x->>'$.phenomenon') IS NULL OR (x->>'$.role') IS NULL)) ELSE json_type(x) <> 'VARCHAR' END),
@@ -183,12 +186,16 @@ ORACLES = {
     "weighted_dice": w(PRS, META, TOK, CLU) + f"SELECT p.id, round({_dice('x.cl', 'y.cl')}, 6) AS dice, {_bonus('x.cl', 'y.cl')} AS bonus FROM prs p JOIN clu x ON x.id = p.a JOIN clu y ON y.id = p.b",
     "caption_overlap": w(PRS, META, f"wrd AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(caption), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda z: length(z) > 3 AND z NOT IN ({_list(vocab.OVERLAP_STOP_WORDS)}))) AS ws FROM meta)")
     + "SELECT p.id, round(CASE WHEN len(x.ws) > 0 AND len(y.ws) > 0 THEN len(list_intersect(x.ws, y.ws))::DOUBLE / (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) ELSE 0.0 END, 6) AS overlap FROM prs p JOIN wrd x ON x.id = p.a JOIN wrd y ON y.id = p.b",
-    "keyword_firing": w(META, TOK, "voc(cluster, keyword) AS (VALUES " + ", ".join(f"('{c}', '{k}')" for c, g, k in vocab.starter_rows() if g == 0) + ")", "hit AS (SELECT DISTINCT id, cluster, keyword FROM (SELECT id, unnest(tok) AS keyword FROM tok) JOIN voc USING (keyword))")
-    + "SELECT cluster, keyword, count(*) AS captions, count(*) FILTER (WHERE k = 1) AS sole FROM (SELECT *, count(*) OVER (PARTITION BY id, cluster) AS k FROM hit) GROUP BY cluster, keyword",
+    "keyword_firing": w(META, TOK, "voc(cluster, grp, keyword) AS (VALUES " + ", ".join(f"('{c}', {g}, '{k}')" for c, g, k in vocab.default_rows()) + ")",
+        "hit AS (SELECT DISTINCT id, cluster, grp, keyword FROM (SELECT id, unnest(tok) AS keyword FROM tok) JOIN voc USING (keyword))",
+        "per AS (SELECT *, count(*) OVER (PARTITION BY id, cluster, grp) AS k FROM hit)",
+        "fir AS (SELECT id, cluster FROM hit GROUP BY id, cluster HAVING count(DISTINCT grp) = (SELECT count(DISTINCT v.grp) FROM voc v WHERE v.cluster = hit.cluster))")
+    + """SELECT v.cluster, v.grp, v.keyword, count(p.id) AS captions, round(count(p.id) * 100.0::DOUBLE / any_value(t.n), 6) AS percent, count(f.id) FILTER (WHERE p.k = 1) AS sole FROM voc v LEFT JOIN per p USING (cluster, grp, keyword)
+        LEFT JOIN fir f ON f.id = p.id AND f.cluster = p.cluster LEFT JOIN (SELECT cluster, count(*) AS n FROM fir GROUP BY cluster) t ON t.cluster = v.cluster GROUP BY v.cluster, v.grp, v.keyword""",
     "cluster_distribution": w(SCO, META, TOK, CLU) + "SELECT cluster, " + ", ".join(f"count(*) FILTER (WHERE selectedfor = '{s}') AS {s}" for s in ("composite", "thematic", "geometric", "aesthetic"))
     + " FROM (SELECT s.selectedfor, unnest(list_intersect(x.cl, y.cl)) AS cluster FROM sco s JOIN clu x ON x.id = s.a JOIN clu y ON y.id = s.b) GROUP BY cluster",
     "flagged_captions": w(IMG) + "SELECT DISTINCT id FROM img WHERE (caption ILIKE '%gaze%' OR caption ILIKE '%looking%' OR caption ILIKE '%eyes%') AND NOT caption ILIKE '%sign reads%'",
-    "hamming_pairs": w(_HASH, _NEAR) + "SELECT a AS id_lo, b AS id_hi, min(distance) AS distance FROM near GROUP BY a, b",
+    "hamming_pairs": w(_HASH40, _NEAR) + "SELECT a, b, distance FROM near",
     "dup_components": w(_HASH, _NEAR, _COMP) + "SELECT id, groupid FROM grp",
     "dup_heroes": w(_HASH, _NEAR, _COMP) + "SELECT groupid, first(id ORDER BY date IS NULL, date, id) AS heroid FROM grp JOIN (SELECT id, min(capturedate) AS date FROM images GROUP BY id) USING (id) GROUP BY groupid",
     "pool_labels": w(SCO, EDG, POOLED) + "SELECT id, (['composite', 'thematic', 'geometric', 'aesthetic'])[min(p) + 1] AS label FROM allp GROUP BY id",
@@ -217,7 +224,7 @@ ORACLES = {
     "liked_pairs": w(SCO, DEC) + "SELECT id FROM sco WHERE EXISTS (SELECT 1 FROM dec d WHERE d.pairid = sco.id AND d.decision = 'liked')",
     "grid_filters": w(IMG, SCO, DEC, VIEW) + "SELECT id FROM view_ WHERE acta AND actb AND coalesce(decision, '') NOT IN ('rejected', 'deleted') AND NOT coalesce(abs(da - db) <= 10, false) AND composite >= 0.3",
     "orphan_pairs": w(IMG, PRS) + "SELECT id FROM prs WHERE a NOT IN (SELECT id FROM img WHERE isactive) OR b NOT IN (SELECT id FROM img WHERE isactive)",
-    "dead_images": w(IMG, PRS) + "SELECT id FROM img WHERE NOT isactive AND id NOT IN (SELECT a FROM prs UNION SELECT b FROM prs)",
+    "dead_images": w(IMG, PRS) + """SELECT DISTINCT id FROM img WHERE NOT isactive AND id NOT IN (SELECT unnest([a, b]) FROM prs WHERE a IN (SELECT id FROM img WHERE isactive) AND b IN (SELECT id FROM img WHERE isactive))""",
     "image_pair_counts": w(PRS) + "SELECT image, sum(n)::BIGINT AS pairs FROM (SELECT a AS image, count(*) AS n FROM prs GROUP BY a UNION ALL SELECT b, count(*) FROM prs GROUP BY b) GROUP BY image",
     "folder_summary": w(IMG, PRS) + """SELECT f.id AS folderid, count(i.id) AS images, coalesce((SELECT count(*) FROM prs p JOIN img x ON x.id = p.a JOIN img y ON y.id = p.b WHERE x.isactive AND y.isactive AND x.folderid = f.id AND y.folderid = f.id), 0) AS pairs
         FROM folders f LEFT JOIN img i ON i.folderid = f.id AND i.isactive GROUP BY f.id""",
@@ -255,7 +262,7 @@ def _slot_list() -> str:
 
 
 ORACLES["stratified_queue"] = ORACLES["stratified_queue"].replace("(SELECT_SLOTS)", f"({_slot_list()})")
-ORACLES["folder_best_pairs"] = w(IMG, FEAT, "own AS (SELECT DISTINCT i.folderid, f.id, f.clip FROM img i JOIN feat f ON f.id = i.id WHERE i.folderid IS NOT NULL)") + """
+ORACLES["folder_best_pairs"] = w(IMG, FEAT, "own AS (SELECT DISTINCT i.folderid, f.id, f.clip FROM img i JOIN feat f ON f.id = i.id WHERE i.folderid IS NOT NULL AND i.ishero AND i.isactive)") + """
 SELECT folderid, id, other, rank FROM (SELECT *, row_number() OVER (PARTITION BY folderid, id ORDER BY s DESC, other) AS rank
   FROM (SELECT x.folderid, x.id, y.id AS other, round(list_dot_product(x.clip, y.clip), 9) AS s FROM own x JOIN own y ON x.folderid = y.folderid AND x.id <> y.id)) WHERE rank <= 10"""
 _OPEN = "^(The (photograph|image) (captures|depicts|shows|features|portrays|presents) |This (photograph|image) (captures|depicts|shows|features|portrays) |The scene (unfolds with|unfolds in|unfolds on|unfolds|captures|depicts|shows) |This scene (captures|depicts|shows) )"
@@ -263,11 +270,77 @@ ORACLES["caption_clean"] = w(IMG) + f"""SELECT DISTINCT id, CASE WHEN r <> c AND
 FROM (SELECT id, c, regexp_replace(c, '{_OPEN}', '') AS r FROM (SELECT id, trim(split_part(caption, '<|im_', 1), ' ') AS c FROM img WHERE caption IS NOT NULL))"""
 ORACLES["evidence_normalize"] = w(IMG) + """SELECT DISTINCT id, trim(regexp_replace(translate(lower(caption), '‘’“”', chr(39) || chr(39) || chr(34) || chr(34)), '\\s+', ' ', 'g'), ' ') AS caption FROM img WHERE caption IS NOT NULL"""
 
-_ALL = "prs AS (SELECT x.id || '-' || y.id AS id, x.id AS a, y.id AS b FROM (SELECT id, max(folderid) AS folderid FROM images WHERE id IS NOT NULL GROUP BY id) x JOIN (SELECT id, max(folderid) AS folderid FROM images WHERE id IS NOT NULL GROUP BY id) y ON x.folderid = y.folderid AND x.id < y.id)"
-_LIB = POOLED.replace("pos AS (SELECT * FROM edg WHERE composite > 0)", "pos AS (SELECT * REPLACE (round(composite, 9) AS composite, round(thematic, 9) AS thematic, round(geometric, 9) AS geometric, round(aesthetic, 9) AS aesthetic, geometricmode = 'structural' AS structural) FROM six WHERE composite > 0 AND NOT (variants OR coalesce(gap <= 300, false)))").replace("WHERE n <= 50)", "WHERE n <= 10)")
-ORACLES["library_pairs"] = w(_ALL, FEAT, VIS, META, TOK, CLU, FULL, _LIB) + """
-SELECT a, b, CASE WHEN geometricmode = 'gaze_conversation' AND back THEN b ELSE a END AS leftid, label, round(aesthetic, 6) AS aesthetic, round(geometric, 6) AS geometric, round(thematic, 6) AS thematic,
-  round(composite, 6) AS composite, aestheticmode, geometricmode FROM pos JOIN (SELECT id, (['composite', 'thematic', 'geometric', 'aesthetic'])[min(p) + 1] AS label FROM allp GROUP BY id) USING (id)"""
+_UNI = "uni AS (SELECT id, max(folderid) AS folderid FROM images WHERE id IS NOT NULL AND folderid IS NOT NULL AND ishero AND isactive GROUP BY id)"
+_ALL = _UNI + ", prs AS (SELECT x.id || '-' || y.id AS id, x.id AS a, y.id AS b FROM uni x JOIN uni y ON x.folderid = y.folderid AND x.id < y.id)"
+_CROSS = _UNI + ", prs AS (SELECT x.id || '-' || y.id AS id, x.id AS a, y.id AS b FROM uni x JOIN uni y ON x.id < y.id AND (x.folderid = 4) <> (y.folderid = 4))"
+_LIB = POOLED.replace("pos AS (SELECT * FROM edg WHERE composite > 0)", "pos AS (SELECT * REPLACE (round(composite, 9) AS composite, round(thematic, 9) AS thematic, round(geometric, 9) AS geometric, round(aesthetic, 9) AS aesthetic, geometricmode = 'structural' AS structural) FROM six WHERE composite > 0 AND NOT (variants OR coalesce(gap <= 300, false)))")
+for _name, _pairs in (("library_pairs", _ALL), ("cross_folder_pairs", _CROSS)):
+    ORACLES[_name] = w(_pairs, FEAT, VIS, META, TOK, CLU, FULL, _LIB) + """
+SELECT a, b, CASE WHEN geometricmode = 'gaze_conversation' AND back THEN b ELSE a END AS leftid, label, floor(aesthetic * 1e6 + 0.5) / 1e6 AS aesthetic, floor(geometric * 1e6 + 0.5) / 1e6 AS geometric, floor(thematic * 1e6 + 0.5) / 1e6 AS thematic,
+  floor(composite * 1e6 + 0.5) / 1e6 AS composite, aestheticmode, geometricmode FROM pos JOIN (SELECT id, (['composite', 'thematic', 'geometric', 'aesthetic'])[min(p) + 1] AS label FROM allp GROUP BY id) USING (id)"""
 _UNIT = "least(greatest({0}, 0.0), 1.0)"
 ORACLES["gaze_clarity"] = w(SCO, META, f"""cla AS (SELECT s.id, 0.60 + 0.35 * (0.5 * {_UNIT.format("(coalesce(greatest(abs(x.gaze), abs(y.gaze)), 0.0) - 0.22) / 0.38")} + 0.5 * {_UNIT.format("abs(y.x - 0.5) / 0.45")}) AS c
   FROM sco s JOIN meta x ON x.id = s.a JOIN meta y ON y.id = s.b WHERE s.selectedfor = 'gaze')""") + "SELECT id, round(c, 6)::DOUBLE AS clarity, round(least(greatest(0.50 + (c - 0.60) / 0.35 * 0.26, 0.50), 0.76), 6)::DOUBLE AS geometric FROM cla"
+
+
+# --- roles: each rule as a join of the profiles' parts, the first rule and place that connects a pair counts ---
+
+_RWORDS = f"list_filter(regexp_extract_all(lower({{0}}), '\\p{{{{L}}}}+'), lambda z: length(z) > 2 AND z NOT IN ({_list(vocab.ROLE_STOP_WORDS)}))"
+_PART = "CASE WHEN json_type(x, '$.{0}') = 'VARCHAR' THEN x->>'$.{0}' END"
+_CATS = "CASE " + " ".join(f"WHEN z = '{k}' THEN '{v}'" for k, v in vocab.CLAIM_CATEGORY.items()) + " END"
+_BRIDGE = " OR ".join(f"(lower(c.s) = '{x}' AND lower(e.s) = '{y}')" for x, y in vocab.CLAIM_BRIDGE)
+_TURN = "least(c.id, {0}.id) AS a, greatest(c.id, {0}.id) AS b, {1} AS pr, CASE WHEN c.id < {0}.id THEN 0 ELSE 1 END AS o1, c.i AS o2"
+RULES = f"""phe AS (SELECT id, i, {_PART.format('role')} AS role, CASE WHEN (x->>'$.phenomenon') IN ('speech', 'music') THEN 'sound' ELSE x->>'$.phenomenon' END AS p FROM ok WHERE f = 'phenomena'),
+cla AS (SELECT id, i, x->>'$' AS s, {_RWORDS.format("x->>'$'")} AS ws FROM ok WHERE f = 'claims'),
+emb AS (SELECT id, x->>'$' AS s, {_RWORDS.format("x->>'$'")} AS ws FROM ok WHERE f IN ('enacts', 'subverts')),
+obj AS (SELECT *, {_RWORDS.format('o')} AS ws FROM (SELECT id, i, {', '.join(f"lower(coalesce({_PART.format(n)}, '')) AS {n[0]}" for n in ('object', 'register', 'category'))} FROM ok WHERE f = 'objects')),
+sub AS (SELECT DISTINCT id FROM ok WHERE f = 'subverts'),
+hits AS (
+  SELECT x.id AS a, y.id AS b, 1 AS pr, x.i AS o1, 0 AS o2, 0 AS o3, 'phenomenon' AS kind, x.p AS key FROM phe x JOIN phe y ON x.p = y.p AND x.id < y.id
+    WHERE x.p <> 'gaze' AND ((x.role = 'source' AND y.role = 'receiver' AND y.id IN (FROM sub)) OR (x.role = 'receiver' AND y.role = 'source' AND x.id IN (FROM sub)))
+  UNION ALL SELECT {_TURN.format('e', 2)}, 0, 'concept', c.s FROM cla c JOIN emb e ON c.id <> e.id AND (list_has_any(c.ws, e.ws) OR {_BRIDGE})
+  UNION ALL SELECT x.id, y.id, 3, x.i, y.i, 0, CASE WHEN x.o <> '' AND x.o = y.o THEN 'object' ELSE 'category' END, CASE WHEN x.o <> '' AND x.o = y.o THEN x.o ELSE x.c END FROM obj x JOIN obj y ON x.id < y.id
+    AND ((x.o <> '' AND x.o = y.o) OR (x.c = y.c AND x.c IN ({_list(vocab.CATEGORY_WHITELIST)})))
+    AND ((x.r = 'real' AND y.r IN ({_list(vocab.ALTERNATIVE_REGISTERS)})) OR (y.r = 'real' AND x.r IN ({_list(vocab.ALTERNATIVE_REGISTERS)})))
+  UNION ALL SELECT {_TURN.format('o', 4)}, o.i, CASE WHEN o.c <> '' THEN 'category' ELSE 'object' END, CASE WHEN o.c <> '' THEN o.c ELSE o.o END FROM cla c JOIN obj o ON c.id <> o.id
+    AND ((o.c <> '' AND list_contains(list_transform(c.ws, lambda z: {_CATS}), o.c)) OR (o.o <> '' AND list_has_any(c.ws, o.ws)))),
+con AS (SELECT a, b, pr AS priority, kind, key FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY pr, o1, o2, o3) AS n FROM hits) WHERE n = 1),
+rar AS (SELECT kind, key, max(s) AS specificity FROM (SELECT k.kind, k.key, CASE WHEN k.one IS NULL THEN 0.0 ELSE ln(((SELECT count(*) FROM raw_p) + 1)::DOUBLE / (coalesce(q.df, 0) + 1)) END AS s
+  FROM (SELECT kind, key, unnest(CASE WHEN kind <> 'concept' THEN [key] WHEN len({_RWORDS.format('key')}) = 0 THEN [NULL] ELSE {_RWORDS.format('key')} END) AS one FROM (SELECT DISTINCT kind, key FROM con)) k LEFT JOIN frq q ON q.kind = k.kind AND q.key = k.one) GROUP BY kind, key),
+rat AS (SELECT a, b, priority, specificity FROM con JOIN rar USING (kind, key))"""
+ORACLES["role_join"] = w(PROF, RULES) + "SELECT a, b, priority, kind, key FROM con"
+ORACLES["role_specificity"] = w(PROF, RULES) + "SELECT a, b, priority, round(specificity, 6) AS specificity FROM rat"
+
+# --- greedy loops, one step a row: ord has pos (from 1), the capacity keys of both ends and their caps ---
+
+
+def _greedy(name: str, source: str) -> str:
+    """The loop over ``source`` (pos, ka, kb, capa, capb) with the keys taken so far as its state."""
+    free = "len(list_filter(used, lambda u: u = ka)) < capa AND len(list_filter(used, lambda u: u = kb)) < capb"
+    step = f"SELECT o.pos, CASE WHEN o.free THEN list_concat(o.used, [o.ka, o.kb]) ELSE o.used END, o.free FROM (SELECT s.pos, used, ka, kb, {free} AS free FROM {name} t JOIN {source} s ON s.pos = t.pos + 1) o"
+    return f"{name}(pos, used, free) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL {step})"
+
+
+ORACLES["role_admission"] = w(
+    PROF, RULES, "ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY priority, specificity DESC, a, b) AS pos, a, b, priority, a * 10 + priority AS ka, b * 10 + priority AS kb, ([8, 8, 5, 12])[priority] AS capa, ([8, 8, 5, 12])[priority] AS capb FROM rat)", _greedy("run", "ord")
+) + "SELECT a, b, priority FROM run JOIN ord USING (pos) WHERE free"
+ORACLES["cap2_grid"] = w(
+    SCO, "ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY composite DESC, id) AS pos, id, a AS ka, b AS kb, 1 AS capa, 1 AS capb FROM sco WHERE a <> b AND composite > 0)", _greedy("one", "ord"),
+    "seen AS MATERIALIZED (SELECT unnest([ka, kb]) AS v FROM one JOIN ord USING (pos) WHERE free)", "rest AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS pos, id, ka, kb, 1 AS capa, 1 AS capb FROM ord WHERE ka NOT IN (FROM seen) OR kb NOT IN (FROM seen))", _greedy("two", "rest"),
+) + "SELECT id, 1 AS turn FROM one JOIN ord USING (pos) WHERE free UNION ALL SELECT id, 2 FROM two JOIN rest USING (pos) WHERE free"
+# a looker stops at four partners in all and a target at three, whichever side either was on before
+ORACLES["gaze_nominate"] = w("""per AS (SELECT DISTINCT id, folderid, gazedirectionx AS gaze, ((id * 13) % 100)::DOUBLE / 100 AS x, capturedate AS date, facecount AS faces, least(facecount, 2) AS humans, ((id * 17) % 100)::DOUBLE / 100 AS dominance
+  FROM images WHERE id IS NOT NULL AND folderid IS NOT NULL AND ishero AND isactive),
+meet AS (SELECT l.folderid, l.id AS lid, t.id AS tid, l.gaze, CASE WHEN l.gaze > 0 THEN 0.5 - t.x ELSE -(0.5 - t.x) END AS coh FROM per l JOIN per t ON l.folderid = t.folderid AND l.id <> t.id
+  WHERE abs(l.gaze) >= 0.22 AND l.faces = 1 AND coalesce(l.humans, 99) <= 1 AND t.x IS NOT NULL AND coalesce(t.dominance, 0) >= 0.55 AND NOT coalesce(abs(l.date - t.date) <= 300, false)),
+ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY folderid, abs(gaze) DESC, lid, coh DESC, tid) AS pos, * FROM meet WHERE coh >= 0.05),
+run(pos, used, met, free) AS (SELECT 0::BIGINT, []::BIGINT[], []::VARCHAR[], false UNION ALL
+  SELECT o.pos, CASE WHEN o.free THEN list_concat(o.used, [o.lid, o.tid]) ELSE o.used END, CASE WHEN o.free THEN list_append(o.met, o.duo) ELSE o.met END, o.free FROM (SELECT s.pos, used, met, lid, tid, least(lid, tid) || '-' || greatest(lid, tid) AS duo,
+    len(list_filter(used, lambda u: u = lid)) < 4 AND len(list_filter(used, lambda u: u = tid)) < 3 AND NOT list_contains(met, least(lid, tid) || '-' || greatest(lid, tid)) AS free FROM run t JOIN ord s ON s.pos = t.pos + 1) o)""") + """
+SELECT CASE WHEN gaze > 0 THEN lid ELSE tid END AS leftid, CASE WHEN gaze > 0 THEN tid ELSE lid END AS rightid, lid AS lookerid, round(coh, 6) AS coherence FROM run JOIN ord USING (pos) WHERE free"""
+_SHARE = ", ".join(f"({i}, {x})" for i, x in enumerate([*vocab.BAND_WEIGHTS, vocab.ECHO_TAIL_WEIGHT]))
+# proportional slots of at least one; what is too much is taken back one by one from the bands in turn that have more than one
+ORACLES["slot_allocation"] = w(SCO, "n AS (SELECT count(*) AS budget FROM sco WHERE selectedfor = 'role')", f"wts(bucket, weight) AS (VALUES {_SHARE})",
+    "raw AS (SELECT bucket, CASE WHEN budget <= 0 THEN 0 WHEN budget < 10 THEN (bucket < budget)::INT ELSE greatest(1, floor(weight::DOUBLE / (SELECT sum(weight) FROM wts) * budget + 0.5))::INT END AS s, budget FROM wts, n)",
+    "spare AS (SELECT bucket, k, row_number() OVER (ORDER BY k, bucket) AS turn FROM (SELECT bucket, unnest(range(1, s)) AS k FROM raw))",
+) + "SELECT bucket, (s - (SELECT count(*) FROM spare p WHERE p.bucket = raw.bucket AND p.turn <= greatest((SELECT sum(s) FROM raw) - budget, 0)))::INT AS slots FROM raw"

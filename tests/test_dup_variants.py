@@ -1,20 +1,6 @@
-"""Duplicate groups by date and file name variants."""
-
-import os
-
-import duckdb
-import pytest
+"""Duplicate groups by date and file name variants, and near hashes that do meet."""
 
 from tandem.operators import dupes
-from tandem.queries import core
-from tandem.queries.sql import _HASH, _NEAR, _VAR, w
-
-DATA = "/root/testdata/sf0.01"
-EDGES = f"""var AS (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM images x JOIN images y ON x.id <> y.id AND x.capturedate = y.capturedate
-  AND x.dhash <> '' AND y.dhash <> '' AND {_VAR}),
-both_ AS (SELECT a, b FROM near UNION SELECT a, b FROM var),
-reach AS (SELECT a AS id, a AS other FROM both_ UNION SELECT b, b FROM both_ UNION SELECT r.id, CASE WHEN n.a = r.other THEN n.b ELSE n.a END FROM reach r JOIN both_ n ON n.a = r.other OR n.b = r.other),
-grp AS (SELECT id, min(other) AS groupid FROM reach GROUP BY id)"""
 
 
 def test_variants_join_groups(spark):
@@ -28,11 +14,7 @@ def test_variants_join_groups(spark):
     assert got == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3), (7, 3)}
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
-def test_equals_all_pairs(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW images AS SELECT * FROM '{DATA}/images.parquet'")
-    want = set(con.execute(w(_HASH, _NEAR, EDGES) + "SELECT id, groupid FROM grp").fetchall())
-    assert want and {tuple(r) for r in core.dup_groups(spark, DATA).select("id", "groupid").collect()} == want
-    first = con.execute(w(_HASH, _NEAR, EDGES) + "SELECT groupid, first(id ORDER BY date IS NULL, date, id) FROM grp JOIN (SELECT id, min(capturedate) AS date FROM images GROUP BY id) USING (id) GROUP BY groupid").fetchall()
-    assert {tuple(r) for r in core.dup_group_heroes(spark, DATA).select("groupid", "heroid").collect()} == set(first)
+def test_near_hashes_join_groups(spark):
+    rows = [(1, "00ff00ff00ff00ff"), (2, "00ff00ff00ff0000"), (3, "00ff00ff00000000"), (4, "ffffffffffffffff"), (5, "ffffffffffffffff"), (6, "zz"), (7, None)]
+    got = {(r.id, r.groupid) for r in dupes.duplicate_groups(spark.createDataFrame(rows, "id long, dhash string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}

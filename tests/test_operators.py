@@ -60,14 +60,21 @@ def test_gaze_kernels(spark):
     assert one(spark, K.gaze_conversation(F.lit(0.3), F.lit(-0.3)), K.gaze_conversation(F.lit(-0.3), F.lit(0.3))) == (1.0, 0.0)
 
 
-def test_clusters(spark):
-    assert len(vocab.CLUSTER_WEIGHTS) == 30 and len({c for c, _, _ in vocab.STARTER_CLUSTERS}) == 30
-    assert len(vocab.AXIS_PAIRS) == 9 and len(vocab.SUFFIXES) == 18 and len(vocab.starter_rows()) <= 200
-    fire = lambda s: one(spark, C.caption_clusters(F.lit(s).cast("string")))[0]
-    assert fire("the crowd stood in grief") == ["community_gathering", "grief_sorrow"]
-    assert fire("grief on the street corner") == ["grief_sorrow", "urban_street"]
-    assert fire("the street under clear sky") == ["nature_landscape", "urban_street"]
-    assert fire("an absurd sign") == [] and fire("an absurd laugh") == ["humor_absurdity", "joy_celebration"] and fire(None) == [] and fire("") == []
+def test_clusters(spark, tmp_path):
+    rows = vocab.default_rows()
+    assert len(vocab.CLUSTER_WEIGHTS) == 30 and {c for c, _, _ in rows} == set(vocab.CLUSTER_WEIGHTS) and len(set(rows)) == len(rows) <= 200
+    assert len(vocab.AXIS_PAIRS) == 9 and len(vocab.SUFFIXES) == 18 and {c for c, g, _ in rows if g} == set(vocab.TWO_SIGNAL)
+    fire = lambda s: one(spark, C.caption_clusters(F.lit(s).cast("string"), rows))[0]
+    assert fire("a bench of regret near the street") == ["grief_sorrow", "urban_street"]
+    assert fire("orchard yawns") == ["nature_landscape", "stillness_rest"]
+    assert fire("so much humor") == [] and fire("humor of the absurdity") == ["humor_absurdity"] and fire(None) == [] and fire("") == []
+    (tmp_path / "voc.tsv").write_text("tea\t0\tpot\ntea\t1\tcup\n")
+    spark.conf.set(vocab.CONF, str(tmp_path / "voc.tsv"))
+    try:
+        assert vocab.rows(spark) == (("tea", 0, "pot"), ("tea", 1, "cup"))
+    finally:
+        spark.conf.unset(vocab.CONF)
+    assert vocab.rows(spark) == rows
     dice = lambda a, b: one(spark, C.weighted_dice(F.array(*lit(*a)), F.array(*lit(*b))))[0]
     assert dice(["community_gathering", "grief_sorrow"], ["grief_sorrow", "urban_street"]) == pytest.approx(2 / 2.4)
     assert dice(["urban_street"], ["urban_street"]) == 0.1
