@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from tandem.llm import setjoin
 from tandem.llm.setjoin import SketchParams, expand, set_classes, similar_classes
 from tandem.llm.termcounts import TermCounts, changes, marked_terms, snapshot, term_deltas
 from tandem.llm.topn import top_n
@@ -101,3 +102,38 @@ def test_large_class_of_copies_stays_linear(spark):
     classes, members = set_classes(df, "id", "items", 12)
     got = {(r.id_lo, r.id_hi) for r in expand(similar_classes(classes, SketchParams(0.8, 20)), members, whole=64).collect()}
     assert got == {(0, i) for i in range(1, 203)} | {(200, 201), (200, 202), (201, 202)}
+
+
+def test_texts_of_a_large_class_are_paired_and_copies_linked(spark):
+    words, other = [f"w{i}" for i in range(15)], [f"w{i}" for i in range(16)]
+    rows = [(i, words, f"text {i % 3}") for i in range(90)] + [(90, other, "o")]
+    df = spark.createDataFrame(rows, "id long, items array<string>, text string")
+    classes, members = set_classes(df, "id", "items", 12, text_col="text")
+    got = {(r.id_lo, r.id_hi) for r in expand(similar_classes(classes, SketchParams(0.8)), members, whole=64).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2), (0, 90), (1, 90), (2, 90)} | {(i % 3, i) for i in range(3, 90)}
+
+
+def test_hot_segments_and_kinds(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    sets = {i: set(words[:14]) | set(rng.sample(words[14:], 2)) for i in range(60)}
+    rows = [(i, k, list(s)) for i, s in sets.items() for k in (0, 1)]
+    df = spark.createDataFrame(rows, "id long, kind int, items array<string>")
+    classes, members = set_classes(df, "id", "items", {0: 12, 1: 99}, "kind")
+    want = brute(sets, 0.7)
+    params = {0: SketchParams(0.7), 1: SketchParams(0.5)}
+    for hot in (setjoin.HOT, 3):
+        monkeypatch.setattr(setjoin, "HOT", hot)
+        got = {(r.kind, r.id_lo, r.id_hi) for r in expand(similar_classes(classes, params), members).collect()}
+        assert {k for k, _, _ in got} == {0} and {g[1:] for g in got} <= want and len(got) >= 0.99 * len(want)
+
+
+def test_width_grows_with_the_sets():
+    widths = [SketchParams(0.8).fitted(n, 20).width for n in (10**3, 10**5, 10**7, 10**9)]
+    assert widths == sorted(widths) and widths[0] < widths[-1] <= 40
+
+
+def test_tiles_give_every_pair_once(spark):
+    df = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(40 * g)], "g int, m long")
+    got = [tuple(r) for r in setjoin.all_pairs(df, ["g"], "m", block=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(g, i, j) for g in (1, 2) for i in range(40 * g) for j in range(i + 1, 40 * g)}
