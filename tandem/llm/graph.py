@@ -21,14 +21,14 @@ class GraphParams:
     again; beam: width of the search list; expand: nodes opened at once; entries: spread
     entry points; alpha: relaxation of the pruning rule; block: nodes inserted together."""
 
-    degree: int = 20
+    degree: int = 24
     slack: int = 12
-    beam: int = 40
+    beam: int = 32
     expand: int = 4
-    entries: int = 64
+    entries: int = 128
     alpha: float = 1.2
     passes: int = 1
-    block: int = 256
+    block: int = 128
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int, expand: int):

@@ -1,9 +1,9 @@
 """The k most similar vectors of every vector, by sharded robust-pruned graphs.
 
-Equal vectors share a class.  Class vectors are cut into cells around centroids of a bounded
-sample, and large cells into sub-shards.  Each shard builds its graph over projected vectors and
-beam-searches the vectors whose nearest cells it belongs to; survivors are re-ranked with exact
-double cosine.
+Equal vectors share a class.  Class vectors are cut into shards around centroids of a bounded
+sample, and shards that are still large around centroids of their own, as often as it takes.  Each
+shard builds its graph over projected vectors and beam-searches the vectors it is the nearest shard
+of, or nearly the nearest; survivors are re-ranked with exact double cosine.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,19 +29,27 @@ for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
 @dataclass(frozen=True)
 class NeighbourParams:
     """k: neighbours wanted; limit: least cosine; dims: projected size of the graphs; cell: vectors aimed at
-    per cell; probes: cells searched per vector; most_cells: bound of the centroid table; sample: bound of
-    the vectors the centroids are fitted on; chunk: queries handled by one task."""
+    per shard; largest: shards of more than so many times that are split again; margin: a vector also asks
+    the second nearest shard if its centroid is less than this much less similar; most_cells: bound of one
+    centroid table; sample, local: bounds of the vectors that the first and all further tables are fitted
+    on; chunk: queries handled by one task; refine: candidates per neighbour kept that are re-ranked
+    exactly; slack: by how much a projected cosine may be below the limit for that.  The index holds every
+    vector; what margin, refine and slack cost is in the recall, which ``recall`` measures."""
 
     size: int = 512
     k: int = 5
     limit: float = 0.8
     dims: int = 64
-    cell: int = 3000
-    probes: int = 2
+    cell: int = 1500
+    largest: float = 4.0
+    margin: float = 0.15
     most_cells: int = 8192
     sample: int = 16384
+    local: int = 4096
     rounds: int = 6
     chunk: int = 16384
+    refine: int = 4
+    slack: float = 0.35
     seed: int = 5
     graph: G.GraphParams = field(default_factory=G.GraphParams)
 
@@ -92,6 +100,64 @@ def _centroids(sample: np.ndarray, cells: int, p: NeighbourParams) -> np.ndarray
     return c
 
 
+def _closest(vecs: np.ndarray, cent: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest centroid, second, whether the second is to be asked too) of each vector."""
+    s = _unit(vecs).astype(np.float32) @ cent.T
+    one = s.argmax(1)
+    at = np.arange(len(s))
+    best = s[at, one]
+    s[at, one] = -9
+    two = s.argmax(1)
+    return one, two, (s[at, two] > best - margin) & (one != two)
+
+
+DEALT = "shard long, cid long, held boolean, asks boolean, vec array<float>"
+#: Shards of one split at most; a shard's number is its parent's times this, plus its own from 1.
+SPLIT = 1024
+
+
+def _emit(base, cid: pa.Array, held, asks, vec: pa.Array, vecs: np.ndarray, cent: np.ndarray, margin: float):
+    """Rows for the nearest shard, and as a query only for the second one."""
+    for at in range(0, len(vecs), 2048):
+        cut = slice(at, at + 2048)
+        one, two, both = _closest(vecs[cut], cent, margin)
+        also = np.nonzero(both & asks[cut])[0]
+        idx = pa.array(np.concatenate([np.arange(len(one)), also]) + at)
+        shard = base + np.concatenate([one, two[also]]).astype(np.int64)
+        none = np.zeros(len(also), bool)
+        yield pa.RecordBatch.from_arrays([pa.array(shard), cid.take(idx), pa.array(np.concatenate([held[cut], none])), pa.array(np.concatenate([asks[cut], ~none])), vec.take(idx)], names=["shard", "cid", "held", "asks", "vec"])
+
+
+def _split(rows: DataFrame, sizes: DataFrame, p: NeighbourParams) -> DataFrame:
+    """The rows (as ``DEALT``) of shards that are too large, dealt to shards of their own around centroids fitted on a
+    bounded sample of each.  ``sizes``: shard, home, total."""
+    near_first = Window.partitionBy("shard").orderBy(F.xxhash64("cid"), "cid")
+    sample = rows.filter("held").withColumn("n", F.row_number().over(near_first)).filter(F.col("n") <= p.local).join(sizes, "shard").select("shard", "home", "vec")
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = _unit(_matrix(t.column("vec").combine_chunks(), p.size)).astype(np.float32)
+        cells = max(2, min(SPLIT - 1, len(x) // 4, math.ceil(t.column("home")[0].as_py() / p.cell)))
+        c = _centroids(x, cells, p)
+        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()] * len(c), pa.int64()), "sub": pa.array(np.arange(len(c)), pa.int64()), "vec": pa.array(list(c), pa.list_(pa.float32()))})
+
+    cents = stage(heavy_groups(sample, "shard").applyInArrow(fit, "shard long, sub long, vec array<float>"), "centroids")
+    parts = sizes.select("shard", F.ceil(F.col("total") / p.chunk).cast("int").alias("parts"))
+    left = rows.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).drop("parts")
+    right = cents.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sub", "vec")
+
+    def deal(a: pa.Table, b: pa.Table) -> pa.Table:
+        none = pa.schema([("shard", pa.int64()), ("cid", pa.int64()), ("held", pa.bool_()), ("asks", pa.bool_()), ("vec", pa.list_(pa.float32()))]).empty_table()
+        if not len(a):
+            return none
+        b = b.sort_by("sub")
+        cent, vec = _matrix(b.column("vec").combine_chunks(), p.size), a.column("vec").combine_chunks()
+        held, asks = a.column("held").to_numpy(), a.column("asks").to_numpy()
+        base = a.column("shard")[0].as_py() * SPLIT + 1
+        return pa.Table.from_batches(list(_emit(base, a.column("cid").combine_chunks(), held, asks, vec, _matrix(vec, p.size), cent, p.margin)))
+
+    return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(deal, DEALT)
+
+
 def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
     """(cid, nid, sim): for every class its most similar other classes among those its shards hold."""
     spark = reps.sparkSession
@@ -99,62 +165,46 @@ def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
     if n == 0:
         return spark.createDataFrame([], "cid long, nid long, sim double")
     cells = int(min(p.most_cells, max(1, math.ceil(n / p.cell))))
-    cent = _centroids(_sample(reps, p), cells, p)
     # the centroid table has at most most_cells vectors (16 MB)
-    shared = spark.sparkContext.broadcast(cent)
-    probes = min(p.probes, len(cent))
-
-    def nearest_cells(vecs: np.ndarray) -> np.ndarray:
-        far = -(_unit(vecs).astype(np.float32) @ shared.value.T)
-        part = np.argpartition(far, probes - 1, axis=1)[:, :probes]
-        return np.take_along_axis(part, np.argsort(np.take_along_axis(far, part, 1), axis=1, kind="stable"), 1)
+    shared = spark.sparkContext.broadcast(_centroids(_sample(reps, p), cells, p))
 
     def survey(batches):
-        """Per task and cell: the vectors at home in it and those that ask in it."""
+        """Per task and shard: the vectors at home in it and those that ask in it."""
+        cent = shared.value
         home, asked = np.zeros(len(cent), np.int64), np.zeros(len(cent), np.int64)
         for b in batches:
             if len(b):
-                near = nearest_cells(_matrix(b.column(0), p.size))
-                home += np.bincount(near[:, 0], minlength=len(cent))
-                asked += np.bincount(near.ravel(), minlength=len(cent))
-        cell = np.nonzero(asked)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home[cell]), pa.array(asked[cell])], names=["cell", "home", "asked"])
-
-    counts = reps.select("vec").mapInArrow(survey, "cell int, home long, asked long").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("asked").alias("asked"))
-    # at most most_cells rows: how many sub-shards and query chunks each cell has
-    plan = {r.cell: (max(1, math.ceil(r.home / (2 * p.cell))), max(1, math.ceil(r.asked / p.chunk))) for r in counts.collect()}
-    layout = spark.sparkContext.broadcast(plan)
+                one, two, both = _closest(_matrix(b.column(0), p.size), cent, p.margin)
+                home += np.bincount(one, minlength=len(cent))
+                asked += np.bincount(one, minlength=len(cent)) + np.bincount(two[both], minlength=len(cent))
+        at = np.nonzero(asked)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(home[at]), pa.array(asked[at])], names=["shard", "home", "asked"])
 
     def deal(batches):
-        """Every vector goes to all (sub-shard, chunk) of its cells that need it: as indexed vector to all chunks of
-        its own sub-shard of its home cell, as query to its own chunk of all sub-shards of each cell."""
         for b in batches:
-            if not len(b):
-                continue
-            cid, near = b.column(0).to_numpy(), nearest_cells(_matrix(b.column(1), p.size))
-            mixed = (cid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            take, shard, held, asks = [], [], [], []
-            for r in range(probes):
-                for cell in np.unique(near[:, r]):
-                    at = np.nonzero(near[:, r] == cell)[0]
-                    subs, chunks = layout.value[int(cell)]
-                    sub, chunk = (mixed[at] % np.uint64(subs)).astype(np.int64), (mixed[at] // np.uint64(subs) % np.uint64(chunks)).astype(np.int64)
-                    for u in range(subs):
-                        for c in range(chunks):
-                            h, a = (sub == u) & (r == 0), chunk == c
-                            ok = h | a
-                            take.append(at[ok])
-                            shard.append(np.full(int(ok.sum()), (int(cell) << 40) | (u << 20) | c, np.int64))
-                            held.append(h[ok])
-                            asks.append(a[ok])
-            rows = np.concatenate(take)
-            keys, hs, qs = np.concatenate(shard), np.concatenate(held), np.concatenate(asks)
-            for at in range(0, len(rows), 2048):
-                cut = slice(at, at + 2048)
-                idx = pa.array(rows[cut])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), b.column(0).take(idx), pa.array(hs[cut]), pa.array(qs[cut]), b.column(1).take(idx)], names=["shard", "cid", "held", "asks", "vec"])
-
-    rows = reps.select("cid", "vec").mapInArrow(deal, "shard long, cid long, held boolean, asks boolean, vec array<float>")
+            if len(b):
+                every = np.ones(len(b), bool)
+                yield from _emit(0, b.column(0), every, every, b.column(1), _matrix(b.column(1), p.size), shared.value, p.margin)
+
+    sizes = reps.select("vec").mapInArrow(survey, "shard long, home long, asked long").groupBy("shard").agg(F.sum("home").alias("home"), F.sum("asked").alias("asked"))
+    sizes = stage(sizes, "sizes")
+    rows = reps.select("cid", "vec").mapInArrow(deal, DEALT)
+    done: list[DataFrame] = []
+    large = F.col("home") > p.largest * p.cell
+    while sizes.filter(large).limit(1).count():
+        big = sizes.filter(large).select("shard", "home", F.col("asked").alias("total"))
+        done.append(rows.join(big, "shard", "left_anti").select("shard", "cid", "held", "asks", "vec"))
+        rows = stage(_split(stage(rows.join(big.select("shard"), "shard", "left_semi"), "dealt"), big, p), "dealt")
+        sizes = stage(rows.groupBy("shard").agg(F.count_if("held").alias("home"), F.count_if("asks").alias("asked")), "sizes")
+    for part in done:
+        rows = rows.unionByName(part)
+    # a shard that very many vectors ask is searched by several tasks, each with the whole shard and its own queries
+    if sizes.filter(F.col("asked") > p.chunk).limit(1).count() or done:
+        asked = rows.groupBy("shard").agg(F.ceil(F.count_if("asks") / p.chunk).cast("int").alias("chunks")).filter("chunks > 1")
+        own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
+        split = rows.join(asked, "shard", "left").withColumn("chunk", F.when(F.col("chunks").isNull(), F.array(F.lit(0))).when(F.col("held"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own)))
+        mine = F.col("chunks").isNull() | (F.col("chunk") == own)
+        rows = split.withColumn("chunk", F.explode("chunk")).select((F.col("shard") * SPLIT + F.col("chunk")).alias("shard"), "cid", "held", (F.col("asks") & mine).alias("asks"), "vec")
     out = T.StructType([T.StructField("cid", T.LongType()), T.StructField("nid", T.LongType()), T.StructField("sim", T.DoubleType())])
     return heavy_groups(rows, "shard").applyInArrow(_search_shard(p), out)
 
@@ -181,9 +231,9 @@ def _search_shard(p: NeighbourParams):
         for at in range(0, len(quest), 512):
             rows = quest[at : at + 512]
             ids, approx = G.beam_search(x, g, entries, _project(vecs[rows], proj), p.graph.beam, p.graph.expand)
-            ids = ids[:, : 4 * keep]
+            ids = ids[:, : p.refine * keep]
             q = _unit(vecs[rows])
-            r, c = np.nonzero((ids >= 0) & (names[ids] != cid[rows][:, None]) & (approx[:, : ids.shape[1]] >= p.limit - 0.35))
+            r, c = np.nonzero((ids >= 0) & (names[ids] != cid[rows][:, None]) & (approx[:, : ids.shape[1]] >= p.limit - p.slack))
             # exact cosines of the likely candidates only, in blocks
             sims = np.concatenate([np.einsum("ij,ij->i", q[r[a : a + 4096]], exact[ids[r, c][a : a + 4096]]) for a in range(0, len(r), 4096)]) if len(r) else np.zeros(0)
             sims = np.round(sims, 6)
@@ -236,29 +286,35 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, p: NeighbourParams | None
 
 def recall(df: DataFrame, id_col: str, vec_col: str, every: int = 100, p: NeighbourParams | None = None, block: int = 2048) -> DataFrame:
     """One row (queries, wanted, found, recall): the operator against brute force, for all rows whose id is
-    divisible by ``every`` as queries, in blocks, against all rows."""
+    divisible by ``every`` as queries, against all rows.
+
+    Queries are cut into blocks and rows into parts; a task multiplies one block with one part and keeps the k
+    best of each query, so neither side and no list of neighbours is ever in one place."""
     p = p or NeighbourParams()
-    spark: SparkSession = df.sparkSession
     rows = stage(usable(df, id_col, vec_col, p.size).dropDuplicates(["id"]), "exact")
-    ids = [r.id for r in rows.filter(F.col("id") % every == 0).select("id").orderBy("id").toLocalIterator()]
-    truth = spark.createDataFrame([], "id long, neighbour long, sim double")
-    for at in range(0, len(ids), block):
-        part = rows.filter((F.col("id") % every == 0) & F.col("id").between(ids[at], ids[min(at + block, len(ids)) - 1])).toArrow().combine_chunks()
-        # a block of queries has a fixed size
-        held = spark.sparkContext.broadcast((part.column("id").to_numpy(), _unit(_matrix(part.column("vec").combine_chunks(), p.size))))
-
-        def run(batches, held=held):
-            qid, q = held.value
-            for b in batches:
-                if len(b):
-                    bid = b.column(0).to_numpy()
-                    s = np.round(q @ _unit(_matrix(b.column(1), p.size)).T, 6)
-                    s[qid[:, None] == bid[None, :]] = -9
-                    r, c = np.nonzero(s >= p.limit)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(bid[c]), pa.array(s[r, c])], names=["id", "neighbour", "sim"])
-
-        truth = truth.unionByName(rows.select("id", "vec").mapInArrow(run, "id long, neighbour long, sim double"))
-    best = truth.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "neighbour"))), 1, p.k).alias("b")).select("id", F.inline("b"))
+    total = rows.count()
+    asked = rows.filter(F.col("id") % every == 0)
+    queries = asked.count()
+    blocks, parts = max(1, math.ceil(queries / block)), max(1, math.ceil(total / (4 * block)))
+    spread_over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).withColumn("part", spread_over(parts))
+    right = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")).withColumn("block", spread_over(blocks))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        b = b.sort_by("id")
+        qid, bid = a.column("id").to_numpy(), b.column("id").to_numpy()
+        s = np.round(_unit(_matrix(a.column("vec").combine_chunks(), p.size)) @ _unit(_matrix(b.column("vec").combine_chunks(), p.size)).T, 6)
+        s[qid[:, None] == bid[None, :]] = -9
+        top = np.argsort(-s, axis=1, kind="stable")[:, : p.k]
+        sim = np.take_along_axis(s, top, 1)
+        r, c = np.nonzero(sim >= p.limit)
+        return pa.table({"id": qid[r], "neighbour": bid[top[r, c]], "sim": sim[r, c]})
+
+    truth = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(best, "id long, neighbour long, sim double")
+    order = Window.partitionBy("id").orderBy(F.col("sim").desc(), "neighbour")
+    wanted = truth.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.k).select("id", "neighbour")
     found = nearest(df, id_col, vec_col, p).select("id", "neighbour", F.lit(1).alias("hit"))
-    joined = best.select("id", "neighbour").join(found, ["id", "neighbour"], "left")
-    return joined.agg(F.lit(len(ids)).alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.try_divide(F.count("hit"), F.count("*")), 4).alias("recall"))
+    joined = wanted.join(found, ["id", "neighbour"], "left")
+    return joined.agg(F.lit(queries).cast("long").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.try_divide(F.count("hit"), F.count("*")), 4).alias("recall"))

@@ -54,3 +54,15 @@ def test_nearest_equals_brute_force(spark, cell):
     assert nearest(df.limit(0), "imageid", "embedding", p).count() == 0
     r = recall(df, "imageid", "embedding", 10, p).first()
     assert r.recall >= 0.95 and r.queries == len([i for i in ids if i % 10 == 0])
+
+
+def test_large_shards_are_split_until_none_is_left(spark):
+    rng = np.random.default_rng(2)
+    x = clustered(900, 64, rng)
+    ids = list(range(1, 901))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "imageid long, embedding array<float>")
+    # two centroids at most a table: the shards of about 25 vectors take several splits
+    p = NeighbourParams(size=64, dims=32, cell=25, most_cells=2, largest=2.0, local=128, chunk=64)
+    got = {(r.id, r.neighbour) for r in nearest(df, "imageid", "embedding", p).collect()}
+    want = brute(ids, x, 5, 0.8)
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
