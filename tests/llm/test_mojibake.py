@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -63,3 +64,45 @@ def test_empty_and_sound_collections(spark):
     learned, _, both = M.learn(df.limit(0))
     assert M.judged(df.limit(0), learned).count() == 0
     assert M.restore_lost(M.judged(df, learned).filter("garbled").select("doc_id", "restored"), both).count() == 0
+
+
+LATIN = ["The café naïve on the pier {} again", "Un été à la plage {} was déjà vu", "Die Häuser über dem Öl {} near the Tür", "El niño señala el cartel {} in the año nuevo"]
+OTHER = {"cp1251": ["Photo of the кафе by the пристань {} again", "The вывеска over the рынок {} seen at night"], "koi8_r": ["A старая лодка near the берег {} in fog", "The тихий двор with the кошка {} below"], "cp1253": ["The μικρή βάρκα in the λιμάνι {} again", "A παλιά πόρτα near the δρόμος {} at noon"]}
+
+
+def test_single_byte_misreadings_are_learned_found_and_restored(spark):
+    """All twelve planted in one collection; each shows in windows whose clean twins are much more frequent."""
+    rows, want, n = [], {}, 0
+    for written, read in M.SINGLE_BYTE:
+        for t in OTHER.get(written, LATIN):
+            for i in range(3):
+                text = t.format(f"frame{i}")
+                bad = M.HIGH.sub(lambda m: M.misread(m.group(), written, read) or m.group(), text)
+                if bad != text:
+                    want[n] = text
+                rows.append((n, bad))
+                n += 1
+    sound = []
+    for t in (*LATIN, *(x for v in OTHER.values() for x in v)):
+        for i in range(3):
+            sound += [t.format(f"frame{i}")] * 60
+    sound += ["a «quoted» word on the wall", "a “quoted” word on the wall", "ещё one берег", "еще one берег"] * 5
+    df = spark.createDataFrame(rows + [(10_000 + i, t) for i, t in enumerate(sound)], "doc_id long, text string")
+    learned, _, both = M.learn(df)
+    assert len(learned.tables) >= 8
+    got = {r.doc_id: r.restored for r in M.judged(df, learned).filter("garbled").collect()}
+    assert not [i for i in got if i >= 10_000]
+    assert len(got) >= 0.95 * len(want) and sum(got.get(i) == t for i, t in want.items()) >= 0.9 * len(want)
+
+
+def test_a_table_outside_the_list_is_learned_from_what_is_seen(spark):
+    secret = str.maketrans("éàüñ", "ŁŦĦŊ")
+    texts = ["Un été à la plage by the pier", "déjà vu à l’été on the wall", "über señor in the café à midi"]
+    rows = [(i * 3 + j, t) for i in range(40) for j, t in enumerate(texts)] + [(900 + 3 * i + j, t.translate(secret)) for i in range(2) for j, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learned, _, _ = M.learn(df)
+    assert "as seen" in dict(learned.tables)
+    got = {r.doc_id: r.restored for r in M.judged(df, learned).filter("garbled").collect()}
+    assert got == {900 + 3 * i + j: t for i in range(2) for j, t in enumerate(texts)}
+    joined = M.judged(df, replace(learned, most_held=0)).filter("garbled")
+    assert {r.doc_id: r.restored for r in joined.collect()} == got
