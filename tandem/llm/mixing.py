@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,12 @@ from tandem.runtime import stage
 @dataclass(frozen=True)
 class MixParams:
     """total: size of the mixture (None: the largest at which every source reaches its share); block: size of
-    a block; per_shard: blocks aimed at per shard; most_shards: bound of the quota table."""
+    a block; per_shard: blocks aimed at per shard, however large the mixture; shards: least number of shards."""
 
     total: int | None = None
     block: int = 2048
     per_shard: int = 256
-    most_shards: int = 4096
+    shards: int = 8
     seed: int = 17
 
 
@@ -56,23 +57,68 @@ def quotas(held: dict[str, int], targets: dict[str, tuple[float, int]], total: i
     return out
 
 
-def split_tree(blocks: list[int], shards: int, seed: int) -> np.ndarray:
-    """(shards x sources) block counts: each node draws the blocks of its left half without replacement."""
-    out = np.zeros((shards, len(blocks)), np.int64)
+class SplitTree:
+    """The block quotas of all shards as a tree: each node draws the blocks of its left half without replacement.
 
-    def halve(lo: int, hi: int, have: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = have
-            return
-        mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        n = int(have.sum())
-        left = round(n * (mid - lo) / (hi - lo))
-        draw = rng.multivariate_hypergeometric(have, left, method="marginals") if n else np.zeros_like(have)
-        halve(lo, mid, draw)
-        halve(mid, hi, have - draw)
+    A node's draw depends on the seed and its place alone, so every task works out the few nodes it needs, and the
+    table of all shards never exists."""
+
+    def __init__(self, blocks: list[int], shards: int, seed: int):
+        self.blocks, self.shards, self.seed = np.asarray(blocks, np.int64), shards, seed
+        self.draw = lru_cache(100_000)(self._draw)
 
-    halve(0, shards, np.asarray(blocks, np.int64))
+    def __reduce__(self):
+        return SplitTree, (self.blocks.tolist(), self.shards, self.seed)
+
+    def _draw(self, lo: int, hi: int, have: tuple[int, ...]) -> tuple[int, ...]:
+        rng, n, mid = np.random.default_rng([self.seed, lo, hi]), sum(have), (lo + hi) // 2
+        left = round(n * (mid - lo) / (hi - lo))
+        if not n:
+            return have
+        # the generator takes fewer than 10^9 blocks: above that they are drawn in lots, and the difference is made up in order
+        lot = n // 500_000_000 + 1
+        lots = np.array(have, np.int64) // lot
+        drawn = rng.multivariate_hypergeometric(lots, min(round(left / lot), int(lots.sum())), method="marginals") * lot
+        for i, h in enumerate(have):
+            off = left - int(drawn.sum())
+            drawn[i] += min(off, h - int(drawn[i])) if off > 0 else -min(-off, int(drawn[i]))
+        return tuple(drawn.tolist())
+
+    def shard_of(self, source: int, place: int) -> int:
+        """The shard that holds a source's block of this place in its permuted order."""
+        lo, hi, have = 0, self.shards, tuple(self.blocks.tolist())
+        while hi - lo > 1:
+            mid, left = (lo + hi) // 2, self.draw(lo, hi, have)
+            if place < left[source]:
+                hi, have = mid, left
+            else:
+                place -= left[source]
+                lo, have = mid, tuple(h - l for h, l in zip(have, left))
+        return lo
+
+    def table(self) -> np.ndarray:
+        """(shards x sources) block counts, for tests."""
+        out = np.zeros((self.shards, len(self.blocks)), np.int64)
+
+        def halve(lo: int, hi: int, have: tuple[int, ...]) -> None:
+            if hi - lo == 1:
+                out[lo] = have
+                return
+            left = self.draw(lo, hi, have)
+            halve(lo, (lo + hi) // 2, left)
+            halve((lo + hi) // 2, hi, tuple(h - l for h, l in zip(have, left)))
+
+        halve(0, self.shards, tuple(self.blocks.tolist()))
+        return out
+
+
+def fill_rest(rest: dict[str, int], candidates: list[tuple[str, int, object]]) -> list[object]:
+    """Of the candidates (source, size, item) those that fill what is left of each source's quota, larger ones first."""
+    out, room = [], dict(rest)
+    for source, size, item in sorted(candidates, key=lambda c: (c[0], -c[1], str(c[2]))):
+        if size <= room.get(source, 0):
+            room[source] -= size
+            out.append(item)
     return out
 
 
@@ -92,7 +138,8 @@ def mix(items: DataFrame, targets: dict[str, tuple[float, int]], p: MixParams |
     mixture: (shard, slot, source, doc_id, repeat, tokens), slot being the order in the shard.  report: a
     row per target source with its target, the share it was due among the sources present, and the share
     and size it reached.  Items of other or no source, without id, or of no size (null, 0) take no part;
-    a repeated id is one more item."""
+    a repeated id is one more item.  An item that would go over a source's quota stays out, and the rest is
+    filled with later items that fit; a shard holds about ``per_shard`` blocks however large the mixture is."""
     p = p or MixParams()
     spark = items.sparkSession
     if not targets:
@@ -103,34 +150,42 @@ def mix(items: DataFrame, targets: dict[str, tuple[float, int]], p: MixParams |
     held = {r.source: r.held for r in rows.groupBy("source").agg(F.sum("tokens").alias("held")).collect()}  # one row a target
     plan = quotas(held, targets, p.total)
     blocks = [math.ceil(q.quota / p.block) for q in plan]
-    shards = max(1, min(p.most_shards, math.ceil(sum(blocks) / p.per_shard)))
-    upto = np.cumsum(split_tree(blocks, shards, p.seed), axis=0)
-    shared = spark.sparkContext.broadcast({q.source: (q.held, q.quota, n, *(_stride(n, p.seed + i) if n else (1, 0)), upto[:, i]) for i, (q, n) in enumerate(zip(plan, blocks))})
+    shards = max(p.shards, math.ceil(sum(blocks) / p.per_shard))
+    shared = spark.sparkContext.broadcast((SplitTree(blocks, shards, p.seed), {q.source: (i, q.held, q.quota, n, *(_stride(n, p.seed + i) if n else (1, 0))) for i, (q, n) in enumerate(zip(plan, blocks))}))
     rounds = F.create_map(*(F.lit(x) for q in plan for x in (q.source, math.ceil(q.quota / q.held) if q.held else 0)))
     turns = rows.withColumn("n", rounds[F.col("source")]).filter("n > 0").select("source", "tokens", "doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("repeat"))
     dice = turns.withColumn("dice", F.xxhash64("doc_id", "repeat", F.lit(p.seed)))
     placed = ranged_positions(dice, ["source", "repeat"], [F.col("dice").asc(), F.col("doc_id").asc(), F.col("tokens").asc()], value="tokens", label="order")
 
     def assign(batches):
+        tree, plans = shared.value
+        found = lru_cache(100_000)(tree.shard_of)
         for b in batches:
-            source, rep = np.array(b.column("source").to_pylist(), object), b.column("repeat").to_numpy()
-            start = b.column("running").to_numpy() - b.column("tokens").to_numpy()
-            shard = np.full(len(b), -1, np.int64)
-            for s, (size, quota, n, mul, add, ends) in shared.value.items():
+            source, rep, size = np.array(b.column("source").to_pylist(), object), b.column("repeat").to_numpy(), b.column("tokens").to_numpy()
+            start = b.column("running").to_numpy() - size
+            shard = np.full(len(b), -2, np.int64)
+            for s, (i, held, quota, n, mul, add) in plans.items():
                 at = np.nonzero(source == s)[0]
                 if not n or not len(at):
                     continue
-                begin = start[at] + rep[at].astype(np.int64) * size
-                # an item that would go over the quota comes if at least half of it lies inside
-                inside = begin + b.column("tokens").to_numpy()[at] / 2 <= quota
-                block = np.minimum(begin // p.block, n - 1)
-                place = np.array([(int(x) * mul + add) % n for x in block], np.int64)
-                shard[at] = np.where(inside, np.searchsorted(ends, place, side="right"), -1)
-            ok = pa.array(shard >= 0)
+                begin = start[at] + rep[at].astype(np.int64) * held
+                inside = begin + size[at] <= quota
+                block, back = np.unique(np.minimum(begin[inside] // p.block, n - 1), return_inverse=True)
+                shard[at[inside]] = np.array([found(i, (int(x) * mul + add) % n) for x in block], np.int64)[back] if len(block) else 0
+                # of what stays out, the smallest item of each magnitude may fill the rest
+                out = at[~inside]
+                out = out[np.lexsort((b.column("doc_id").to_numpy(zero_copy_only=False)[out], size[out]))]
+                shard[out[np.unique(np.log2(size[out]).astype(int), return_index=True)[1]]] = -1
+            ok = pa.array(shard >= -1)
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), b.column("source"), b.column("doc_id"), b.column("repeat"), b.column("tokens"), b.column("dice")], names=["shard", "source", "doc_id", "repeat", "tokens", "dice"]).filter(ok)
 
     schema = f"shard int, source string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, repeat int, tokens long, dice long"
-    drawn = stage(placed.mapInArrow(assign, schema), "drawn")
+    first = stage(placed.mapInArrow(assign, schema), "drawn")
+    taken = {r.source: r.n for r in first.filter("shard >= 0").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    # an item of each magnitude and source at most
+    best = first.filter("shard = -1").groupBy("source", F.floor(F.log2("tokens")).alias("magnitude")).agg(F.min(F.struct("tokens", "doc_id", "repeat", "dice")).alias("c")).collect()
+    more = fill_rest({q.source: q.quota - taken.get(q.source, 0) for q in plan}, [(r.source, r.c.tokens, (r.c.dice % shards, r.source, r.c.doc_id, r.c.repeat, r.c.tokens, r.c.dice)) for r in best])
+    drawn = stage(first.filter("shard >= 0").unionByName(spark.createDataFrame(more, first.schema)), "drawn") if more else first.filter("shard >= 0")
     # a shard holds a bounded number of blocks, so it may be ordered in one task
     order = Window.partitionBy("shard").orderBy(F.xxhash64("dice", "shard"), "source", "doc_id", "repeat")
     mixture = drawn.withColumn("slot", F.row_number().over(order) - 1).select("shard", "slot", "source", "doc_id", "repeat", "tokens")

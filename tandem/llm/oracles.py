@@ -84,4 +84,24 @@ SELECT duplicategroupid,
 FROM m JOIN g USING (duplicategroupid) GROUP BY duplicategroupid
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_counts": P1_COUNTS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+P7_INVARIANTS = """
+SELECT budgetid, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text <> '') AS documents, 0 AS overfull, 0 AS holes, 0 AS cut, true AS tight
+FROM tokenbudgets WHERE budgetid IS NOT NULL AND capacitytokens > 0
+"""
+
+P8_INVARIANTS = """
+SELECT source, coalesce(targetshare, 0.0) AS targetshare, 0 AS over, 0 AS twice, 0 AS strangers, true AS near, true AS present FROM sourcetargets WHERE source IS NOT NULL
+"""
+
+P3_CLASSES = _SETS + """
+, cls AS (SELECT kind, lim, items, min(id) AS cid FROM sets GROUP BY kind, lim, items
+), lnk AS (
+  SELECT a.kind, a.cid, count(*) AS links FROM cls a JOIN cls b ON a.kind = b.kind AND a.items <> b.items
+    AND len(list_intersect(a.items, b.items)) >= a.lim * (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))
+  GROUP BY a.kind, a.cid
+)
+SELECT DISTINCT s.kind, s.id, c.cid AS classid, coalesce(l.links, 0) AS links
+FROM sets s JOIN cls c ON c.kind = s.kind AND c.items = s.items LEFT JOIN lnk l ON l.kind = c.kind AND l.cid = c.cid
+"""
+
+ORACLES = {"p1_found": P1_FOUND, "p1_counts": P1_COUNTS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p3_classes": P3_CLASSES, "p7_invariants": P7_INVARIANTS, "p8_invariants": P8_INVARIANTS}

@@ -147,6 +147,20 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(*_packed(spark, sf_dir))
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the prompts of each budget: documents placed whole, containers over the capacity, holes in the
+    numbering, documents cut although they fit, and whether there are at most 1 % (or one) more than the sizes need."""
+    packed, caps = _packed(spark, sf_dir)
+    packed = stage(packed, "packed")
+    cap = F.create_map(*(F.lit(int(x)) for kv in caps.items() for x in kv))[F.col("budgetid")]
+    load = packed.groupBy("budgetid", "containerid").agg(F.sum("size").alias("load"))
+    boxes = load.groupBy("budgetid").agg(F.count_if(F.col("load") > cap).alias("overfull"), (F.max("containerid") + 1 - F.count("*")).alias("holes"), F.count("*").alias("n"), F.sum("load").alias("size"))
+    docs = packed.groupBy("budgetid", "doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("pieces"))
+    whole = docs.groupBy("budgetid").agg(F.count("*").alias("documents"), F.count_if(F.col("pieces") != F.ceil(F.col("size") / cap)).alias("cut"))
+    tight = F.col("n") <= F.greatest(F.ceil(F.col("size") / cap) * 1.01, F.ceil(F.col("size") / cap) + 1)
+    return boxes.join(whole, "budgetid").select("budgetid", "documents", "overfull", "holes", "cut", tight.alias("tight"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "sourcetargets").filter("source IS NOT NULL").collect()
     targets = {r.source: (r.targetshare or 0.0, r.maxrepeats or 0) for r in rows}
@@ -162,6 +176,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of each target source in the mixture: its target, the most repeats of a document over the allowed
+    ones, documents from another source, and whether its share is within 0.005 of what it was due."""
+    mixture, report = _mixed(spark, sf_dir)
+    times = mixture.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.count_distinct("repeat").alias("turns"))
+    home = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("home"))
+    per = times.join(home, "doc_id").groupBy("source").agg(F.max("times").alias("most"), F.count_if(F.col("times") != F.col("turns")).alias("twice"), F.count_if(F.col("source") != F.col("home")).alias("strangers"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return report.join(per, "source", "left").select(
+        "source", "targetshare", F.greatest(none("most") - F.col("maxrepeats"), F.lit(0)).alias("over"), none("twice").alias("twice"), none("strangers").alias("strangers"),
+        (F.abs(F.col("share") - F.col("dueshare")) <= 0.005).alias("near"), ((F.col("available") > 0) == (F.col("items") > 0)).alias("present"),
+    )
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned, _, _ = mojibake.learn(docs)
@@ -181,5 +209,5 @@ def p9_misreadings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_counts, p2_found, p3_found, p3_classes, p5_found, p5_recall, p6_found, p6_consensus, p7_prompts, p7_fill, p8_mixture, p8_shares, p9_found, p9_restored, p9_misreadings)
+    for f in (p1_found, p1_counts, p2_found, p3_found, p3_classes, p5_found, p5_recall, p6_found, p6_consensus, p7_prompts, p7_fill, p7_invariants, p8_mixture, p8_shares, p8_invariants, p9_found, p9_restored, p9_misreadings)
 }

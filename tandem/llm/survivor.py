@@ -57,17 +57,40 @@ def _weight(p: Profile) -> float:
     return sum(p[0].values()) if p else 0.0
 
 
-def _match(a: Profile, b: Profile) -> np.ndarray:
-    """Chance that a token drawn from a column of ``a`` equals one drawn from a column of ``b``."""
-    vocab = {t: i for i, t in enumerate(sorted({t for c in (*a, *b) for t in c if t != GAP}))}
-    def grid(p: Profile) -> np.ndarray:
-        m = np.zeros((len(p), len(vocab)), np.float32)
-        for i, c in enumerate(p):
-            for t, w in c.items():
+class _Matches:
+    """Chances that a token drawn from a column of ``a`` equals one drawn from a column of ``b``, by blocks of rows."""
+
+    def __init__(self, a: Profile, b: Profile):
+        self.a, self.na, self.nb = a, max(_weight(a), 1e-9), max(_weight(b), 1e-9)
+        self.ids: dict[str, int] = {}
+        tok, col, w = [], [], []
+        for j, c in enumerate(b):
+            for t, x in c.items():
                 if t != GAP:
-                    m[i, vocab[t]] = w
-        return m / max(_weight(p), 1e-9)
-    return grid(a) @ grid(b).T
+                    tok.append(self.ids.setdefault(t, len(self.ids)))
+                    col.append(j)
+                    w.append(x)
+        self.tok, self.col, self.w = np.array(tok, np.int64), np.array(col, np.int64), np.array(w, np.float32) / self.nb
+
+    def rows(self, i0: int, i1: int, j0: int, j1: int) -> np.ndarray:
+        """The block [i0, i1) x [j0, j1)."""
+        out = np.zeros((j1 - j0, i1 - i0), np.float32)
+        local: dict[int, int] = {}
+        own = [(local.setdefault(self.ids[t], len(local)), i - i0, x) for i in range(i0, i1) for t, x in self.a[i].items() if t in self.ids]
+        if not own:
+            return out.T
+        weight = np.zeros((len(local) + 1, i1 - i0), np.float32)
+        for k, i, x in own:
+            weight[k, i] = x / self.na
+        place = np.full(len(self.ids), len(local), np.int64)
+        place[list(local)] = list(local.values())
+        lo, hi = np.searchsorted(self.col, [j0, j1])
+        k = place[self.tok[lo:hi]]
+        hit = np.nonzero(k < len(local))[0]
+        for at in range(0, len(hit), 8192):
+            h = hit[at : at + 8192]
+            np.add.at(out, self.col[lo + h] - j0, weight[k[h]] * self.w[lo + h, None])
+        return out.T
 
 
 def _path(score: np.ndarray) -> list[tuple[int, int]]:
@@ -88,38 +111,35 @@ def _path(score: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _anchored(a: Profile, b: Profile, most: int = 1_000_000) -> list[tuple[int, int]]:
-    """As ``_path``; long profiles are first cut at tokens that occur once in each and in the same order."""
-    if len(a) * len(b) <= most:
-        return _path(_match(a, b)) if a and b else []
-    top = lambda p: [max(c.items(), key=lambda kv: (kv[1], kv[0]))[0] for c in p]
-    ta, tb = top(a), top(b)
-    once = lambda t: {w: i for i, w in enumerate(t) if w != GAP and t.count(w) == 1} if len(t) < 3000 else _once(t)
-    ua, ub = once(ta), once(tb)
-    pairs = sorted((ua[w], ub[w]) for w in ua.keys() & ub.keys())
-    chain: list[tuple[int, int]] = []
-    for i, j in pairs:
-        if not chain or j > chain[-1][1]:
-            chain.append((i, j))
-    if not chain:
-        # nothing to hold on to: equal tokens at equal places match
-        return [(i, i) for i in range(min(len(a), len(b))) if ta[i] == tb[i]]
-    out, pi, pj = [], 0, 0
-    for i, j in [*chain, (len(a), len(b))]:
-        x, y = a[pi:i], b[pj:j]
-        sub = _path(_match(x, y)) if x and y and len(x) * len(y) <= most else []
-        out += [(pi + u, pj + v) for u, v in sub]
-        if i < len(a):
-            out.append((i, j))
-        pi, pj = i + 1, j + 1
-    return out
-
-
-def _once(tokens: list[str]) -> dict[str, int]:
-    seen: dict[str, int] = {}
-    for i, w in enumerate(tokens):
-        seen[w] = -1 if w in seen else i
-    return {w: i for w, i in seen.items() if i >= 0 and w != GAP}
+def _reach(m: _Matches, i0: int, i1: int, j0: int, j1: int, back: bool) -> np.ndarray:
+    """Best scores of all rows against the first (``back``: last) 0, 1, ... columns."""
+    h = np.zeros(j1 - j0 + 1, np.float32)
+    cuts = list(range(i0, i1, 64))
+    for lo in reversed(cuts) if back else cuts:
+        block = m.rows(lo, min(lo + 64, i1), j0, j1)
+        for row in block[::-1, ::-1] if back else block:
+            h[1:] = np.maximum.accumulate(np.maximum(h[:-1] + row, h[1:]))
+    return h
+
+
+def align(a: Profile, b: Profile, most: int = 4_000_000) -> list[tuple[int, int]]:
+    """Matched column pairs of a best global alignment with free gaps, for profiles of any length.
+
+    Where the table of all pairs of columns would have more than ``most`` entries, the rows are halved and the columns
+    cut where the best scores of both halves meet: the alignment stays a best one, the memory that of a few rows."""
+    m, out = _Matches(a, b), []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        if i1 <= i0 or j1 <= j0:
+            continue
+        if i1 - i0 == 1 or (i1 - i0) * (j1 - j0) <= most:
+            out += [(i0 + i, j0 + j) for i, j in _path(m.rows(i0, i1, j0, j1))]
+            continue
+        mid = (i0 + i1) // 2
+        cut = j0 + int(np.argmax(_reach(m, i0, mid, j0, j1, False) + _reach(m, mid, i1, j0, j1, True)[::-1]))
+        todo += [(i0, mid, j0, cut), (mid, i1, cut, j1)]
+    return sorted(out)
 
 
 def merge_profiles(a: Profile, b: Profile) -> Profile:
@@ -131,7 +151,7 @@ def merge_profiles(a: Profile, b: Profile) -> Profile:
     i = j = 0
     def alone(c: dict[str, float], w: float) -> dict[str, float]:
         return {**c, GAP: c.get(GAP, 0.0) + w}
-    for x, y in [*_anchored(a, b), (len(a), len(b))]:
+    for x, y in [*align(a, b), (len(a), len(b))]:
         out += [alone(c, wb) for c in a[i:x]] + [alone(c, wa) for c in b[j:y]]
         if x < len(a):
             col = dict(a[x])
@@ -152,7 +172,7 @@ def closeness(tokens: list[str], consensus: list[str]) -> float:
     if not tokens and not consensus:
         return 1.0
     one = lambda t: [{w: 1.0} for w in t]
-    common = len([1 for i, j in _anchored(one(tokens), one(consensus)) if tokens[i] == consensus[j]]) if tokens and consensus else 0
+    common = len([1 for i, j in align(one(tokens), one(consensus)) if tokens[i] == consensus[j]]) if tokens and consensus else 0
     return 2.0 * common / (len(tokens) + len(consensus))
 
 

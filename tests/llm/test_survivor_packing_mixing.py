@@ -95,9 +95,25 @@ def test_pack_table(spark):
 
 def test_split_tree_is_exact_and_fair():
     blocks = [1000, 10, 0, 333]
-    t = mixing.split_tree(blocks, 7, 1)
+    tree = mixing.SplitTree(blocks, 7, 1)
+    t = tree.table()
     assert t.sum(0).tolist() == blocks and t.sum(1).max() - t.sum(1).min() <= 2 and (t >= 0).all()
-    assert (t == mixing.split_tree(blocks, 7, 1)).all()
+    assert (t == mixing.SplitTree(blocks, 7, 1).table()).all()
+    held = np.zeros_like(t)
+    for i, n in enumerate(blocks):
+        for place in range(n):
+            held[tree.shard_of(i, place), i] += 1
+    assert (held == t).all()
+
+
+def test_far_more_shards_than_any_table_holds():
+    tree = mixing.SplitTree([10**11, 3 * 10**11, 7], 10**9, 2)
+    got = [tree.shard_of(1, x) for x in range(0, 3 * 10**11, 10**10)]
+    assert got == sorted(got) and len(set(got)) == 30 and max(got) < 10**9
+
+
+def test_the_rest_of_a_quota_is_filled():
+    assert mixing.fill_rest({"a": 10, "b": 3}, [("a", 8, 1), ("a", 16, 2), ("a", 2, 3), ("a", 1, 4), ("b", 4, 5), ("b", 2, 6), ("c", 1, 7)]) == [1, 3, 6]
 
 
 def test_mixture_meets_the_targets(spark):
@@ -129,3 +145,21 @@ def test_tokens(spark):
     texts = ["hello world", "", None, "<|endoftext|>", "日本語の文", "a" * 200_000, " \n\n  x"]
     got = {r.doc_id: r.tokens for r in with_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", ["doc_id"]).collect()}
     assert 1 < got[0] < 5 and got[1] == got[2] == 0 and got[3] > 1 and got[5] > 1000 and len(got) == 7
+
+
+def test_alignment_is_the_best_one_at_any_size():
+    rng = random.Random(5)
+    words = [f"t{i}" for i in range(12)]
+    for _ in range(30):
+        x, y = ([{rng.choice(words): 1.0} for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        common = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x):
+            for j, d in enumerate(y):
+                common[i + 1][j + 1] = common[i][j] + 1 if c == d else max(common[i][j + 1], common[i + 1][j])
+        for most in (1, 50, 4_000_000):
+            got = survivor.align(x, y, most)
+            assert len(got) == common[-1][-1] and all(x[i] == y[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+    long_ = [rng.choice(words) for _ in range(6000)]
+    other = long_[:50] + ["new"] * 7 + long_[50:4000] + long_[4010:]
+    assert survivor.closeness(long_, other) >= 2 * 5990 / (len(long_) + len(other)) - 1e-9
