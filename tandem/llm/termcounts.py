@@ -38,18 +38,19 @@ def changes(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def term_deltas(signed: DataFrame) -> DataFrame:
-    """(term, occurrences, records): the net change of each term.  Terms are first counted inside each
-    record and then summed map-side, so a frequent term sends one row per map task.  The empty term
-    holds the change in the number of records that have any term."""
-    toks = terms(F.col("text"))
-    words = signed.withColumn("_row", F.monotonically_increasing_id()).withColumn("_terms", toks).filter(F.size("_terms") > 0)
-    # runs of equal words in the sorted list give the occurrences without a shuffle by record
-    distinct = F.transform(F.array_distinct("_terms"), lambda w: F.struct(w.alias("term"), F.size(F.filter("_terms", lambda x: x == w)).alias("n")))
-    marker = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("n")))
-    rows = words.select("sign", F.inline(F.concat(distinct, marker)))
+    """(term, occurrences, records): the net change of each term.  Every term counts once as an occurrence, and every
+    different one once more as a record; both are summed map-side, so a frequent term sends one row per map task and
+    the work grows with the length of a record and not with its square.  The empty term holds the change in the
+    number of records that have any term."""
+    words = signed.select("sign", terms(F.col("text")).alias("_terms")).filter(F.size("_terms") > 0)
+    none = F.lit(0)
+    said = F.transform("_terms", lambda w: F.struct(w.alias("term"), F.lit(1).alias("occ"), none.alias("rec")))
+    held = F.transform(F.array_distinct("_terms"), lambda w: F.struct(w.alias("term"), none.alias("occ"), F.lit(1).alias("rec")))
+    marker = F.array(F.struct(F.lit("").alias("term"), none.alias("occ"), F.lit(1).alias("rec")))
+    rows = words.select("sign", F.inline(F.concat(said, held, marker)))
     return (
         rows.groupBy("term")
-        .agg(F.sum(F.col("sign") * F.col("n")).cast("long").alias("occurrences"), F.sum("sign").cast("long").alias("records"))
+        .agg(F.sum(F.col("sign") * F.col("occ")).cast("long").alias("occurrences"), F.sum(F.col("sign") * F.col("rec")).cast("long").alias("records"))
         .filter("occurrences <> 0 OR records <> 0")
     )
 
