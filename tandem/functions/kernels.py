@@ -170,6 +170,13 @@ def clarity_to_geometric(clarity: Column) -> Column:
     return F.least(F.greatest(F.lit(0.50) + (clarity - 0.60) / 0.35 * 0.26, F.lit(0.50)), F.lit(0.76))
 
 
+def effective_thematic(cluster: Column, judged: Column, hypothesis: Column, event: Column) -> Column:
+    """The thematic score that counts: the judged one where there is one, but the clusters' where a judged score of 0
+    only rejects a hypothesis; discounted by the event factor."""
+    rejected = hypothesis.isNotNull() & F.coalesce(judged == 0, F.lit(False))
+    return F.when(rejected, cluster).otherwise(F.coalesce(judged, cluster)) * event
+
+
 def display_geometric(edge: Column, grid: Column, edge_mult: Column, grid_mult: Column, peak: Column, var: Column, stored: Column, peak_floor: float = 2.2, var_floor: float = 0.12) -> Column:
     """Structural score with hard floors wherever the raw similarities exist, else the stored score."""
     e = edge * F.coalesce(edge_mult, F.lit(1.0)) * F.when(peak < peak_floor, F.lit(0.40)).otherwise(F.lit(1.0))

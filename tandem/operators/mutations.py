@@ -26,6 +26,37 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFram
     return j.select(*keys, *(value(c).alias(c) for c in current.columns if c not in keys), outcome.alias("outcome"))
 
 
+def upsert_files(current: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(id, path, filename, contenthash, outcome) of every scanned file against the table's images.
+
+    By path first: ``touched`` with the same hash, ``changed`` with another (its vectors must go).  Then by file name
+    and hash: ``moved``, the smallest id of several.  All others are ``inserted``, with a null id.  Repeated rows on
+    either side count once; of several images on one path the smallest id is taken; null hashes are never equal."""
+    files = scanned.select("path", "filename", "contenthash").filter("path IS NOT NULL").distinct()
+    here = current.filter("path IS NOT NULL AND id IS NOT NULL").groupBy("path").agg(F.min(F.struct("id", "contenthash")).alias("own"))
+    named = current.filter("filename IS NOT NULL AND contenthash IS NOT NULL AND id IS NOT NULL").groupBy("filename", "contenthash").agg(F.min("id").alias("same"))
+    known = files.join(here, "path", "left")
+    found = known.filter("own IS NOT NULL").select(F.col("own.id").alias("id"), "path", "filename", "contenthash", F.when(F.col("own.contenthash") == F.col("contenthash"), "touched").otherwise("changed").alias("outcome"))
+    rest = known.filter("own IS NULL").join(named, ["filename", "contenthash"], "left")
+    return found.unionByName(rest.select(F.col("same").alias("id"), "path", "filename", "contenthash", F.when(F.col("same").isNotNull(), "moved").otherwise("inserted").alias("outcome")))
+
+
+def write_captions(images: DataFrame, captions: DataFrame) -> DataFrame:
+    """``images`` with new captions by id; a caption that changes takes the role profile made from the old one away."""
+    new = captions.filter("id IS NOT NULL AND caption IS NOT NULL").groupBy("id").agg(F.max("caption").alias("_new"))
+    joined = images.join(new, "id", "left")
+    changed = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("caption"))
+    return joined.withColumn("roleprofile", F.when(changed, F.lit(None)).otherwise(F.col("roleprofile"))).withColumn("caption", F.coalesce("_new", "caption")).drop("_new")
+
+
+def merge_candidates(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(a, b, id, outcome) of candidate edges (a, b) against the pairs (id, a, b), whichever end comes first: ``tagged``
+    where the pair exists, with its id, else ``inserted``."""
+    key = lambda df, *more: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more)
+    have = key(pairs, "id").groupBy("a", "b").agg(F.min("id").alias("id"))
+    return key(candidates).distinct().join(have, ["a", "b"], "left").select("a", "b", "id", F.when(F.col("id").isNotNull(), "tagged").otherwise("inserted").alias("outcome"))
+
+
 def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Insert-or-ignore: incoming rows whose key exists are left out; repeated incoming keys insert once."""
     return current.unionByName(incoming.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti"))

@@ -161,6 +161,30 @@ def pair_rationale(spark, d):
     return s.select("id", F.when(burst, "sequential").when(F.col("captions") & (F.col("thematic") >= 0.20), themed).otherwise(plain).alias("reason"))
 
 
+@query
+def caption_rationale(spark, d):
+    """The sentence shown for a pair: its shared theme, a contrast, or its strongest score."""
+    s = _full_scores(spark, d)
+    theme = C.representative(F.array_intersect("a_cl", "b_cl"))
+    texts = F.create_map(*(F.lit(x) for kv in vocab.RATIONALES.items() for x in kv))
+    top = F.greatest("aesthetic", "geometric", "thematic")
+    strongest = F.when(F.col("thematic") == top, F.when(F.col("thematic") >= 0.75, "semantic").otherwise("thematic")).when(F.col("aesthetic") == top, F.col("aestheticmode")).otherwise(F.col("geometricmode"))
+    before, after = vocab.SHARED_THEME.split("{}")
+    themed = F.concat(F.lit(before), F.replace(theme, F.lit("_"), F.lit(" ")), F.lit(after))
+    return s.select("id", F.when(theme.isNotNull(), themed).when(F.col("thematic") < 0.15, texts[F.lit("apart")]).otherwise(texts[strongest]).alias("rationale"))
+
+
+@query
+def effective_thematic(spark, d):
+    """The thematic score that counts.  The tables have no judged score: every third pair's is 0, every second's of
+    the others twice its composite, and role pairs have a hypothesis."""
+    p = scored(spark, d).select("id", "a", "b", "thematic", "composite", "selectedfor")
+    m = with_images(p, meta(spark, d).select("id", "date", C.meaningful(C.caption_clusters(F.col("caption"), vocab.rows(spark))).alias("cl")))
+    judged = F.when(F.col("id") % 3 == 0, F.lit(0.0)).when(F.col("id") % 2 == 0, F.col("composite") * 2)
+    event = K.event_factor(F.col("a_date"), F.col("b_date"), F.arrays_overlap("a_cl", "b_cl"))
+    return m.select("id", r6(K.effective_thematic(F.col("thematic"), judged, F.when(F.col("selectedfor") == "role", "role"), event)).alias("thematic"))
+
+
 @query
 def temporal_penalty(spark, d):
     """Time factor, burst and sequence flags, and the event factor of every pair."""
@@ -544,6 +568,52 @@ def color_tone(spark, d):
     return v.groupBy(K.color_tone(F.lower(F.trim("a_colorprofile")), F.lower(F.trim("b_colorprofile"))).alias("tone")).agg(F.count("*").alias("pairs"))
 
 
+@query
+def gaze_pairs(spark, d):
+    """Left joins: gaze pairs with the folder names of both ends, null where an image or folder is unknown."""
+    f = table(spark, d, "folders").select(F.col("id").alias("folderid"), F.col("displayname").alias("folder"))
+    img = images_once(spark, d, "folderid").join(f, "folderid", "left").select("id", "folder")
+    g = scored(spark, d).filter("selectedfor = 'gaze'").select("id", "a", "b")
+    for end in ("a", "b"):
+        g = g.join(img.select(F.col("id").alias(end), F.col("folder").alias(f"{end}folder")), end, "left")
+    return g.select("id", "afolder", "bfolder")
+
+
+@query
+def pair_paths(spark, d):
+    """The paths of both images of every pair, or none if one is missing."""
+    m = pairs_once(spark, d)
+    for end in ("a", "b"):
+        m = m.join(images_once(spark, d, "path").select(F.col("id").alias(end), F.col("path").alias(f"{end}path")), end, "left")
+    both = F.col("apath").isNotNull() & F.col("bpath").isNotNull()
+    return m.select("id", F.when(both, F.col("apath")).alias("apath"), F.when(both, F.col("bpath")).alias("bpath"))
+
+
+@query
+def top_five(spark, d):
+    """The five best pairs by composite score."""
+    return _top(scored(spark, d), F.col("composite"), 5)
+
+
+@query
+def role_candidates(spark, d):
+    """The first 500 role pairs by id."""
+    return scored(spark, d).filter("selectedfor = 'role'").select("id", "a", "b").orderBy("id").limit(500)
+
+
+@query
+def group_report(spark, d):
+    """The ten largest duplicate groups, equal ones by id."""
+    return group_members(spark, d).select("duplicategroupid", "members").orderBy(F.col("members").desc(), "duplicategroupid").limit(10)
+
+
+@query
+def stage_throughput(spark, d):
+    """Calls and total and mean time of every stage, from a log of timed events."""
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("calls"), F.sum("value").alias("ms"))
+    return e.select("stage", "calls", F.round("ms", 4).alias("ms"), F.round(F.col("ms") / F.col("calls"), 6).alias("mean"))
+
+
 @query
 def liked_pairs(spark, d):
     """Semi-join: pairs whose latest decision is liked."""
@@ -658,6 +728,45 @@ def upsert_images(spark, d):
     return mutations.upsert(img, exp, ["id"]).groupBy("outcome").agg(F.count("*").alias("rows"))
 
 
+def _scan(spark, d):
+    """A scan of the images' files a while later: some moved, some changed, some new."""
+    i = F.col("id")
+    moved, changed, new = i % 5 == 0, i % 7 == 0, i % 11 == 0
+    return images_once(spark, d, "path", "filename", "contenthash").select(
+        F.when(moved | new, F.concat(F.lit("/later"), "path")).otherwise(F.col("path")).alias("path"),
+        F.when(new, F.concat(F.lit("new-"), "filename")).otherwise(F.col("filename")).alias("filename"),
+        F.when(changed, F.concat(F.lit("x"), "contenthash")).otherwise(F.col("contenthash")).alias("contenthash"),
+    )
+
+
+@query
+def upsert_files(spark, d):
+    """Scanned files against the stored images: touched, changed, moved or inserted, with the image they go to."""
+    return mutations.upsert_files(images_once(spark, d, "path", "filename", "contenthash"), _scan(spark, d)).select("id", "path", "outcome")
+
+
+@query
+def caption_write(spark, d):
+    """Loading the exported captions: which images have a caption and a profile afterwards."""
+    img = images_once(spark, d, "caption", "roleprofile").groupBy("id").agg(F.max("caption").alias("caption"), F.max("roleprofile").alias("roleprofile"))
+    after = mutations.write_captions(img, table(spark, d, "corpusimage"))
+    return after.groupBy(F.col("caption").isNotNull().alias("captioned"), F.col("roleprofile").isNotNull().alias("profiled")).agg(F.count("*").alias("images"))
+
+
+@query
+def gaze_insert(spark, d):
+    """Nominated pairs against the stored ones that are no gaze pairs: those that exist are tagged, others inserted."""
+    stored = scored(spark, d).filter("coalesce(selectedfor, '') <> 'gaze'").select("id", "a", "b")
+    got = mutations.merge_candidates(stored, gaze_nominate(spark, d).select(F.col("leftid").alias("a"), F.col("rightid").alias("b")))
+    return got.select("a", "b", "id", "outcome")
+
+
+@query
+def role_insert(spark, d):
+    """Admitted role connections against the stored pairs: tagged where the pair exists, else inserted."""
+    return mutations.merge_candidates(pairs_once(spark, d), role_admission(spark, d).select("a", "b"))
+
+
 @query
 def soft_delete_folder(spark, d):
     """Active images left per folder once the first three folders are removed."""

@@ -344,3 +344,40 @@ ORACLES["slot_allocation"] = w(SCO, "n AS (SELECT count(*) AS budget FROM sco WH
     "raw AS (SELECT bucket, CASE WHEN budget <= 0 THEN 0 WHEN budget < 10 THEN (bucket < budget)::INT ELSE greatest(1, floor(weight::DOUBLE / (SELECT sum(weight) FROM wts) * budget + 0.5))::INT END AS s, budget FROM wts, n)",
     "spare AS (SELECT bucket, k, row_number() OVER (ORDER BY k, bucket) AS turn FROM (SELECT bucket, unnest(range(1, s)) AS k FROM raw))",
 ) + "SELECT bucket, (s - (SELECT count(*) FROM spare p WHERE p.bucket = raw.bucket AND p.turn <= greatest((SELECT sum(s) FROM raw) - budget, 0)))::INT AS slots FROM raw"
+
+# --- texts, left joins, reports and loads ---
+
+_RAT = lambda n: "'" + vocab.RATIONALES[n].replace("'", "''") + "'"
+_MODES = lambda col: f"CASE {col} " + " ".join(f"WHEN '{n}' THEN {_RAT(n)}" for n in vocab.RATIONALES) + " END"
+_THEME = f"(list_sort(list_transform(list_filter(list_intersect(ca, cb), lambda n: n IS NOT NULL), lambda n: [printf('%.2f', 9 - ({_W})), n])))[1][2]"
+ORACLES["caption_rationale"] = w(PRS, FEAT, VIS, META, TOK, CLU, FULL) + f"""SELECT id, CASE WHEN len(list_intersect(ca, cb)) > 0 THEN '{vocab.SHARED_THEME.split('{}')[0]}' || replace({_THEME}, '_', ' ') || '{vocab.SHARED_THEME.split('{}')[1]}'
+  WHEN thematic < 0.15 THEN {_RAT('apart')} WHEN thematic >= greatest(aesthetic, geometric) THEN CASE WHEN thematic >= 0.75 THEN {_RAT('semantic')} ELSE {_RAT('thematic')} END
+  WHEN aesthetic >= geometric THEN {_MODES('aestheticmode')} ELSE {_MODES('geometricmode')} END AS rationale FROM six"""
+ORACLES["effective_thematic"] = w(SCO, META, TOK, CLU) + f"""SELECT s.id, round((CASE WHEN s.id % 3 = 0 THEN CASE WHEN selectedfor = 'role' THEN thematic ELSE 0.0 END WHEN s.id % 2 = 0 THEN CASE WHEN selectedfor = 'role' AND composite * 2 = 0 THEN thematic ELSE composite * 2 END ELSE thematic END)
+  * (CASE WHEN {_GAP} > 300 AND {_GAP} <= 21600 AND list_has_any({strong('cx.cl')}, {strong('cy.cl')}) THEN CASE WHEN {_GAP} <= 1800 THEN 0.70 WHEN {_GAP} <= 7200 THEN 0.80 ELSE 0.90 END ELSE 1.0 END), 6)::DOUBLE AS thematic
+  FROM sco s JOIN meta x ON x.id = s.a JOIN meta y ON y.id = s.b JOIN clu cx ON cx.id = s.a JOIN clu cy ON cy.id = s.b"""
+_NAMED = "named AS (SELECT DISTINCT i.id, f.displayname AS folder FROM img i LEFT JOIN folders f ON f.id = i.folderid)"
+ORACLES["gaze_pairs"] = w(IMG, SCO, _NAMED) + "SELECT s.id, x.folder AS afolder, y.folder AS bfolder FROM sco s LEFT JOIN named x ON x.id = s.a LEFT JOIN named y ON y.id = s.b WHERE s.selectedfor = 'gaze'"
+ORACLES["pair_paths"] = w(PRS) + """SELECT p.id, CASE WHEN y.path IS NOT NULL THEN x.path END AS apath, CASE WHEN x.path IS NOT NULL THEN y.path END AS bpath FROM prs p
+  LEFT JOIN (SELECT DISTINCT id, path FROM images) x ON x.id = p.a LEFT JOIN (SELECT DISTINCT id, path FROM images) y ON y.id = p.b"""
+ORACLES["top_five"] = top("composite", 5)
+ORACLES["role_candidates"] = w(SCO) + "SELECT id, a, b FROM sco WHERE selectedfor = 'role' ORDER BY id LIMIT 500"
+ORACLES["group_report"] = "SELECT duplicategroupid, count(*) AS members FROM (SELECT DISTINCT id, duplicategroupid FROM images WHERE id IS NOT NULL AND duplicategroupid IS NOT NULL) GROUP BY 1 ORDER BY members DESC, duplicategroupid LIMIT 10"
+ORACLES["stage_throughput"] = "SELECT event_type AS stage, count(*) AS calls, round(sum(value), 4) AS ms, round(sum(value) / count(*), 6) AS mean FROM events GROUP BY 1"
+_SCAN = """img AS (SELECT DISTINCT id, path, filename, contenthash FROM images WHERE id IS NOT NULL),
+scan AS (SELECT DISTINCT CASE WHEN id % 5 = 0 OR id % 11 = 0 THEN '/later' || path ELSE path END AS path, CASE WHEN id % 11 = 0 THEN 'new-' || filename ELSE filename END AS filename, CASE WHEN id % 7 = 0 THEN 'x' || contenthash ELSE contenthash END AS contenthash FROM img)"""
+ORACLES["upsert_files"] = w(_SCAN) + """SELECT CASE WHEN h.id IS NOT NULL THEN h.id ELSE (SELECT min(i.id) FROM img i WHERE i.filename = s.filename AND i.contenthash = s.contenthash) END AS id, s.path,
+  CASE WHEN h.id IS NOT NULL THEN CASE WHEN h.contenthash = s.contenthash THEN 'touched' ELSE 'changed' END
+    WHEN EXISTS (SELECT 1 FROM img i WHERE i.filename = s.filename AND i.contenthash = s.contenthash) THEN 'moved' ELSE 'inserted' END AS outcome
+  FROM scan s LEFT JOIN (SELECT path, min(id) AS id, first(contenthash ORDER BY id, contenthash) AS contenthash FROM img GROUP BY path) h ON h.path = s.path WHERE s.path IS NOT NULL"""
+ORACLES["caption_write"] = """WITH o AS (SELECT id, max(caption) AS c, max(roleprofile) AS r FROM images WHERE id IS NOT NULL GROUP BY id), n AS (SELECT id, max(caption) AS c FROM corpusimage WHERE id IS NOT NULL AND caption IS NOT NULL GROUP BY id)
+SELECT coalesce(n.c, o.c) IS NOT NULL AS captioned, o.r IS NOT NULL AND (n.c IS NULL OR n.c IS NOT DISTINCT FROM o.c) AS profiled, count(*) AS images FROM o LEFT JOIN n USING (id) GROUP BY 1, 2"""
+
+
+def _merged(candidates: str, pairs: str) -> str:
+    return f"""SELECT c.a, c.b, p.id, CASE WHEN p.id IS NULL THEN 'inserted' ELSE 'tagged' END AS outcome FROM (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ({candidates})) c
+  LEFT JOIN (SELECT least(a, b) AS a, greatest(a, b) AS b, min(id) AS id FROM ({pairs}) GROUP BY 1, 2) p USING (a, b)"""
+
+
+ORACLES["gaze_insert"] = _merged(f"SELECT leftid AS a, rightid AS b FROM ({ORACLES['gaze_nominate']})", w(SCO) + "SELECT id, a, b FROM sco WHERE coalesce(selectedfor, '') <> 'gaze'")
+ORACLES["role_insert"] = _merged(ORACLES["role_admission"], w(PRS) + "SELECT id, a, b FROM prs")
