@@ -381,3 +381,40 @@ def _merged(candidates: str, pairs: str) -> str:
 
 ORACLES["gaze_insert"] = _merged(f"SELECT leftid AS a, rightid AS b FROM ({ORACLES['gaze_nominate']})", w(SCO) + "SELECT id, a, b FROM sco WHERE coalesce(selectedfor, '') <> 'gaze'")
 ORACLES["role_insert"] = _merged(ORACLES["role_admission"], w(PRS) + "SELECT id, a, b FROM prs")
+
+# --- nested profiles: the text opened where it is a string or stands inside other text, the outermost object with a
+# profile field found level by level, its members spelled alike, then elements, then parts as deep as they go ---
+
+_PROFILE = ("subjects", "phenomena", "claims", "enacts", "subverts", "objects", "directed_at", "stance")
+_NORM = "replace(lower({0}), '_', '')"
+_CODES = "MAP {" + ", ".join(f"'{f.replace('_', '')}': '{f}'" for f in _PROFILE) + "}"
+NODES = f"""txt AS (SELECT DISTINCT id, trim(roleprofile) AS t FROM images WHERE id IS NOT NULL AND contains(roleprofile, '{{')),
+opened AS (SELECT id, CASE WHEN json_valid(t) AND json_type(CASE WHEN json_valid(t) THEN t END) = 'VARCHAR' THEN (CASE WHEN json_valid(t) THEN t END)::JSON->>'$' ELSE t END AS t FROM txt),
+cut AS (SELECT id, CASE WHEN json_valid(t) THEN t ELSE regexp_extract(t, '(?s)\\{{.*\\}}') END AS t FROM opened),
+whole AS (SELECT id, t::JSON AS j FROM cut WHERE json_valid(t)),
+look(id, level, j) AS (SELECT id, 0, j FROM whole UNION ALL
+  SELECT id, level + 1, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v->>'$') THEN (v->>'$')::JSON ELSE v END FROM (
+    SELECT id, level, unnest(CASE json_type(j) WHEN 'OBJECT' THEN list_transform(json_keys(j), lambda k: json_extract(j, '$."' || k || '"')) ELSE json_extract(j, '$[*]') END) AS v FROM look
+    WHERE json_type(j) IN ('OBJECT', 'ARRAY') AND NOT (json_type(j) = 'OBJECT' AND list_has_any(list_transform(json_keys(j), lambda k: {_NORM.format('k')}), map_keys({_CODES})))) WHERE json_type(v) IN ('OBJECT', 'ARRAY', 'VARCHAR')),
+prof AS (SELECT id, first(j ORDER BY level) AS j FROM look WHERE json_type(j) = 'OBJECT' AND list_has_any(list_transform(json_keys(j), lambda k: {_NORM.format('k')}), map_keys({_CODES})) GROUP BY id),
+member AS (SELECT id, {_CODES}[{_NORM.format('k')}] AS f, last(json_extract(j, '$."' || k || '"') ORDER BY n) AS v FROM (SELECT id, j, unnest(json_keys(j)) AS k, generate_subscripts(json_keys(j), 1) AS n FROM prof) WHERE {_NORM.format('k')} IN (SELECT unnest(map_keys({_CODES}))) GROUP BY 1, 2),
+elem AS (SELECT id, f, unnest(CASE WHEN json_type(v) = 'ARRAY' AND f <> 'stance' THEN json_extract(v, '$[*]') ELSE [v] END) AS v, unnest(CASE WHEN json_type(v) = 'ARRAY' AND f <> 'stance' THEN range(0, json_array_length(v)::BIGINT) ELSE [0] END) AS n FROM member),
+node(id, f, n, depth, path, parent, v) AS (
+  SELECT id, f, n, 1, CASE WHEN f = 'stance' THEN f ELSE f || '[' || n || ']' END, '$', v FROM elem
+  UNION ALL SELECT id, 'parts', n, depth + 1, path || '.parts[' || n || ']', path, v FROM (
+    SELECT id, depth, path, unnest(CASE WHEN json_type(p) = 'ARRAY' THEN json_extract(p, '$[*]') ELSE [p] END) AS v, unnest(CASE WHEN json_type(p) = 'ARRAY' THEN range(0, json_array_length(p)::BIGINT) ELSE [0] END) AS n FROM (
+      SELECT id, depth, path, list_last(list_transform(list_filter(json_keys(v), lambda k: {_NORM.format('k')} = 'parts'), lambda k: json_extract(v, '$."' || k || '"'))) AS p FROM node WHERE f IN ('objects', 'parts') AND json_type(v) = 'OBJECT') WHERE p IS NOT NULL)),
+kept AS (SELECT * FROM node WHERE json_type(v) <> 'NULL' AND v::VARCHAR NOT IN ('{{}}', '[]') AND NOT (json_type(v) = 'VARCHAR' AND trim(v->>'$', ' ' || chr(9) || chr(10) || chr(13)) = ''))"""
+_ATTR = "CASE json_type(v, '$.{0}') WHEN 'VARCHAR' THEN v->>'$.{0}' WHEN 'NULL' THEN NULL ELSE (v->'$.{0}')::VARCHAR END"
+
+
+def _child(fields: tuple[str, ...], attributes: tuple[str, ...], text_as: str) -> str:
+    attr = {a: f"CASE WHEN json_type(v) = 'OBJECT' THEN {_ATTR.format(a)} END" for a in attributes}
+    attr[text_as] = f"CASE WHEN json_type(v) = 'VARCHAR' THEN v->>'$' ELSE {attr[text_as]} END"
+    return w(NODES) + f"SELECT id AS imageid, path AS nodepath, parent AS parentpath, n::INT AS element, depth, {', '.join(f'{x} AS {a}' for a, x in attr.items())} FROM kept WHERE f IN ({_list(fields)})"
+
+
+ORACLES["p4_found"] = w(NODES) + "SELECT id AS imageid, path AS nodepath, parent AS parentpath FROM kept"
+ORACLES["p4_objects"] = _child(("objects", "parts"), ("object", "register", "category"), "object")
+ORACLES["p4_phenomena"] = _child(("phenomena",), ("phenomenon", "role"), "phenomenon")
+ORACLES["p4_texts"] = f"SELECT *, regexp_extract(nodepath, '^([a-z_]+)', 1) AS field FROM ({_child(('subjects', 'claims', 'enacts', 'subverts', 'directed_at'), ('value',), 'value')})"
