@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.kernels import hamming
 from tandem.functions.text import filename_bases
-from tandem.runtime import stage
+from tandem.runtime import release, stage
 
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -60,7 +60,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u")
-        e = stage(small.select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        e, before = stage(small.select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components"), e
+        release(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == mark:
             break

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.runtime import stage
+from tandem.runtime import release, stage
 
 
 def _loop(rows: pd.DataFrame, capacity: dict[int, int], left: dict, scoped: bool) -> list[int]:
@@ -54,7 +54,8 @@ def capped_greedy(edges: DataFrame, capacity: dict[int, int], finish: int = 100_
         full = stage(degree.filter(F.col("n") >= caps[F.col("kind")]).select("v", "kind"), "greedy")
         alive = open_.join(now.select("pos"), "pos", "left_anti")
         alive = alive.join(full.withColumnRenamed("v", "a"), ["a", "kind"], "left_anti").join(full.withColumnRenamed("v", "b"), ["b", "kind"], "left_anti")
-        open_ = stage(alive.select("pos", "a", "b", "kind"), "greedy")
+        open_, before = stage(alive.select("pos", "a", "b", "kind"), "greedy"), open_
+        release(before, full)
 
 
 def cap_two(edges: DataFrame, finish: int = 100_000) -> DataFrame:

@@ -23,10 +23,19 @@ def best_pairs(vectors: DataFrame, k: int, floor: float = -2.0, block: int = 204
     only pairs of a new and an old image count.  Repeated ids count once; null vectors take no part."""
     new = F.col("isnew") if only_new else F.lit(True)
     rows = vectors.filter("vec IS NOT NULL AND id IS NOT NULL AND scope IS NOT NULL").select("id", "scope", "vec", new.alias("isnew")).dropDuplicates(["id", "scope"])
-    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = rows.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # each block takes part in the tiles (i, j), i <= j, on its row and column
-    tiles = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    if only_new:
+        # new blocks are numbered first, old ones after them, and only tiles of one with the other are made
+        n = lambda c: F.ceil(F.count_if(c) / block).cast("int")
+        sizes = rows.groupBy("scope").agg(n(F.col("isnew")).alias("fresh"), n(~F.col("isnew")).alias("rest")).filter("fresh > 0 AND rest > 0")
+        hashed, is_new = F.xxhash64("id"), F.col("isnew")
+        placed = rows.join(sizes, "scope").withColumn("own", F.when(is_new, F.pmod(hashed, F.col("fresh"))).otherwise(F.pmod(hashed, F.col("rest")) + F.col("fresh")).cast("int"))
+        partners = F.when(is_new, F.sequence(F.col("fresh"), F.col("fresh") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("fresh") - 1))
+        tiles = placed.withColumn("with", F.explode(partners))
+    else:
+        sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        placed = rows.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        # each block takes part in the tiles (i, j), i <= j, on its row and column
+        tiles = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = tiles.select("scope", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "vec", "isnew")
 
     def tile(t: pa.Table) -> pa.Table:

@@ -41,6 +41,15 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes what ``stage`` wrote for tables that nothing will read any more, as those of the rounds before."""
+    for df in frames:
+        for name in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if folder.toString().split(":", 1)[-1].lstrip("/").startswith(shared_folder(df.sparkSession).split(":", 1)[-1].lstrip("/")):
+                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

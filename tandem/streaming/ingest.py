@@ -10,22 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tandem.operators.mutations import upsert
 from tandem.plans.blocked import best_pairs
-from tandem.sources.scan import swap_in
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+from tandem.sources.scan import BucketTable
 
 
 def merge_batch(batch: DataFrame, table_path: str, key: str = "id", order: str = "indexedat") -> None:
-    """Upserts one micro-batch; of rows of one key the latest by ``order`` wins.  Running a batch again changes
-    nothing, so a batch repeated after a failure is harmless."""
-    spark = batch.sparkSession
+    """Upserts one micro-batch into the ``BucketTable`` at ``table_path``; of rows of one key the latest by ``order``
+    wins.  Only the buckets the batch touches are read and rewritten.  Running a batch again changes nothing, so a
+    batch repeated after a failure is harmless."""
     newest = batch.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in batch.columns)), F.struct(F.col(order).isNotNull(), F.col(order))).alias("r")).select("r.*")
-    if exists(spark, table_path):
-        newest = upsert(spark.read.parquet(table_path), newest, [key]).drop("outcome").select(*batch.columns)
-    swap_in(newest, table_path)
+    merged = lambda old, new: new if old is None else upsert(old, new, [key]).select(*batch.columns)
+    BucketTable(batch.sparkSession, table_path, key).merge(newest, merged)
 
 
 def stream_upserts(spark: SparkSession, source: str, schema: str, table_path: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, files_per_batch: int = 10) -> StreamingQuery:

@@ -63,9 +63,14 @@ def test_accent():
 def test_sinks(spark, tmp_path):
     df = spark.range(50).withColumn("p", F.col("id") % 2)
     path = f"file://{tmp_path}/t"
-    S.swap_in(df, path)
-    S.swap_in(df.filter("id < 7"), path)
-    assert spark.read.parquet(path).count() == 7
+    t = S.BucketTable(spark, path, "id", 4)
+    replace = lambda old, new: new if old is None else old.join(new.select("id"), "id", "left_anti").unionByName(new)
+    assert t.read() is None and t.merge(df.limit(0), replace) == 0
+    assert t.merge(df, replace) == 1 and S.BucketTable(spark, path, "id").read().count() == 50
+    before = t.state()[1]
+    one = df.filter("id = 7").withColumn("p", F.lit(9).cast("long"))
+    assert t.merge(one, replace) == 2 and sum(before[b] != f for b, f in t.state()[1].items()) == 1
+    assert {r.id: r.p for r in t.read().collect()} == {i: 9 if i == 7 else i % 2 for i in range(50)}
     S.overwrite_scope(df, f"{path}2", "p")
     S.overwrite_scope(df.filter("id = 1"), f"{path}2", "p")
     assert spark.read.parquet(f"{path}2").count() == 26
@@ -86,9 +91,9 @@ def test_streaming_upserts(spark, tmp_path):
         q.awaitTermination()
         if rows:
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-    assert {r.id: r.caption for r in spark.read.parquet(dst).collect()} == {1: "a", 2: "B", 3: "c"} and len(seen) == 2
+    assert {r.id: r.caption for r in S.BucketTable(spark, dst, "id").read().collect()} == {1: "a", 2: "B", 3: "c"} and len(seen) == 2
     ingest.merge_batch(spark.createDataFrame([(1, "a", 1)], schema), dst)
-    assert spark.read.parquet(dst).count() == 3
+    assert S.BucketTable(spark, dst, "id").read().count() == 3
 
 
 def test_cross_scores_only_between_new_and_old(spark):
