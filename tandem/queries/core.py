@@ -17,7 +17,7 @@ from tandem.operators.features import finite
 from tandem.operators.scan import ranged_positions
 from tandem.plans import blocked, scoring
 from tandem.queries.sql import ORACLES
-from tandem.runtime import stage, table
+from tandem.runtime import stage, stored_bytes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,15 +55,23 @@ def heroes_of(images: DataFrame) -> DataFrame:
     return images.filter("id IS NOT NULL AND ishero AND isactive").select("id").distinct()
 
 
-def with_images(p: DataFrame, img: DataFrame) -> DataFrame:
-    """Pairs joined with the columns of both images as a_<column> and b_<column>."""
+#: Staged image tables of up to this many bytes are sent to all executors; larger ones are joined by a shuffle.
+HELD = 48 << 20
+
+
+def with_images(p: DataFrame, img: DataFrame, staged: bool = False) -> DataFrame:
+    """Pairs joined with the columns of both images as a_<column> and b_<column>.  Wide columns of a small ``staged``
+    table are broadcast, so that they are not shuffled once per pair; its size is checked."""
+    if staged and stored_bytes(img) <= HELD:
+        # the pairs are few bytes and much work: they keep all cores busy
+        img, p = F.broadcast(img), p.repartition(3 * p.sparkSession.sparkContext.defaultParallelism)
     side = lambda s: img.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in img.columns if c != "id"))
     return p.join(side("a"), "a").join(side("b"), "b")
 
 
 def visual(spark: SparkSession, d: str) -> DataFrame:
     # both sides of the join read the features, so they are worked out once
-    return with_images(pairs_once(spark, d), stage(features.features(table(spark, d, "clipoutput")), "features"))
+    return with_images(pairs_once(spark, d), stage(features.features(table(spark, d, "clipoutput")), "features"), True)
 
 
 def meta(spark: SparkSession, d: str) -> DataFrame:

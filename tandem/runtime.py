@@ -41,6 +41,16 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """The size of the files a staged table is read from."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    names = df.inputFiles()
+    if not names:
+        return 0
+    folder = jvm.org.apache.hadoop.fs.Path(names[0]).getParent()
+    return folder.getFileSystem(conf).getContentSummary(folder).getLength()
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes what ``stage`` wrote for tables that nothing will read any more, as those of the rounds before."""
     for df in frames:
