@@ -163,3 +163,25 @@ def test_alignment_is_the_best_one_at_any_size():
     long_ = [rng.choice(words) for _ in range(6000)]
     other = long_[:50] + ["new"] * 7 + long_[50:4000] + long_[4010:]
     assert survivor.closeness(long_, other) >= 2 * 5990 / (len(long_) + len(other)) - 1e-9
+
+
+def test_consensus_finds_the_planted_text(spark):
+    """Each group holds one sound text among many damaged in different places; a hot group holds a third of all rows."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows, want, n = [], {}, 0
+    for g in range(30):
+        text = [rng.choice(words) for _ in range(25)]
+        for i in range(150 if g == 0 else 8):
+            bad = list(text)
+            for _ in range(3):
+                at = rng.randrange(len(bad))
+                bad[at : at + 1] = rng.choice([[], [rng.choice(words)], [bad[at], rng.choice(words)]])
+            rows.append((g, n, " ".join(bad)))
+            n += 1
+        rows.append((g, n, " ".join(text)))
+        want[g] = " ".join(text)
+        n += 1
+    df = spark.createDataFrame(rows, "g int, id long, caption string")
+    got = {r.g: r.value for r in survivor.consensus(df, "g", "id", "caption").collect()}
+    assert sum(got[g] == t for g, t in want.items()) >= 29
