@@ -24,12 +24,14 @@ from tandem.runtime import stage
 @dataclass(frozen=True)
 class MixParams:
     """total: size of the mixture (None: the largest at which every source reaches its share); block: size of
-    a block; per_shard: blocks aimed at per shard, however large the mixture; shards: least number of shards."""
+    a block; per_shard: blocks aimed at per shard, however large the mixture; shards: least number of shards; fill: items
+    of each source and magnitude that the rest of a quota is filled from."""
 
     total: int | None = None
     block: int = 2048
     per_shard: int = 256
     shards: int = 8
+    fill: int = 64
     seed: int = 17
 
 
@@ -144,7 +146,7 @@ def mix(items: DataFrame, targets: dict[str, tuple[float, int]], p: MixParams |
     spark = items.sparkSession
     if not targets:
         none = spark.createDataFrame([], "shard int, slot int, source string, doc_id long, repeat int, tokens long")
-        return none, spark.createDataFrame([], "source string, targetshare double, dueshare double, share double, maxrepeats int, repeats int, items long, tokens long, available long")
+        return none, spark.createDataFrame([], "source string, targetshare double, dueshare double, share double, maxrepeats int, repeats int, items long, tokens long, due long, available long")
     wanted = items.filter(F.col("source").isin(*targets) & F.col("doc_id").isNotNull() & (F.col("tokens") > 0)).select("source", "doc_id", "tokens")
     rows = stage(wanted, "sources")
     held = {r.source: r.held for r in rows.groupBy("source").agg(F.sum("tokens").alias("held")).collect()}  # one row a target
@@ -172,29 +174,31 @@ def mix(items: DataFrame, targets: dict[str, tuple[float, int]], p: MixParams |
                 inside = begin + size[at] <= quota
                 block, back = np.unique(np.minimum(begin[inside] // p.block, n - 1), return_inverse=True)
                 shard[at[inside]] = np.array([found(i, (int(x) * mul + add) % n) for x in block], np.int64)[back] if len(block) else 0
-                # of what stays out, the smallest item of each magnitude may fill the rest
+                # of what stays out, the smallest items of each magnitude may fill the rest
                 out = at[~inside]
                 out = out[np.lexsort((b.column("doc_id").to_numpy(zero_copy_only=False)[out], size[out]))]
-                shard[out[np.unique(np.log2(size[out]).astype(int), return_index=True)[1]]] = -1
+                of = np.log2(size[out]).astype(int)
+                shard[out[np.arange(len(out)) - np.searchsorted(of, of) < p.fill]] = -1
             ok = pa.array(shard >= -1)
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), b.column("source"), b.column("doc_id"), b.column("repeat"), b.column("tokens"), b.column("dice")], names=["shard", "source", "doc_id", "repeat", "tokens", "dice"]).filter(ok)
 
     schema = f"shard int, source string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, repeat int, tokens long, dice long"
     first = stage(placed.mapInArrow(assign, schema), "drawn")
     taken = {r.source: r.n for r in first.filter("shard >= 0").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    # an item of each magnitude and source at most
-    best = first.filter("shard = -1").groupBy("source", F.floor(F.log2("tokens")).alias("magnitude")).agg(F.min(F.struct("tokens", "doc_id", "repeat", "dice")).alias("c")).collect()
-    more = fill_rest({q.source: q.quota - taken.get(q.source, 0) for q in plan}, [(r.source, r.c.tokens, (r.c.dice % shards, r.source, r.c.doc_id, r.c.repeat, r.c.tokens, r.c.dice)) for r in best])
+    # a bounded number of items of each magnitude and source
+    by_size = Window.partitionBy("source", F.floor(F.log2("tokens"))).orderBy("tokens", "doc_id", "repeat")
+    best = first.filter("shard = -1").withColumn("n", F.row_number().over(by_size)).filter(F.col("n") <= p.fill).collect()
+    more = fill_rest({q.source: q.quota - taken.get(q.source, 0) for q in plan}, [(r.source, r.tokens, (r.dice % shards, r.source, r.doc_id, r.repeat, r.tokens, r.dice)) for r in best])
     drawn = stage(first.filter("shard >= 0").unionByName(spark.createDataFrame(more, first.schema)), "drawn") if more else first.filter("shard >= 0")
     # a shard holds a bounded number of blocks, so it may be ordered in one task
     order = Window.partitionBy("shard").orderBy(F.xxhash64("dice", "shard"), "source", "doc_id", "repeat")
     mixture = drawn.withColumn("slot", F.row_number().over(order) - 1).select("shard", "slot", "source", "doc_id", "repeat", "tokens")
-    due = spark.createDataFrame([(q.source, float(q.target), float(q.share), int(q.repeats), int(q.held)) for q in plan], "source string, targetshare double, dueshare double, maxrepeats int, available long")
+    due = spark.createDataFrame([(q.source, float(q.target), float(q.share), int(q.repeats), int(q.held), int(q.quota)) for q in plan], "source string, targetshare double, dueshare double, maxrepeats int, available long, due long")
     got = drawn.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"), (F.max("repeat") + 1).alias("repeats"))
     whole = drawn.agg(F.sum("tokens")).first()[0] or 1
     none = lambda c: F.coalesce(c, F.lit(0))
     report = due.join(got, "source", "left").select(
         "source", "targetshare", F.round("dueshare", 6).alias("dueshare"), F.round(none("tokens") / whole, 6).alias("share"), "maxrepeats",
-        none("repeats").alias("repeats"), none("items").alias("items"), none("tokens").alias("tokens"), "available",
+        none("repeats").alias("repeats"), none("items").alias("items"), none("tokens").alias("tokens"), "due", "available",
     )
     return mixture, report

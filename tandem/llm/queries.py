@@ -178,15 +178,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of each target source in the mixture: its target, the most repeats of a document over the allowed
-    ones, documents from another source, and whether its share is within 0.005 of what it was due."""
+    ones, documents from another source, and whether its size is what it was due, to within 0.005 of the mixture or
+    to where no unused document fits any more."""
     mixture, report = _mixed(spark, sf_dir)
+    whole = report.agg(F.sum("due")).first()[0] or 0
     times = mixture.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.count_distinct("repeat").alias("turns"))
     home = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("home"))
     per = times.join(home, "doc_id").groupBy("source").agg(F.max("times").alias("most"), F.count_if(F.col("times") != F.col("turns")).alias("twice"), F.count_if(F.col("source") != F.col("home")).alias("strangers"))
     none = lambda c: F.coalesce(c, F.lit(0))
-    return report.join(per, "source", "left").select(
+    docs = with_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"]).filter("tokens > 0").join(times.select("doc_id", "times"), "doc_id", "left")
+    turns = report.select("source", F.greatest("repeats", F.lit(1)).alias("turns"))
+    sized = docs.join(turns, "source").filter(none("times") < F.col("turns")).groupBy("source").agg(F.min(F.col("tokens")).alias("least"))
+    return report.join(per, "source", "left").join(sized, "source", "left").select(
         "source", "targetshare", F.greatest(none("most") - F.col("maxrepeats"), F.lit(0)).alias("over"), none("twice").alias("twice"), none("strangers").alias("strangers"),
-        (F.abs(F.col("share") - F.col("dueshare")) <= 0.005).alias("near"), ((F.col("available") > 0) == (F.col("items") > 0)).alias("present"),
+        (F.abs(F.col("tokens") - F.col("due")) <= F.greatest(F.lit(0.005 * whole), F.coalesce(F.col("least") - 1, "due"))).alias("near"), ((F.col("due") > 0) | (F.col("items") == 0)).alias("present"),
     )
 
 
