@@ -3,7 +3,8 @@
 Equal vectors share a class.  Class vectors are cut into shards around centroids of a bounded
 sample, and shards that are still large around centroids of their own, as often as it takes.  Each
 shard builds its graph over projected vectors and beam-searches the vectors it is the nearest shard
-of, or nearly the nearest; survivors are re-ranked with exact double cosine.
+of, or nearly the nearest; survivors are re-ranked with exact double cosine.  A pair that one end's
+search finds counts for both ends.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
 class NeighbourParams:
     """k: neighbours wanted; limit: least cosine; dims: projected size of the graphs; cell: vectors aimed at
     per shard; largest: shards of more than so many times that are split again; margin: a vector also asks
-    the second nearest shard if its centroid is less than this much less similar; most_cells: bound of one
-    centroid table; sample, local: bounds of the vectors that the first and all further tables are fitted
+    the next nearest shards, ``probes`` in all, whose centroids are less than this much less similar;
+    most_cells: bound of one centroid table; sample, local: bounds of the vectors that the first and all further tables are fitted
     on; chunk: queries handled by one task; refine: candidates per neighbour kept that are re-ranked
     exactly; slack: by how much a projected cosine may be below the limit for that.  The index holds every
-    vector; what margin, refine and slack cost is in the recall, which ``recall`` measures."""
+    vector; what margin, probes, refine and slack cost is in the recall, which ``recall`` measures."""
 
     size: int = 512
     k: int = 5
@@ -42,7 +43,8 @@ class NeighbourParams:
     dims: int = 64
     cell: int = 1500
     largest: float = 4.0
-    margin: float = 0.15
+    margin: float = 0.2
+    probes: int = 4
     most_cells: int = 8192
     sample: int = 16384
     local: int = 4096
@@ -76,6 +78,32 @@ def _matrix(col: pa.Array, size: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Each row's floats as bytes, the upper halves first and the lower ones only where one is not 0, so that vectors
+    of short floats take half the room."""
+    n, size = x.shape
+    halves = np.ascontiguousarray(x, np.dtype("<f4")).view("<u2").reshape(n, size, 2)
+    whole = np.concatenate([halves[:, :, 1], halves[:, :, 0]], 1).view(np.uint8)
+    ends = np.where(halves[:, :, 0].any(1), 4 * size, 2 * size)
+    data = whole[np.arange(4 * size) < ends[:, None]]
+    offsets = np.concatenate([[0], np.cumsum(ends)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(col: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    """The floats that ``_packed`` was given, row by row."""
+    parts = []
+    for c in col.chunks if isinstance(col, pa.ChunkedArray) else [col]:
+        if len(c):
+            offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+            data = np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            halves = np.zeros((len(c), 4 * size), np.uint8)
+            halves[np.arange(4 * size) < np.diff(offsets)[:, None]] = data
+            halves = halves.view("<u2").reshape(len(c), 2, size)
+            parts.append(np.ascontiguousarray(halves[:, ::-1].transpose(0, 2, 1)).reshape(len(c), -1).view("<f4"))
+    return np.concatenate(parts) if parts else np.zeros((0, size), np.float32)
+
+
 def _project(x: np.ndarray, proj: np.ndarray) -> np.ndarray:
     y = _unit(x).astype(np.float32) @ proj
     return y / np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-12)
@@ -100,32 +128,33 @@ def _centroids(sample: np.ndarray, cells: int, p: NeighbourParams) -> np.ndarray
     return c
 
 
-def _closest(vecs: np.ndarray, cent: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(nearest centroid, second, whether the second is to be asked too) of each vector."""
+def _closest(vecs: np.ndarray, cent: np.ndarray, p: NeighbourParams) -> tuple[np.ndarray, np.ndarray]:
+    """(the ``probes`` nearest centroids, nearest first; which of them are to be asked) of each vector."""
     s = _unit(vecs).astype(np.float32) @ cent.T
-    one = s.argmax(1)
-    at = np.arange(len(s))
-    best = s[at, one]
-    s[at, one] = -9
-    two = s.argmax(1)
-    return one, two, (s[at, two] > best - margin) & (one != two)
+    n = min(p.probes, s.shape[1])
+    near = np.argpartition(-s, n - 1, axis=1)[:, :n]
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+    sims = np.take_along_axis(s, near, 1)
+    ask = sims > sims[:, :1] - p.margin
+    ask[:, 0] = True
+    return near, ask
 
 
-DEALT = "shard long, cid long, held boolean, asks boolean, vec array<float>"
+DEALT = "shard long, cid long, held boolean, asks boolean, vec binary"
 #: Shards of one split at most; a shard's number is its parent's times this, plus its own from 1.
 SPLIT = 1024
 
 
-def _emit(base, cid: pa.Array, held, asks, vec: pa.Array, vecs: np.ndarray, cent: np.ndarray, margin: float):
-    """Rows for the nearest shard, and as a query only for the second one."""
+def _emit(base, cid: pa.Array, held, asks, vecs: np.ndarray, cent: np.ndarray, p: NeighbourParams):
+    """Rows for the nearest shard, and as a query only for the others that are asked."""
     for at in range(0, len(vecs), 2048):
         cut = slice(at, at + 2048)
-        one, two, both = _closest(vecs[cut], cent, margin)
-        also = np.nonzero(both & asks[cut])[0]
-        idx = pa.array(np.concatenate([np.arange(len(one)), also]) + at)
-        shard = base + np.concatenate([one, two[also]]).astype(np.int64)
-        none = np.zeros(len(also), bool)
-        yield pa.RecordBatch.from_arrays([pa.array(shard), cid.take(idx), pa.array(np.concatenate([held[cut], none])), pa.array(np.concatenate([asks[cut], ~none])), vec.take(idx)], names=["shard", "cid", "held", "asks", "vec"])
+        near, ask = _closest(vecs[cut], cent, p)
+        row, place = np.nonzero(ask[:, 1:] & asks[cut][:, None])
+        idx = pa.array(np.concatenate([np.arange(len(near)), row]))
+        shard = base + np.concatenate([near[:, 0], near[row, place + 1]]).astype(np.int64)
+        none = np.zeros(len(row), bool)
+        yield pa.RecordBatch.from_arrays([pa.array(shard), cid.slice(at, 2048).take(idx), pa.array(np.concatenate([held[cut], none])), pa.array(np.concatenate([asks[cut], ~none])), _packed(vecs[cut]).take(idx)], names=["shard", "cid", "held", "asks", "vec"])
 
 
 def _split(rows: DataFrame, sizes: DataFrame, p: NeighbourParams) -> DataFrame:
@@ -135,7 +164,7 @@ def _split(rows: DataFrame, sizes: DataFrame, p: NeighbourParams) -> DataFrame:
     sample = rows.filter("held").withColumn("n", F.row_number().over(near_first)).filter(F.col("n") <= p.local).join(sizes, "shard").select("shard", "home", "vec")
 
     def fit(t: pa.Table) -> pa.Table:
-        x = _unit(_matrix(t.column("vec").combine_chunks(), p.size)).astype(np.float32)
+        x = _unit(_unpacked(t.column("vec"), p.size)).astype(np.float32)
         cells = max(2, min(SPLIT - 1, len(x) // 4, math.ceil(t.column("home")[0].as_py() / p.cell)))
         c = _centroids(x, cells, p)
         return pa.table({"shard": pa.array([t.column("shard")[0].as_py()] * len(c), pa.int64()), "sub": pa.array(np.arange(len(c)), pa.int64()), "vec": pa.array(list(c), pa.list_(pa.float32()))})
@@ -146,14 +175,14 @@ def _split(rows: DataFrame, sizes: DataFrame, p: NeighbourParams) -> DataFrame:
     right = cents.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sub", "vec")
 
     def deal(a: pa.Table, b: pa.Table) -> pa.Table:
-        none = pa.schema([("shard", pa.int64()), ("cid", pa.int64()), ("held", pa.bool_()), ("asks", pa.bool_()), ("vec", pa.list_(pa.float32()))]).empty_table()
+        none = pa.schema([("shard", pa.int64()), ("cid", pa.int64()), ("held", pa.bool_()), ("asks", pa.bool_()), ("vec", pa.binary())]).empty_table()
         if not len(a):
             return none
         b = b.sort_by("sub")
-        cent, vec = _matrix(b.column("vec").combine_chunks(), p.size), a.column("vec").combine_chunks()
+        cent = _matrix(b.column("vec").combine_chunks(), p.size)
         held, asks = a.column("held").to_numpy(), a.column("asks").to_numpy()
         base = a.column("shard")[0].as_py() * SPLIT + 1
-        return pa.Table.from_batches(list(_emit(base, a.column("cid").combine_chunks(), held, asks, vec, _matrix(vec, p.size), cent, p.margin)))
+        return pa.Table.from_batches(list(_emit(base, a.column("cid").combine_chunks(), held, asks, _unpacked(a.column("vec"), p.size), cent, p)))
 
     return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(deal, DEALT)
 
@@ -174,9 +203,9 @@ def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
         home, asked = np.zeros(len(cent), np.int64), np.zeros(len(cent), np.int64)
         for b in batches:
             if len(b):
-                one, two, both = _closest(_matrix(b.column(0), p.size), cent, p.margin)
-                home += np.bincount(one, minlength=len(cent))
-                asked += np.bincount(one, minlength=len(cent)) + np.bincount(two[both], minlength=len(cent))
+                near, ask = _closest(_matrix(b.column(0), p.size), cent, p)
+                home += np.bincount(near[:, 0], minlength=len(cent))
+                asked += np.bincount(near[ask], minlength=len(cent))
         at = np.nonzero(asked)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(home[at]), pa.array(asked[at])], names=["shard", "home", "asked"])
 
@@ -184,7 +213,7 @@ def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
         for b in batches:
             if len(b):
                 every = np.ones(len(b), bool)
-                yield from _emit(0, b.column(0), every, every, b.column(1), _matrix(b.column(1), p.size), shared.value, p.margin)
+                yield from _emit(0, b.column(0), every, every, _matrix(b.column(1), p.size), shared.value, p)
 
     sizes = reps.select("vec").mapInArrow(survey, "shard long, home long, asked long").groupBy("shard").agg(F.sum("home").alias("home"), F.sum("asked").alias("asked"))
     sizes = stage(sizes, "sizes")
@@ -217,7 +246,7 @@ def _search_shard(p: NeighbourParams):
         get = lambda name: t.column(name).to_numpy()
         cid, held, asks = get("cid"), get("held"), get("asks")
         order = np.argsort(cid, kind="stable")
-        vecs = _matrix(t.column("vec").chunk(0) if t.column("vec").num_chunks else t.column("vec").combine_chunks(), p.size)
+        vecs = _unpacked(t.column("vec"), p.size)
         cid, held, asks, vecs = cid[order], held[order], asks[order], vecs[order]
         mine = np.nonzero(held)[0]
         empty = pa.table({"cid": pa.array([], pa.int64()), "nid": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
@@ -272,7 +301,11 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, p: NeighbourParams | None
     few = ranged_positions(keyed.join(many, ["ka", "kb"], "left_semi"), ["ka", "kb"], [F.col("id").asc()], copies=["ka", "kb", "id"], keep=p.k + 1, label="copies")
     twins = few.join(named, ["ka", "kb"]).select("cid", F.col("id").alias("member"))
     heads = stage(named.filter("n = 1").select("cid", F.col("cid").alias("member")).unionByName(twins), "heads")
-    links = stage(class_neighbours(reps.select("cid", "vec"), p).distinct(), "links")
+    ways = stage(class_neighbours(reps.select("cid", "vec"), p), "ways")
+    # what one end's search finds holds for the other end as well; a class that many find keeps its best ones only
+    either = ways.unionByName(ways.select(F.col("nid").alias("cid"), F.col("cid").alias("nid"), "sim")).distinct()
+    best_first = Window.partitionBy("cid").orderBy(F.col("sim").desc(), "nid")
+    links = either.withColumn("n", F.row_number().over(best_first)).filter(F.col("n") <= p.k + 1).drop("n")
     # each class's list: members of the near classes and, at similarity 1, of its own if it has several
     shared = heads.groupBy("cid").agg(F.count("*").alias("k")).filter("k > 1").select("cid")
     near = links.join(heads.withColumnRenamed("cid", "nid"), "nid").select("cid", "member", "sim")

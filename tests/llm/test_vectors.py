@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tandem.llm import graph as G
-from tandem.llm.neighbours import NeighbourParams, nearest, recall
+from tandem.llm.neighbours import NeighbourParams, _packed, _unpacked, nearest, recall
 
 
 def clustered(n, d, rng, families=12):
@@ -66,3 +67,24 @@ def test_large_shards_are_split_until_none_is_left(spark):
     got = {(r.id, r.neighbour) for r in nearest(df, "imageid", "embedding", p).collect()}
     want = brute(ids, x, 5, 0.8)
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_families_cut_by_many_shards_stay_whole(spark):
+    rng = np.random.default_rng(3)
+    x = clustered(1600, 64, rng, families=800)
+    # pairs of neighbours inside two wide families, which 80 centroids cut to pieces
+    x[800:] = x[:800] + 0.25 * rng.standard_normal((800, 64)).astype(np.float32)
+    ids = list(range(1, 1601))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "imageid long, embedding array<float>")
+    p = NeighbourParams(size=64, dims=48, k=3, cell=20, limit=0.97)
+    got = {tuple(sorted((r.id, r.neighbour))) for r in nearest(df, "imageid", "embedding", p).collect()}
+    want = {tuple(sorted(e)) for e in brute(ids, x, 3, 0.97)}
+    assert len(want) > 100 and len(got & want) >= 0.995 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_packed_vectors_come_back():
+    x = np.random.default_rng(4).standard_normal((9, 6)).astype(np.float32)
+    x[::2] = (x[::2].view(np.uint32) & 0xFFFF0000).view(np.float32)
+    col = _packed(x)
+    assert (_unpacked(col, 6) == x).all() and (_unpacked(pa.chunked_array([col.slice(2, 3), col.take(pa.array([0]))]), 6) == x[[2, 3, 4, 0]]).all()
+    assert len(col[0].as_py()) == 12 and len(col[1].as_py()) == 24 and _unpacked(col.slice(0, 0), 6).shape == (0, 6)
