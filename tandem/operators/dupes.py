@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.kernels import hamming
 from tandem.functions.text import filename_bases
-from tandem.runtime import release, stage
-
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+from tandem.runtime import heavy_groups, release, stage
 
 
 def hash_classes(images: DataFrame, id_col: str = "id", hash_col: str = "dhash") -> tuple[DataFrame, DataFrame]:
@@ -20,28 +24,82 @@ def hash_classes(images: DataFrame, id_col: str = "id", hash_col: str = "dhash")
     return classes, ok.distinct().join(classes, "dhash").select("id", "cid")
 
 
-def hamming_pairs(classes: DataFrame, radius: int = 8) -> DataFrame:
-    """(a, b, distance), a < b, of different hashes at most ``radius`` (up to 9) bits apart.
-
-    Of five bands at least one differs in at most one bit, so one side looks up each band and its
-    one-bit variants and the other only the band: no near pair can be missed."""
-    if radius > 9:
-        raise ValueError("five bands hold pairs of up to 9 differing bits")
-    v = F.conv("dhash", 16, -10).cast("long")
-    rows = classes.select("cid", "dhash", v.alias("v"))
-    cut = lambda s, n: F.shiftrightunsigned("v", s).bitwiseAND(F.lit((1 << n) - 1))
-    exact = F.array(*(F.struct(F.lit(i).alias("band"), cut(s, n).alias("key")) for i, (s, n) in enumerate(BANDS)))
-
-    def variants(i: int, s: int, n: int):
-        masks = F.array(F.lit(0), *(F.lit(1 << k) for k in range(n)))
-        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("band"), cut(s, n).bitwiseXOR(m.cast("long")).alias("key")))
-
-    near = F.flatten(F.array(*(variants(i, s, n) for i, (s, n) in enumerate(BANDS))))
-    left = rows.select(F.col("cid").alias("a"), F.col("v").alias("va"), F.inline(near))
-    right = rows.select(F.col("cid").alias("b"), F.col("v").alias("vb"), F.inline(exact))
-    dist = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
-    met = left.join(right, ["band", "key"]).filter((F.col("a") < F.col("b")) & (dist <= radius))
-    return met.select("a", "b", dist.cast("int").alias("distance")).distinct()
+def bands(width: int, radius: int) -> tuple[list[tuple[int, int]], int]:
+    """((shift, bits) of each band, r): values of ``width`` bits that are at most ``radius`` bits apart differ by at most
+    r bits in some band.  Of all even cuts into bands of at most 14 bits, the one that leaves the fewest pairs to compare."""
+    best = None
+    for m in range(max(1, math.ceil(width / 14)), max(width, 1) + 1):
+        cuts = [round(i * width / m) for i in range(m + 1)]
+        got, r = [(x, y - x) for x, y in zip(cuts, cuts[1:])], radius // m
+        share = sum(min(1.0, sum(math.comb(n, k) for k in range(r + 1)) / 2**n) for _, n in got)
+        if best is None or share < best[0]:
+            best = share, got, r
+    return best[1], best[2]
+
+
+def _near(p: np.ndarray, q: np.ndarray, width: int, radius: int, room: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of p, rows of q) of all pairs of values at most ``radius`` bits apart, each once."""
+    if len(p) * len(q) <= room:
+        yield np.nonzero(np.bitwise_count(p[:, None] ^ q[None, :]) <= radius)
+        return
+    cuts, r = bands(width, radius)
+    part = lambda v, band: (v >> np.uint64(band[0])) & np.uint64((1 << band[1]) - 1)
+    for b, band in enumerate(cuts):
+        kp, kq = (part(v, band).astype(np.int64) for v in (p, q))
+        op, oq = np.argsort(kp, kind="stable"), np.argsort(kq, kind="stable")
+        ends = np.arange((1 << band[1]) + 1)
+        sp, sq = np.searchsorted(kp[op], ends), np.searchsorted(kq[oq], ends)
+        masks = np.array([sum(1 << i for i in c) for k in range(min(r, band[1]) + 1) for c in combinations(range(band[1]), k)], np.int64)
+        for key in np.nonzero(np.diff(sp))[0]:
+            near = key ^ masks
+            n = sq[near + 1] - sq[near]
+            total = int(n.sum())
+            if not total:
+                continue
+            other = oq[np.repeat(sq[near] - np.cumsum(n) + n, n) + np.arange(total)]
+            step, width_ = max(1, room // total), min(total, room)
+            for at in range(sp[key], sp[key + 1], step):
+                mine = op[at : min(at + step, sp[key + 1])]
+                for to in range(0, total, width_):
+                    some = other[to : to + width_]
+                    x, y = np.nonzero(np.bitwise_count(p[mine][:, None] ^ q[some][None, :]) <= radius)
+                    x, y = mine[x], some[y]
+                    first = np.ones(len(x), bool)  # not met in an earlier band
+                    for before in cuts[:b]:
+                        first &= np.bitwise_count(part(p[x] ^ q[y], before)) > r
+                    yield x[first], y[first]
+
+
+def hamming_pairs(classes: DataFrame, radius: int = 8, block: int = 131_072) -> DataFrame:
+    """(a, b, distance), a < b, of different hashes at most ``radius`` bits apart.
+
+    Hashes are cut into blocks and every two blocks are one task, so that the table is sent once per block and no
+    candidate leaves a task.  Inside it the bits that the hashes use are cut into bands; near hashes differ in few bits
+    of some band, so only such buckets are compared: no near pair can be missed."""
+    spark = classes.sparkSession
+    rows = classes.select(F.col("cid").cast("long").alias("cid"), F.conv("dhash", 16, -10).cast("long").alias("v"))
+    size = rows.agg(F.count("*").alias("n"), F.bit_or("v").alias("bits")).first()
+    width = 64 if (size.bits or 0) < 0 else (size.bits or 0).bit_length()
+    blocks = max(1, min(6, math.ceil(size.n / 2048)), math.ceil(size.n / block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = own.select("cid", "v", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+
+    def tile(t: pa.Table) -> pa.Table:
+        i, j, own = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("own").to_numpy()
+        cid, v = t.column("cid").to_numpy(), t.column("v").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(cid, kind="stable")
+        mine, other = order[own[order] == i], order[own[order] == j]
+        a, b, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for x, y in _near(v[mine], v[other], width, radius):
+            x, y = mine[x], other[y]
+            if i == j:
+                x, y = x[cid[x] < cid[y]], y[cid[x] < cid[y]]
+            a.append(np.minimum(cid[x], cid[y]))
+            b.append(np.maximum(cid[x], cid[y]))
+            d.append(np.bitwise_count(v[x] ^ v[y]).astype(np.int32))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "distance": np.concatenate(d)})
+
+    return heavy_groups(tiles, "i", "j").applyInArrow(tile, "a long, b long, distance int")
 
 
 def components(edges: DataFrame) -> DataFrame:
