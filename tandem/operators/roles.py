@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import vocab
 from tandem.functions.text import whole_json
-from tandem.runtime import stage
+from tandem.runtime import heavy_groups, stage
 
 
 def profiles(images: DataFrame, id_col: str = "id", text_col: str = "roleprofile") -> DataFrame:
@@ -229,3 +231,149 @@ def connect_all(prof: DataFrame, freq: DataFrame | None = None, total: int | Non
         rated = with_specificity(keys.select("kind", "key").distinct(), freq, total)
         keys = keys.join(rated, ["kind", "key"])
     return hits.join(stage(keys, "keys"), ["owner", "slot"]).drop("owner", "slot")
+
+
+#: The priority of a rule of ``_occurrences``.
+PRIORITY = {1: 1, 2: 2, 3: 3, 4: 3, 5: 4}
+
+
+def admit(prof: DataFrame, freq: DataFrame, total: int, caps: dict[int, int]) -> DataFrame:
+    """(a, b, kind) of the connections that a loop over ``connect_all`` in order of priority, specificity (rarest first),
+    a, b admits, each image taking part in at most ``caps[priority]`` of a priority.
+
+    Connections grow with the square of the profiles, admitted ones only with the profiles: they are looked for in that
+    order among the images that still have room and never listed whole.  The loop of one priority is one task, which
+    holds what the profiles are matched by."""
+    left, right = (stage(side, "occurrences") for side in _occurrences(prof))
+    shared = left.select("rule", "key").distinct().join(right.select("rule", "key").distinct(), ["rule", "key"])
+    shared = stage(shared.withColumn("kid", F.monotonically_increasing_id()), "shared")
+    keys = _keys(prof)
+    rated = with_specificity(keys.select("kind", "key").distinct(), freq, total)
+    slots = stage(keys.join(rated, ["kind", "key"]).select(F.col("owner").alias("id"), "slot", "specificity"), "slots")
+    side = lambda df, n: df.join(shared, ["rule", "key"]).select("id", "rule", "kid", "i", F.lit(n).alias("side"), (F.col("rule").cast("long") * PLACES + F.col("i")).alias("slot"))
+    rows = side(left, 0).unionByName(side(right, 1)).join(slots, ["id", "slot"], "left").drop("slot")
+    of = F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv))
+    rows = rows.withColumn("kind", F.explode(F.sequence(of[F.col("rule")], F.lit(max(PRIORITY.values())))))
+
+    def run(t: pa.Table) -> pa.Table:
+        kind = t.column("kind")[0].as_py()
+        get = lambda c: t.column(c).to_numpy()
+        ids, who = np.unique(get("id"), return_inverse=True)
+        a, b = Admission(kind, who, get("rule"), get("kid"), get("i"), get("side"), get("specificity").astype(np.float64)).run(caps[kind])
+        return pa.table({"a": ids[a], "b": ids[b], "kind": pa.array(np.full(len(a), kind), pa.int32())})
+
+    return heavy_groups(rows, "kind").applyInArrow(run, "a long, b long, kind int")
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+class Admission:
+    """The loop of one priority over numbered profiles.  Side 0 has the left occurrences of the rules, side 1 the right ones."""
+
+    def __init__(self, kind: int, who, rule, kid, i, side, spec):
+        if len(i) and i.max() >= PLACES:
+            raise ValueError(f"a profile list of more than {PLACES} elements")
+        self.kind, self.n = kind, int(who.max(initial=-1)) + 1
+        names, key = np.unique(kid, return_inverse=True)
+        self.rule = np.zeros(len(names), np.int64)
+        self.rule[key] = rule
+        mine = np.array([0, *PRIORITY.values()])[rule] == kind
+        # a connection is looked up by its lower image (1 and 3), by its claim (2) or by its object (4)
+        owner = mine & {1: True, 2: side == 0, 3: True, 4: side == 1}[kind]
+        level = np.full(len(who), -1)
+        self.levels, level[owner] = np.unique(-spec[owner], return_inverse=True)
+        self.held, self.posted = [], []
+        for s in (0, 1):
+            at = np.nonzero(side == s)[0]
+            at = at[np.argsort(who[at], kind="stable")]
+            self.held.append((np.searchsorted(who[at], np.arange(self.n + 1)), key[at], i[at].astype(np.int64), level[at]))
+            at = at[np.argsort(key[at], kind="stable")]
+            self.posted.append((np.searchsorted(key[at], np.arange(len(names) + 1)), who[at]))
+        at = np.nonzero(owner)[0]
+        at = at[np.lexsort((who[at], key[at], side[at], level[at]))]
+        self.own = side[at], key[at], who[at], np.searchsorted(level[at], np.arange(len(self.levels) + 1))
+        self.place = [np.full(len(names), -1, np.int64) for _ in (0, 1)]
+        self.rung = [np.full(len(names), -1) for _ in (0, 1)]
+
+    def _mark(self, a: int) -> list[np.ndarray]:
+        marked = []
+        for s, (start, key, i, level) in enumerate(self.held):
+            cut = slice(start[a], start[a + 1])
+            self.place[s][key[cut]], self.rung[s][key[cut]] = i[cut], level[cut]
+            marked.append(key[cut])
+        return marked
+
+    def _connected(self, some: np.ndarray, level: int) -> np.ndarray:
+        """Which of the higher profiles ``some`` the marked one is connected with by this priority and level, by the
+        same ranks as in ``connect_all``."""
+        ends, ranks, levels = [], [], []
+        for s, (start, key, i, own) in enumerate(self.held):
+            n = start[some + 1] - start[some]
+            at = _ranges(start[some], n)
+            k = key[at]
+            hit = self.place[1 - s][k] >= 0
+            at, k, end = at[hit], k[hit], np.repeat(np.arange(len(some)), n)[hit]
+            rule, here, there = self.rule[k], self.place[1 - s][k], i[at]
+            way, x, y = 1 - s, *((here, there) if s else (there, here))
+            zero = np.zeros_like(x)
+            one, two, three = (np.select([rule == 1, rule == 2, rule == 5], v, w) for v, w in (([here, zero + way, zero + way], here), ([zero, x, x], there), ([zero, zero, y], rule - 3)))
+            code = np.array([0, *PRIORITY.values()])[rule] - 1
+            ranks.append(((code * PLACES + one) * PLACES + two) * PLACES + three)
+            theirs = (self.kind == 2 and s == 0) or (self.kind == 4 and s == 1)
+            levels.append(own[at] if theirs else self.rung[1 - s][k])
+            ends.append(end)
+        end, rank, rung = map(np.concatenate, (ends, ranks, levels))
+        best = np.full(len(some), np.iinfo(np.int64).max)
+        np.minimum.at(best, end, rank)
+        good = (rank == best[end]) & (rung == level) & (rank >> 60 == self.kind - 1)
+        out = np.zeros(len(some), bool)
+        out[end[good]] = True
+        return out
+
+    def _jobs(self, level: int, room: np.ndarray) -> dict[int, list[np.ndarray]]:
+        """The profiles with room that may be the lower end of a connection of this level: the sorted others to try."""
+        side, key, who, start = self.own
+        cut = slice(start[level], start[level + 1])
+        side, key, who = side[cut], key[cut], who[cut]
+        jobs: dict[int, list[np.ndarray]] = {}
+        edges = np.nonzero(np.diff(side * len(self.rule) + key, prepend=-1, append=-1))[0] if len(key) else []
+        for x, y in zip(edges[:-1], edges[1:]):
+            begin, posted = self.posted[1 - side[x]]
+            other = posted[begin[key[x]] : begin[key[x] + 1]]
+            mine, other = who[x:y][room[who[x:y]] > 0], other[room[other] > 0]
+            if len(mine) and len(other):
+                for p, q in ((mine, other), (other, mine))[: 2 if self.kind in (2, 4) else 1]:
+                    for a in p[p < q[-1]].tolist():
+                        jobs.setdefault(a, []).append(q)
+        return jobs
+
+    def run(self, cap: int) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b) of the admitted connections."""
+        room, got = np.full(self.n, cap), []
+        for level in range(len(self.levels)):
+            jobs = self._jobs(level, room)
+            for a in sorted(jobs):
+                if not room[a]:
+                    continue
+                lists = [q[np.searchsorted(q, a, "right") :] for q in jobs[a]]
+                marked, wide = None, 64
+                while room[a] and lists:
+                    # the next ones of every list, up to where each of them is known
+                    bound = min((q[wide - 1] for q in lists if len(q) > wide), default=self.n)
+                    some = [q[:wide][q[:wide] <= bound] for q in lists]
+                    lists = [q[len(s) :] for q, s in zip(lists, some) if len(q) > len(s)]
+                    some = some[0] if len(some) == 1 else np.unique(np.concatenate(some))
+                    some, wide = some[room[some] > 0], 2 * wide
+                    if len(some):
+                        marked = marked or self._mark(a)
+                        for b in some[self._connected(some, level)][: room[a]].tolist():
+                            got.append((a, b))
+                            room[a] -= 1
+                            room[b] -= 1
+                for s, key in enumerate(marked or []):
+                    self.place[s][key] = self.rung[s][key] = -1
+        a, b = np.array(got, np.int64).reshape(-1, 2).T
+        return a, b

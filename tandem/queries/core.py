@@ -437,11 +437,9 @@ def role_specificity(spark, d):
 @query
 def role_admission(spark, d):
     """Role connections of all pairs admitted rarest first within priorities, under the degree cap of each priority."""
-    rated = stage(_rated(spark, d).select("a", "b", "priority", "specificity"), "rated")
-    order = [F.col("priority").asc(), F.col("specificity").desc(), F.col("a").asc(), F.col("b").asc()]
-    pos = ranged_positions(rated.withColumn("g", F.lit(0)), ["g"], order, label="order")
-    edges = pos.select(F.col("position").alias("pos"), "a", "b", F.col("priority").alias("kind"))
-    return greedy.capped_greedy(edges, {1: 8, 2: 8, 3: 5, 4: 12}).select("a", "b", F.col("kind").alias("priority"))
+    prof = stage(roles.profiles(_profiled(spark, d)), "profiles")
+    got = roles.admit(prof, roles.frequencies(prof), prof.count(), {1: 8, 2: 8, 3: 5, 4: 12})
+    return got.select("a", "b", F.col("kind").alias("priority"))
 
 
 @query

@@ -1,6 +1,9 @@
 """Role connections over all pairs of profiles."""
 
+import json
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +59,23 @@ def test_query_has_pairs_that_are_not_stored(spark):
             admitted.add((r.a, r.b, r.priority))
             used.update({v: used.get(v, 0) + 1 for v in ends})
     assert {(r.a, r.b, r.priority) for r in core.role_admission(spark, DATA).collect()} == admitted
+
+
+@pytest.mark.parametrize("cap", (1, 3, 100))
+def test_admission_equals_the_loop_over_all_connections(spark, cap):
+    rng = random.Random(cap)
+    parts = [json.loads(t) for t in TEXTS[:8]]
+    field = lambda n: [x for p in rng.sample(parts, 4) for x in p.get(n, [])]
+    texts = [json.dumps({n: field(n) for n in ("phenomena", "claims", "enacts", "subverts", "objects") if rng.random() < 0.6}) for _ in range(150)]
+    prof = stage(roles.profiles(spark.createDataFrame([(rng.randrange(10**6), t) for t in texts + TEXTS], "id long, roleprofile string")), "profiles")
+    freq, total = roles.frequencies(prof), prof.count()
+    caps, used, want = {1: cap, 2: cap + 1, 3: cap, 4: 2 * cap}, Counter(), set()
+    rated = roles.connect_all(prof, freq, total).collect()
+    for r in sorted(rated, key=lambda r: (r.priority, -r.specificity, r.a, r.b)):
+        ends = [(r.a, r.priority), (r.b, r.priority)]
+        if all(used[v] < caps[r.priority] for v in ends):
+            want.add((r.a, r.b, r.priority))
+            used.update(ends)
+    got = [tuple(r) for r in roles.admit(prof, freq, total, caps).collect()]
+    assert set(got) == want and len(got) == len(want) and {k for _, _, k in got} == {1, 2, 3, 4}
+    assert len({r.specificity for r in rated}) > 5
