@@ -155,34 +155,92 @@ def _keep(score: np.ndarray, ok: np.ndarray, k: int) -> Iterator[np.ndarray]:
 AMODES, GMODES = ("harmony", "contrast", "accent_echo"), ("structural", "gaze_conversation", "opposing_diagonals", "directional_complement")
 
 
+def _best(nodes: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k best entries of each node; all that tie with the k-th stay."""
+    order = np.lexsort((-score, nodes))
+    n, s = nodes[order], score[order]
+    start = np.nonzero(np.diff(n, prepend=-1))[0]
+    last = np.minimum(start + k, np.append(start[1:], len(n))) - 1
+    out = np.zeros(len(nodes), bool)
+    out[order] = s >= np.repeat(s[last], np.diff(start, append=len(n)))
+    return out
+
+
+def _prune(e: dict[str, np.ndarray], pools) -> dict[str, np.ndarray]:
+    """Of scored edges (ends x and y, numbered apart where they are of different blocks) those that some pool could admit."""
+    keep = np.zeros(len(e["x"]), bool)
+    for name, where, n in pools(e):
+        at = np.nonzero(where)[0]
+        best = _best(np.concatenate([e["x"][at], e["y"][at]]), np.tile(e[name][at], 2), n)
+        keep[at] |= best[: len(at)] | best[len(at) :]
+    return {c: v[keep] for c, v in e.items()}
+
+
+#: Images of the square parts that a tile is scored in, and edges it holds before they are pruned.
+PART, HELD = 512, 1_500_000
+#: Images of a block at most.  Every block meets all others of its scope, so larger ones are sent less often.
+MOST = 4096
+
+
+def _block(pairs: float, cores: int, least: int) -> int:
+    """The size of the blocks that make some tiles per core of ``pairs`` pairs, within bounds."""
+    return int(min(max(math.sqrt(pairs / (4 * cores)), least), max(MOST, least)))
+
+
 def _tile(k: int, thematic_floor: float, aesthetic_floor: float, few: int):
-    """Scores one tile (blocks i and j of a group) and returns the edges that some pool could still admit."""
+    """Scores one tile (blocks i and j of a group) in parts and returns the edges that some pool could still admit."""
     names, kinds = zip(*(x.split(" ") for x in OUT.split(", ")))
     kind = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def tile(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         i, j, own = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("own").to_numpy()
-        p = Block(t, np.nonzero(own == i)[0])
-        q = p if i == j else Block(t, np.nonzero(own == j)[0])
-        if not len(p.id) or not len(q.id):
+        first, second = (np.nonzero(own == n)[0] for n in (i, j))
+        cut = lambda rows: [(at, Block(t, rows[at : at + PART])) for at in range(0, len(rows), PART)]
+        p = cut(first)
+        q = p if i == j else cut(second)
+        held: list[dict[str, np.ndarray]] = []
+        for x0, x in p:
+            for y0, y in q:
+                if i != j or x0 <= y0:
+                    e = part(x, y)
+                    # the ends are numbered through the tile
+                    e["x"], e["y"] = e["x"] + x0, e["y"] + y0 + (0 if i == j else len(first))
+                    held.append(e)
+                    if len(held) > 1 and sum(len(h["x"]) for h in held) > HELD:
+                        held = [_prune(merge(held), pools)]
+        if not held:
             return pa.table({n: pa.array([], kind[x]) for n, x in zip(names, kinds)})
+        e = held[0] if len(held) == 1 else _prune(merge(held), pools)
+        cols = [e["a"], e["b"], *(e[n] for n in ("aesthetic", "geometric", "thematic", "composite")), np.array(AMODES)[e["amode"]], np.array(GMODES)[e["gmode"]], e["flipped"]]
+        return pa.table(dict(zip(names, map(pa.array, cols))))
+
+    def merge(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        return {c: np.concatenate([e[c] for e in parts]) for c in parts[0]}
+
+    def pools(s: dict[str, np.ndarray], ok=True) -> list[tuple[str, np.ndarray, int]]:
+        """(score, edges it counts for, edges kept of an image) of every pool."""
+        return [
+            ("composite", ok & (s["composite"] > 0), k), ("thematic", ok & (s["thematic"] >= thematic_floor), max(30, k // 3)), ("geometric", ok & (s["composite"] > 0), few),
+            ("geometric", ok & (s["gmode"] != 0), 1), ("aesthetic", ok & (s["aesthetic"] >= aesthetic_floor), few),
+        ]
+
+    def part(p: Block, q: Block) -> dict[str, np.ndarray]:
         s = score_tile(p, q)
         for n in ("aesthetic", "geometric", "thematic", "composite"):
             s[n] = np.round(s[n], 9)  # equal images tie, whatever their place in a matrix product
         ok = (s["composite"] > 0) & ~s["burst"] & (p.id[:, None] != q.id[None, :])
         keep = np.zeros_like(ok)
-        structural = s["gmode"] == 0
-        for score, where, n in ((s["composite"], ok, k), (s["thematic"], ok & (s["thematic"] >= thematic_floor), max(30, k // 3)), (s["geometric"], ok, few), (s["geometric"], ok & ~structural, 1), (s["aesthetic"], ok & (s["aesthetic"] >= aesthetic_floor), few)):
-            for mask in _keep(score, where, n):
+        for name, where, n in pools(s, ok):
+            for mask in _keep(s[name], where, n):
                 keep |= mask
-        if i == j:
+        if p is q:
             keep = np.triu(keep | keep.T, 1)
         x, y = np.nonzero(keep)
         up = p.id[x] < q.id[y]
         flipped = np.where(up, s["back"][x, y], s["ahead"][x, y]) & (s["gmode"][x, y] == 1)
-        cols = [np.minimum(p.id[x], q.id[y]), np.maximum(p.id[x], q.id[y]), *(s[n][x, y] for n in ("aesthetic", "geometric", "thematic", "composite")), np.array(AMODES)[s["amode"][x, y]], np.array(GMODES)[s["gmode"][x, y]], flipped]
-        return pa.table(dict(zip(names, map(pa.array, cols))))
+        scores = {n: s[n][x, y] for n in ("aesthetic", "geometric", "thematic", "composite", "amode", "gmode")}
+        return {"x": x, "y": y, "a": np.minimum(p.id[x], q.id[y]), "b": np.maximum(p.id[x], q.id[y]), **scores, "flipped": flipped}
 
     return tile
 
@@ -194,7 +252,9 @@ def score_library(prepared: DataFrame, k: int = 50, block: int = 512, thematic_f
     Edges of a burst (300 s or variants of one file name) or with a composite of 0 or less never come.
     ``prepared`` must have one row per id; null scopes and vectors take no part."""
     rows = stage(prepared.filter("scope IS NOT NULL AND clip IS NOT NULL"), "prepared")
-    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    counts = stage(rows.groupBy("scope").agg(F.count("*").alias("n")), "sizes")
+    block = _block(counts.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0, prepared.sparkSession.sparkContext.defaultParallelism, block)
+    sizes = counts.select("scope", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     placed = rows.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiles = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = tiles.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with", "blocks", "cl")
@@ -207,7 +267,9 @@ def score_cross(prepared: DataFrame, new: Column, k: int = 50, block: int = 512,
     Only tiles of a new with an old block are made, so the work is the batch times the rest and not its square.
     Images with a null vector take no part; a null ``new`` is old."""
     rows = stage(prepared.filter("clip IS NOT NULL").withColumn("fresh", F.coalesce(new, F.lit(False))), "prepared")
-    n = {r.fresh: math.ceil(r.n / block) for r in rows.groupBy("fresh").agg(F.count("*").alias("n")).collect()}
+    n = {r.fresh: r.n for r in rows.groupBy("fresh").agg(F.count("*").alias("n")).collect()}
+    block = _block(float(n.get(True, 0)) * n.get(False, 0), prepared.sparkSession.sparkContext.defaultParallelism, block)
+    n = {fresh: math.ceil(c / block) for fresh, c in n.items()}
     mine, other = n.get(True, 0), n.get(False, 0)
     if not mine or not other:
         return prepared.sparkSession.createDataFrame([], OUT)
