@@ -177,7 +177,7 @@ def _prune(e: dict[str, np.ndarray], pools) -> dict[str, np.ndarray]:
 
 
 #: Images of the square parts that a tile is scored in, and edges it holds before they are pruned.
-PART, HELD = 512, 1_500_000
+PART, HELD = 512, 500_000
 #: Images of a block at most.  Every block meets all others of its scope, so larger ones are sent less often.
 MOST = 4096
 
@@ -212,8 +212,8 @@ def _tile(k: int, thematic_floor: float, aesthetic_floor: float, few: int):
         if not held:
             return pa.table({n: pa.array([], kind[x]) for n, x in zip(names, kinds)})
         e = held[0] if len(held) == 1 else _prune(merge(held), pools)
-        cols = [e["a"], e["b"], *(e[n] for n in ("aesthetic", "geometric", "thematic", "composite")), np.array(AMODES)[e["amode"]], np.array(GMODES)[e["gmode"]], e["flipped"]]
-        return pa.table(dict(zip(names, map(pa.array, cols))))
+        cols = [e["a"], e["b"], *(e[n] for n in ("aesthetic", "geometric", "thematic", "composite")), pa.array(AMODES).take(pa.array(e["amode"])), pa.array(GMODES).take(pa.array(e["gmode"])), e["flipped"]]
+        return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c) for n, c in zip(names, cols)})
 
     def merge(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
         return {c: np.concatenate([e[c] for e in parts]) for c in parts[0]}
