@@ -182,55 +182,171 @@ def _keys(prof: DataFrame) -> DataFrame:
 
 #: Positions inside a profile's lists that a packed rank has room for; more stop the query instead of being dropped.
 PLACES = 1 << 20
-#: Pairs of one key that one join task makes, about; keys with more are spread over several.
+#: Pairs of profiles that a task compares at a time, about.
 TASK_PAIRS = 500_000
+#: Profiles of a block, about.
+BLOCK = 1 << 15
 
 
 def connect_all(prof: DataFrame, freq: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """(a, b, priority, kind, key) of all pairs a < b of profiles that a rule connects, the same as ``connect`` over every
     pair; with ``freq`` and ``total`` also the specificity.
 
-    Each rule is an equi-join on what its sides have in common, so only pairs that are connected are made; frequent
-    keys are spread over tasks.  Where several rules or positions connect a pair, the first counts: a rank of priority
-    and positions is packed into one number, and its smallest names the key."""
+    Where several rules or positions connect a pair, the first counts: a rank of priority and positions is packed into
+    one number, and its smallest names the key.  Profiles are cut into blocks by id, and a tile of two blocks ranks its
+    pairs by the keys that their sides have in common.  Only blocks are sent to tasks: connections grow with the square
+    of the profiles, leave a task in lists of b and are neither shuffled nor staged."""
     spark = prof.sparkSession
     left, right = (stage(side, "occurrences") for side in _occurrences(prof))
-    n = lambda df, c: df.groupBy("rule", "key").agg(F.count("*").alias(c))
-    salts = stage(n(left, "l").join(n(right, "r"), ["rule", "key"]).select("rule", "key", F.ceil(F.col("l") * F.col("r") / TASK_PAIRS).cast("int").alias("salts")), "salts")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    one = left.join(salts, ["rule", "key"]).select("rule", "key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("x"), F.col("i").alias("xi"))
-    two = right.join(salts, ["rule", "key"]).select("rule", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("y"), F.col("i").alias("yi"))
-    on = ["rule", "key", "salt"]
-    met = one.repartition(parts, *on).join(two.repartition(parts, *on), on).filter("x <> y")
-    up = F.col("x") < F.col("y")
-    way = F.when(up, 0).otherwise(1).cast("long")
-    mine, other = F.when(up, F.col("xi")).otherwise(F.col("yi")), F.when(up, F.col("yi")).otherwise(F.col("xi"))
-    zero = F.lit(0).cast("long")
-
-    def pack(p: int, *places) -> Column:
-        room = F.greatest(*places) < PLACES
-        code = F.lit(p - 1).cast("long")
-        for v in places:
-            code = code * PLACES + v
-        return F.when(room, code).otherwise(F.raise_error(F.lit(f"a profile list of more than {PLACES} elements")).cast("long"))
-
-    rule = F.col("rule")
-    rank = F.when(rule == 1, pack(1, mine, zero, zero)).when(rule == 2, pack(2, way, F.col("xi"), zero)).when(rule == 3, pack(3, mine, other, zero))
-    rank = rank.when(rule == 4, pack(3, mine, other, zero + 1)).otherwise(pack(4, way, F.col("xi"), F.col("yi")))
-    best = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), rank.alias("rank")).groupBy("a", "b").agg(F.min("rank").alias("rank"))
-    place = lambda k: F.shiftright("rank", 20 * k).bitwiseAND(F.lit(PLACES - 1).cast("long"))
-    o1, o2, o3 = place(2), place(1), place(0)
-    p = (F.shiftright("rank", 60) + 1).cast("int")
-    hits = best.select("a", "b", p.alias("priority"), o1.alias("o1"), o2.alias("o2"), o3.alias("o3"))
-    p = F.col("priority")
-    other_side = ((p == 2) & (F.col("o1") == 1)) | ((p == 4) & (F.col("o1") == 0))
-    slot = F.when(p == 1, F.col("o1") + PLACES).when(p == 2, F.col("o2") + 2 * PLACES).when(p == 3, (F.col("o3") + 3) * PLACES + F.col("o1")).otherwise(F.col("o3") + 5 * PLACES)
-    hits = hits.select("a", "b", "priority", F.when(other_side, F.col("b")).otherwise(F.col("a")).alias("owner"), slot.alias("slot"))
+    shared = left.select("rule", "key").distinct().join(right.select("rule", "key").distinct(), ["rule", "key"])
+    shared = stage(shared.withColumn("kid", F.monotonically_increasing_id()), "shared")
     keys = _keys(prof)
     if freq is not None:
         rated = with_specificity(keys.select("kind", "key").distinct(), freq, total)
         keys = keys.join(rated, ["kind", "key"])
-    return hits.join(stage(keys, "keys"), ["owner", "slot"]).drop("owner", "slot")
+    names = keys.select(F.col("owner").alias("id"), "slot", F.struct(*(c for c in keys.columns if c not in ("owner", "slot"))).alias("name"))
+    # a claim names the key of rule 2, an object that of rule 5, either side that of the others
+    slot = lambda n: F.when(F.col("rule") != (5, 2)[n], F.col("rule").cast("long") * PLACES + F.col("i"))
+    side = lambda df, n: df.join(shared, ["rule", "key"]).select("id", F.col("rule").cast("int").alias("rule"), "kid", "i", F.lit(n).alias("side"), slot(n).alias("slot"))
+    rows = side(left, 0).unionByName(side(right, 1)).join(names, ["id", "slot"], "left").drop("slot")
+    n = max(-(-prof.count() // BLOCK), int(np.ceil(np.sqrt(8 * spark.sparkContext.defaultParallelism))))
+    bounds = prof.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10_000).alias("v")).first().v or []
+    rows = rows.withColumn("block", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda v: v < F.col("id"))))
+    blocks = stage(heavy_groups(rows, "block").applyInArrow(_packed, "block int, data binary"), "blocks")
+    own = F.col("block")
+    tiles = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(len(bounds))))).select(F.least(own, "with").alias("lo"), F.greatest(own, "with").alias("hi"), "block", "data")
+    # every tile is a task of its own
+    tiles = tiles.repartitionById((len(bounds) + 1) * (len(bounds) + 2) // 2, (F.col("hi") * (F.col("hi") + 1) / 2 + F.col("lo")).cast("int"))
+    step, of = TASK_PAIRS, names.schema["name"].dataType
+
+    def run(batches):
+        got = {r["block"]: r for batch in batches for r in batch.to_pylist()}
+        for r in list(got.values())[:1]:
+            if r["lo"] in got and r["hi"] in got:
+                a, b = (pa.ipc.open_stream(got[r[end]]["data"]).read_all() for end in ("lo", "hi"))
+                yield from Tile(a, b, r["lo"] == r["hi"]).run(step)
+
+    lists = tiles.mapInArrow(run, "a long, bs array<long>, priority int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in of))
+    return lists.select("a", F.explode("bs").alias("b"), "priority", *of.names)
+
+
+def _packed(t: pa.Table) -> pa.Table:
+    """The rows of one block as one row of compressed data."""
+    block = t.column("block")[0].as_py()
+    t = t.drop_columns("block").combine_chunks().sort_by([("side", "ascending"), ("kid", "ascending"), ("id", "ascending")])
+    flat = t.drop_columns("name")
+    for f, v in zip(t.column("name").combine_chunks().type, t.column("name").combine_chunks().flatten()):
+        flat = flat.append_column(f"name.{f.name}", v)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, flat.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(flat)
+    return pa.table({"block": pa.array([block], pa.int32()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+class Tile:
+    """The connections of the profiles of block ``a`` with those of block ``b``, whose ids are higher or, in the same
+    block, the same."""
+
+    FREE = np.iinfo(np.int64).max
+
+    def __init__(self, a: pa.Table, b: pa.Table, same: bool):
+        self.same = same
+        get = lambda t, c: t.column(c).to_numpy()
+        both = [{c: get(t, c) for c in ("id", "rule", "kid", "i", "side")} for t in (a, b)]
+        if max(x["i"].max(initial=-1) for x in both) >= PLACES:
+            raise ValueError(f"a profile list of more than {PLACES} elements")
+        self.ids = [np.unique(x["id"]) for x in both]
+        at = [np.searchsorted(ids, x["id"]) for ids, x in zip(self.ids, both)]
+        self._name(a, b, both, at)
+        rows, cols = both
+        kids = np.unique(cols["kid"])
+        k = np.minimum(np.searchsorted(kids, rows["kid"]), len(kids) - 1)
+        meet = np.nonzero(kids[k] == rows["kid"])[0]
+        # group: the side of a and the key; posted: where the higher profiles of a group are
+        self.group, self.row = rows["side"][meet] * len(kids) + k[meet], at[0][meet]
+        posted = (1 - cols["side"]) * len(kids) + np.searchsorted(kids, cols["kid"])
+        order = np.argsort(posted, kind="stable")
+        self.posted, self.col = np.searchsorted(posted[order], np.arange(2 * len(kids) + 1)), at[1][order]
+        self.mine = self._part({c: v[meet] for c, v in rows.items()}, True)
+        self.other = self._part({c: v[order] for c, v in cols.items()}, False)
+
+    def _name(self, a, b, both, at) -> None:
+        """Numbers the names and the places that hold one: ``code[base[profile, rule] + position]``, higher profiles last."""
+        parts = [c for c in a.column_names if c.startswith("name.")]
+        self.parts = {c[5:]: pa.chunked_array([*a.column(c).chunks, *b.column(c).chunks]).combine_chunks() for c in parts}
+        kind, key = (self.parts[c].dictionary_encode() for c in ("kind", "key"))
+        number = lambda d: d.indices.fill_null(-1).to_numpy().astype(np.int64)
+        pair = number(kind) * (len(key.dictionary) + 1) + number(key)
+        _, first, code = np.unique(pair, return_index=True, return_inverse=True)
+        self.parts = {c: v.take(pa.array(first)) for c, v in self.parts.items()}
+        join = lambda c: np.concatenate([x[c] for x in both])
+        rule, i = join("rule"), join("i")
+        place = np.concatenate([at[0], at[1] + len(self.ids[0])]) * 6 + rule
+        holds = np.nonzero(rule != np.where(join("side") == 0, 5, 2))[0]
+        room = np.zeros((len(self.ids[0]) + len(self.ids[1])) * 6, np.int64)
+        np.maximum.at(room, place[holds], i[holds] + 1)
+        self.base = np.cumsum(room) - room
+        self.code = np.zeros(int(room.sum()), np.int64)
+        self.code[self.base[place[holds]] + i[holds]] = code[holds]
+
+    @staticmethod
+    def _part(x: dict, lower: bool) -> np.ndarray:
+        """What one end adds to the rank of a pair; the rank is the sum of both."""
+        rule, i = x["rule"], x["i"].astype(np.int64)
+        left = x["side"] == 0
+        first = np.int64(PLACES) * PLACES  # weights of the rank's places
+        own = np.select([rule == 1, rule == 2, rule == 5], [i * first if lower else i * 0, np.where(left, i * PLACES, 0), np.where(left, i * PLACES, i)], i * first if lower else i * PLACES)
+        if not lower:
+            return own
+        kind = np.array([0, *PRIORITY.values()])[rule] - 1
+        way = np.where(((rule == 2) | (rule == 5)) & ~left, first, 0)
+        return (kind.astype(np.int64) << 60) + way + own + (rule == 4)
+
+    def run(self, step: int):
+        """Record batches of (a, bs, priority, *name), bs being a list of b."""
+        (na, nb), high = map(len, self.ids), len(self.ids[0])
+        size = max(1, step // nb)
+        order = np.lexsort((self.row, self.group, self.row // size))
+        group, row, mine = self.group[order], self.row[order], self.mine[order]
+        cut = np.searchsorted(row // size, np.arange(-(-na // size) + 1))
+        best = np.empty(min(size, na) * nb, np.int64)
+        for s in range(len(cut) - 1):
+            if cut[s] == cut[s + 1]:
+                continue
+            best.fill(self.FREE)
+            g = group[cut[s] : cut[s + 1]]
+            edges = cut[s] + np.concatenate([[0], np.nonzero(np.diff(g))[0] + 1, [len(g)]])
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                p, q = self.posted[group[x]], self.posted[group[x] + 1]
+                if p < q:
+                    at = ((row[x:y] - s * size) * nb)[:, None] + self.col[p:q]
+                    best[at] = np.minimum(best[at], mine[x:y, None] + self.other[p:q])
+            if self.same:
+                for r in range(min(size, na - s * size)):
+                    best[r * nb : r * nb + s * size + r + 1] = self.FREE
+            hit = np.nonzero(best != self.FREE)[0]
+            if not len(hit):
+                continue
+            rank = best[hit]
+            r = hit // nb
+            c = hit - r * nb
+            r += s * size
+            place = lambda k: (rank >> 20 * k) & (PLACES - 1)
+            kind, o1, o3 = rank >> 60, place(2), place(0)
+            theirs = ((kind == 1) & (o1 == 1)) | ((kind == 3) & (o1 == 0))
+            rule = np.array([1, 2, 3, 5])[kind] + np.where(kind == 2, o3, 0)
+            i = np.where(kind == 1, place(1), np.where(kind == 3, o3, o1))
+            code = self.code[self.base[np.where(theirs, c + high, r) * 6 + rule] + i]
+            # lists of one a, name and priority: profile, name, priority and b in one number
+            names, bits = len(self.parts["key"]), nb.bit_length()
+            run = np.sort(((((r - s * size) * names + code) * 4 + kind) << bits) + c)
+            c = run & ((1 << bits) - 1)
+            run >>= bits
+            start = np.concatenate([[0], np.nonzero(np.diff(run))[0] + 1])
+            of = run[start]
+            bs = pa.ListArray.from_arrays(pa.array(np.append(start, len(c)), pa.int32()), pa.array(self.ids[1][c]))
+            lower, priority, take = self.ids[0][of // 4 // names + s * size], (of % 4 + 1).astype(np.int32), pa.array(of // 4 % names)
+            yield pa.RecordBatch.from_arrays([pa.array(lower), bs, pa.array(priority), *(v.take(take) for v in self.parts.values())], ["a", "bs", "priority", *self.parts])
 
 
 #: The priority of a rule of ``_occurrences``.
