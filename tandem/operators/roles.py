@@ -188,9 +188,9 @@ TASK_PAIRS = 500_000
 BLOCK = 1 << 15
 
 
-def connect_all(prof: DataFrame, freq: DataFrame | None = None, total: int | None = None) -> DataFrame:
+def connect_all(prof: DataFrame, freq: DataFrame | None = None, total: int | None = None, digits: int | None = None) -> DataFrame:
     """(a, b, priority, kind, key) of all pairs a < b of profiles that a rule connects, the same as ``connect`` over every
-    pair; with ``freq`` and ``total`` also the specificity.
+    pair; with ``freq`` and ``total`` also the specificity, rounded to ``digits`` once for each key.
 
     Where several rules or positions connect a pair, the first counts: a rank of priority and positions is packed into
     one number, and its smallest names the key.  Profiles are cut into blocks by id, and a tile of two blocks ranks its
@@ -203,7 +203,7 @@ def connect_all(prof: DataFrame, freq: DataFrame | None = None, total: int | Non
     keys = _keys(prof)
     if freq is not None:
         rated = with_specificity(keys.select("kind", "key").distinct(), freq, total)
-        keys = keys.join(rated, ["kind", "key"])
+        keys = keys.join(rated if digits is None else rated.withColumn("specificity", F.round("specificity", digits)), ["kind", "key"])
     names = keys.select(F.col("owner").alias("id"), "slot", F.struct(*(c for c in keys.columns if c not in ("owner", "slot"))).alias("name"))
     # a claim names the key of rule 2, an object that of rule 5, either side that of the others
     slot = lambda n: F.when(F.col("rule") != (5, 2)[n], F.col("rule").cast("long") * PLACES + F.col("i"))

@@ -426,12 +426,12 @@ def role_join(spark, d):
 
 def _rated(spark, d):
     prof = stage(roles.profiles(_profiled(spark, d)), "profiles")
-    return roles.connect_all(prof, roles.frequencies(prof), prof.count())
+    return roles.connect_all(prof, roles.frequencies(prof), prof.count(), digits=6)
 
 
 @query
 def role_specificity(spark, d):
-    return _rated(spark, d).select("a", "b", "priority", r6(F.col("specificity")).alias("specificity"))
+    return _rated(spark, d).select("a", "b", "priority", "specificity")
 
 
 @query

@@ -42,3 +42,15 @@ def test_no_profiles_and_one_profile(spark):
     prof = some_profiles(spark, 0, 0)
     for few in (prof.filter("false"), prof.limit(1)):
         assert roles.connect_all(stage(few, "profiles")).count() == 0
+
+
+def test_specificity_is_found_in_the_tiles_and_rounded_once_a_key(spark):
+    prof = some_profiles(spark, 120, 3)
+    freq, total = stage(roles.frequencies(prof), "frequencies"), prof.count()
+    got = roles.connect_all(prof, freq, total, digits=6)
+    assert not above_the_tiles(got)
+    assert "round" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    want = roles.with_specificity(every_pair(prof).select("a", "b", "priority", "kind", "key"), freq, total).withColumn("specificity", F.round("specificity", 6))
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted(tuple(r) for r in want.select(*got.columns).collect())
+    assert len({r[-1] for r in rows}) > 5
