@@ -243,6 +243,20 @@ def _packed(t: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([block], pa.int32()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
+def _part(x: dict, lower: bool) -> np.ndarray:
+    """What the lower or the higher end of a pair adds to its rank by occurrences ``x``; the rank is the sum of both."""
+    rule, i = x["rule"], x["i"].astype(np.int64)
+    left = x["side"] == 0
+    first = np.int64(PLACES) * PLACES
+    rest = i * first if lower else i * PLACES
+    own = np.select([rule == 1, rule == 2, rule == 5], [rest if lower else i * 0, np.where(left, i * PLACES, 0), np.where(left, i * PLACES, i)], rest)
+    if not lower:
+        return own
+    kind = np.array([0, *PRIORITY.values()])[rule] - 1
+    way = np.where(((rule == 2) | (rule == 5)) & ~left, first, 0)
+    return (kind.astype(np.int64) << 60) + way + own + (rule == 4)
+
+
 class Tile:
     """The connections of the profiles of block ``a`` with those of block ``b``, whose ids are higher or, in the same
     block, the same."""
@@ -267,8 +281,8 @@ class Tile:
         posted = (1 - cols["side"]) * len(kids) + np.searchsorted(kids, cols["kid"])
         order = np.argsort(posted, kind="stable")
         self.posted, self.col = np.searchsorted(posted[order], np.arange(2 * len(kids) + 1)), at[1][order]
-        self.mine = self._part({c: v[meet] for c, v in rows.items()}, True)
-        self.other = self._part({c: v[order] for c, v in cols.items()}, False)
+        self.mine = _part({c: v[meet] for c, v in rows.items()}, True)
+        self.other = _part({c: v[order] for c, v in cols.items()}, False)
 
     def _name(self, a, b, both, at) -> None:
         """Numbers the names and the places that hold one: ``code[base[profile, rule] + position]``, higher profiles last."""
@@ -289,19 +303,6 @@ class Tile:
         self.code = np.zeros(int(room.sum()), np.int64)
         self.code[self.base[place[holds]] + i[holds]] = code[holds]
 
-    @staticmethod
-    def _part(x: dict, lower: bool) -> np.ndarray:
-        """What one end adds to the rank of a pair; the rank is the sum of both."""
-        rule, i = x["rule"], x["i"].astype(np.int64)
-        left = x["side"] == 0
-        first = np.int64(PLACES) * PLACES  # weights of the rank's places
-        own = np.select([rule == 1, rule == 2, rule == 5], [i * first if lower else i * 0, np.where(left, i * PLACES, 0), np.where(left, i * PLACES, i)], i * first if lower else i * PLACES)
-        if not lower:
-            return own
-        kind = np.array([0, *PRIORITY.values()])[rule] - 1
-        way = np.where(((rule == 2) | (rule == 5)) & ~left, first, 0)
-        return (kind.astype(np.int64) << 60) + way + own + (rule == 4)
-
     def run(self, step: int):
         """Record batches of (a, bs, priority, *name), bs being a list of b."""
         (na, nb), high = map(len, self.ids), len(self.ids[0])
@@ -394,8 +395,8 @@ class Admission:
             raise ValueError(f"a profile list of more than {PLACES} elements")
         self.kind, self.n = kind, int(who.max(initial=-1)) + 1
         names, key = np.unique(kid, return_inverse=True)
-        self.rule = np.zeros(len(names), np.int64)
-        self.rule[key] = rule
+        self.keys = len(names)
+        low, high = (_part({"rule": rule, "i": i, "side": side}, lower) for lower in (True, False))
         mine = np.array([0, *PRIORITY.values()])[rule] == kind
         # a connection is looked up by its lower image (1 and 3), by its claim (2) or by its object (4)
         owner = mine & {1: True, 2: side == 0, 3: True, 4: side == 1}[kind]
@@ -405,7 +406,7 @@ class Admission:
         for s in (0, 1):
             at = np.nonzero(side == s)[0]
             at = at[np.argsort(who[at], kind="stable")]
-            self.held.append((np.searchsorted(who[at], np.arange(self.n + 1)), key[at], i[at].astype(np.int64), level[at]))
+            self.held.append((np.searchsorted(who[at], np.arange(self.n + 1)), key[at], low[at], high[at], level[at]))
             at = at[np.argsort(key[at], kind="stable")]
             self.posted.append((np.searchsorted(key[at], np.arange(len(names) + 1)), who[at]))
         at = np.nonzero(owner)[0]
@@ -416,9 +417,9 @@ class Admission:
 
     def _mark(self, a: int) -> list[np.ndarray]:
         marked = []
-        for s, (start, key, i, level) in enumerate(self.held):
+        for s, (start, key, low, _, level) in enumerate(self.held):
             cut = slice(start[a], start[a + 1])
-            self.place[s][key[cut]], self.rung[s][key[cut]] = i[cut], level[cut]
+            self.place[s][key[cut]], self.rung[s][key[cut]] = low[cut], level[cut]
             marked.append(key[cut])
         return marked
 
@@ -426,18 +427,13 @@ class Admission:
         """Which of the higher profiles ``some`` the marked one is connected with by this priority and level, by the
         same ranks as in ``connect_all``."""
         ends, ranks, levels = [], [], []
-        for s, (start, key, i, own) in enumerate(self.held):
+        for s, (start, key, _, high, own) in enumerate(self.held):
             n = start[some + 1] - start[some]
             at = _ranges(start[some], n)
             k = key[at]
             hit = self.place[1 - s][k] >= 0
             at, k, end = at[hit], k[hit], np.repeat(np.arange(len(some)), n)[hit]
-            rule, here, there = self.rule[k], self.place[1 - s][k], i[at]
-            way, x, y = 1 - s, *((here, there) if s else (there, here))
-            zero = np.zeros_like(x)
-            one, two, three = (np.select([rule == 1, rule == 2, rule == 5], v, w) for v, w in (([here, zero + way, zero + way], here), ([zero, x, x], there), ([zero, zero, y], rule - 3)))
-            code = np.array([0, *PRIORITY.values()])[rule] - 1
-            ranks.append(((code * PLACES + one) * PLACES + two) * PLACES + three)
+            ranks.append(self.place[1 - s][k] + high[at])
             theirs = (self.kind == 2 and s == 0) or (self.kind == 4 and s == 1)
             levels.append(own[at] if theirs else self.rung[1 - s][k])
             ends.append(end)
@@ -449,47 +445,85 @@ class Admission:
         out[end[good]] = True
         return out
 
-    def _jobs(self, level: int, room: np.ndarray) -> dict[int, list[np.ndarray]]:
-        """The profiles with room that may be the lower end of a connection of this level: the sorted others to try."""
+    def _lists(self, level: int, room: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(profiles that may be the lower end of a connection of this level, others to try), both sorted and with room."""
         side, key, who, start = self.own
         cut = slice(start[level], start[level + 1])
         side, key, who = side[cut], key[cut], who[cut]
-        jobs: dict[int, list[np.ndarray]] = {}
-        edges = np.nonzero(np.diff(side * len(self.rule) + key, prepend=-1, append=-1))[0] if len(key) else []
+        lists = []
+        edges = np.nonzero(np.diff(side * self.keys + key, prepend=-1, append=-1))[0] if len(key) else []
         for x, y in zip(edges[:-1], edges[1:]):
             begin, posted = self.posted[1 - side[x]]
             other = posted[begin[key[x]] : begin[key[x] + 1]]
             mine, other = who[x:y][room[who[x:y]] > 0], other[room[other] > 0]
             if len(mine) and len(other):
                 for p, q in ((mine, other), (other, mine))[: 2 if self.kind in (2, 4) else 1]:
-                    for a in p[p < q[-1]].tolist():
-                        jobs.setdefault(a, []).append(q)
-        return jobs
+                    p = p[: np.searchsorted(p, q[-1])]
+                    if len(p):
+                        lists.append((p, q))
+        return lists
 
     def run(self, cap: int) -> tuple[np.ndarray, np.ndarray]:
         """(a, b) of the admitted connections."""
         room, got = np.full(self.n, cap), []
         for level in range(len(self.levels)):
-            jobs = self._jobs(level, room)
-            for a in sorted(jobs):
+            lists = self._lists(level, room)
+            if not lists:
+                continue
+            others = [q for _, q in lists]
+            lower = np.concatenate([p for p, _ in lists])
+            of = np.repeat(np.arange(len(lists)), [len(p) for p, _ in lists])
+            order = np.argsort(lower, kind="stable")
+            lower, of, at, idle = lower[order], of[order], 0, 0
+            open_ = np.ones(len(lists), bool)
+            while at < len(lower):
+                # lists without room at higher profiles and profiles without room leave once they are many
+                if idle > 64 + (len(lower) - at) // 4:
+                    keep = open_[of[at:]] & (room[lower[at:]] > 0)
+                    lower, of, at, idle = lower[at:][keep], of[at:][keep], 0, 0
+                    continue
+                a, mine = int(lower[at]), []
+                begin = at
+                while at < len(lower) and lower[at] == a:
+                    mine.append(int(of[at]))
+                    at += 1
                 if not room[a]:
+                    idle += at - begin
                     continue
-                lists = [q[np.searchsorted(q, a, "right") :] for q in jobs[a]]
-                marked, wide = None, 64
-                while room[a] and lists:
-                    # the next ones of every list, up to where each of them is known
-                    bound = min((q[wide - 1] for q in lists if len(q) > wide), default=self.n)
-                    some = [q[:wide][q[:wide] <= bound] for q in lists]
-                    lists = [q[len(s) :] for q, s in zip(lists, some) if len(q) > len(s)]
-                    some = some[0] if len(some) == 1 else np.unique(np.concatenate(some))
-                    some, wide = some[room[some] > 0], 2 * wide
-                    if len(some):
-                        marked = marked or self._mark(a)
-                        for b in some[self._connected(some, level)][: room[a]].tolist():
-                            got.append((a, b))
-                            room[a] -= 1
-                            room[b] -= 1
-                for s, key in enumerate(marked or []):
-                    self.place[s][key] = self.rung[s][key] = -1
+                tails = []
+                for x in mine:
+                    if not open_[x]:
+                        idle += 1
+                        continue
+                    q = others[x]
+                    q = q[q.searchsorted(a, "right") :]
+                    if 2 * np.count_nonzero(room[q[:64]]) < min(len(q), 64):
+                        q = q[room[q] > 0]
+                    others[x] = q
+                    if len(q):
+                        tails.append(q)
+                    else:
+                        open_[x] = False
+                if tails:
+                    self._admit(a, tails, level, room, got)
         a, b = np.array(got, np.int64).reshape(-1, 2).T
         return a, b
+
+    def _admit(self, a: int, lists: list[np.ndarray], level: int, room: np.ndarray, got: list) -> None:
+        """Admits the first connections of ``a`` with the profiles of ``lists`` that there is room for."""
+        marked, wide = None, 64
+        while room[a] and lists:
+            # the next ones of every list, up to where each of them is known
+            bound = min((q[wide - 1] for q in lists if len(q) > wide), default=self.n)
+            some = [q[:wide][q[:wide] <= bound] for q in lists]
+            lists = [q[len(s) :] for q, s in zip(lists, some) if len(q) > len(s)]
+            some = some[0] if len(some) == 1 else np.unique(np.concatenate(some))
+            some, wide = some[room[some] > 0], 2 * wide
+            if len(some):
+                marked = marked or self._mark(a)
+                for b in some[self._connected(some, level)][: room[a]].tolist():
+                    got.append((a, b))
+                    room[a] -= 1
+                    room[b] -= 1
+        for s, key in enumerate(marked or []):
+            self.place[s][key] = self.rung[s][key] = -1
