@@ -4,24 +4,27 @@ Equal vectors share a class.  Class vectors are cut into shards around centroids
 sample, and shards that are still large around centroids of their own, as often as it takes.  Each
 shard builds its graph over projected vectors and beam-searches the vectors it is the nearest shard
 of, or nearly the nearest; survivors are re-ranked with exact double cosine.  A pair that one end's
-search finds counts for both ends.
+search finds counts for both ends.  Shards are searched in waves: copies of the vectors are only on disk
+for the shards of one wave.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.llm import graph as G
 from tandem.operators.scan import ranged_positions
-from tandem.runtime import heavy_groups, stage
+from tandem.runtime import heavy_groups, release, stage, stored_bytes
 
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
     os.environ.setdefault(_name, "1")
@@ -34,7 +37,8 @@ class NeighbourParams:
     the next nearest shards, ``probes`` in all, whose centroids are less than this much less similar;
     most_cells: bound of one centroid table; sample, local: bounds of the vectors that the first and all further tables are fitted
     on; chunk: queries handled by one task; refine: candidates per neighbour kept that are re-ranked
-    exactly; slack: by how much a projected cosine may be below the limit for that.  The index holds every
+    exactly; slack: by how much a projected cosine may be below the limit for that; wave: copies of vectors that
+    are sent to shards at a time, or a quarter as many as there are vectors, if that is more.  The index holds every
     vector; what margin, probes, refine and slack cost is in the recall, which ``recall`` measures."""
 
     size: int = 512
@@ -52,6 +56,7 @@ class NeighbourParams:
     chunk: int = 16384
     refine: int = 4
     slack: float = 0.35
+    wave: int = 65536
     seed: int = 5
     graph: G.GraphParams = field(default_factory=G.GraphParams)
 
@@ -111,8 +116,10 @@ def _project(x: np.ndarray, proj: np.ndarray) -> np.ndarray:
 
 def _sample(reps: DataFrame, p: NeighbourParams) -> np.ndarray:
     """A bounded, repeatable sample of class vectors at length 1: the smallest hashes of their ids."""
-    rows = reps.orderBy(F.xxhash64("cid"), "cid").limit(p.sample).select("vec").toArrow()
-    return _unit(_matrix(rows.column(0).combine_chunks(), p.size)).astype(np.float32)
+    # ids are sorted alone: every task would send its own first vectors, which are all of them
+    first = reps.select("cid", F.xxhash64("cid").alias("h")).distinct().orderBy("h", "cid").limit(p.sample)
+    rows = reps.join(F.broadcast(first), "cid").select("h", "cid", "vec").toArrow().sort_by([("h", "ascending"), ("cid", "ascending")])
+    return _unit(_matrix(rows.column("vec").combine_chunks()[: p.sample], p.size)).astype(np.float32)
 
 
 def _centroids(sample: np.ndarray, cells: int, p: NeighbourParams) -> np.ndarray:
@@ -187,8 +194,20 @@ def _split(rows: DataFrame, sizes: DataFrame, p: NeighbourParams) -> DataFrame:
     return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(deal, DEALT)
 
 
+def _waves(asked: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges (first, end) of consecutive shards that ``most`` copies go to at a time; a larger shard is one of its own."""
+    out, first, held = [], 0, 0
+    for shard, n in enumerate(asked.tolist()):
+        if held and held + n > most:
+            out, first, held = [*out, (first, shard)], shard, 0
+        held += n
+    return [*out, (first, len(asked))] if held else out
+
+
 def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
-    """(cid, nid, sim): for every class its most similar other classes among those its shards hold."""
+    """(cid, nid, sim): for every class its most similar other classes among those its shards hold.
+
+    ``reps`` is a staged table, which is deleted once its vectors have their shards."""
     spark = reps.sparkSession
     n = reps.count()
     if n == 0:
@@ -197,34 +216,70 @@ def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
     # the centroid table has at most most_cells vectors (16 MB)
     shared = spark.sparkContext.broadcast(_centroids(_sample(reps, p), cells, p))
 
-    def survey(batches):
-        """Per task and shard: the vectors at home in it and those that ask in it."""
-        cent = shared.value
-        home, asked = np.zeros(len(cent), np.int64), np.zeros(len(cent), np.int64)
+    def place(batches):
+        """The shards that each vector asks, its own first."""
         for b in batches:
-            if len(b):
-                near, ask = _closest(_matrix(b.column(0), p.size), cent, p)
-                home += np.bincount(near[:, 0], minlength=len(cent))
-                asked += np.bincount(near[ask], minlength=len(cent))
-        at = np.nonzero(asked)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(home[at]), pa.array(asked[at])], names=["shard", "home", "asked"])
+            for at in range(0, len(b), 2048):
+                cut = b.slice(at, 2048)
+                near, ask = _closest(_matrix(cut.column(1), p.size), shared.value, p)
+                ends = np.concatenate([[0], np.cumsum(ask.sum(1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(near[ask].astype(np.int32))), cut.column(1)], names=["cid", "shards", "vec"])
+
+    placed = stage(reps.select("cid", "vec").mapInArrow(place, "cid long, shards array<int>, vec array<float>"), "placed")
+    release(reps)
+    _tidy(spark)
+    counted = placed.select(F.posexplode("shards")).groupBy("col").agg(F.count_if(F.col("pos") == 0).alias("home"), F.count("*").alias("asked"))
+    # one row a shard, at most most_cells
+    sizes = stage(counted.select(F.col("col").cast("long").alias("shard"), "home", "asked"), "sizes")
+    asked = np.zeros(cells, np.int64)
+    for r in sizes.collect():
+        asked[r.shard] = r.asked
+    ways: list[DataFrame] = []
+    for first, end in _waves(asked, max(p.wave, n // 4)):
+        kept = [sizes.filter(F.col("shard").between(first, end - 1))]
+        ways.append(stage(_search(placed, first, end, kept, p), "ways"))
+        release(*kept[1:])
+        kept.clear()
+        _tidy(spark)
+    release(placed, sizes)
+    found = ways[0]
+    for part in ways[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _tidy(spark) -> None:
+    """Spark deletes the shuffle files of what has been staged as soon as nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _search(placed: DataFrame, first: int, end: int, kept: list[DataFrame], p: NeighbourParams) -> DataFrame:
+    """(cid, nid, sim) of the shards from ``first`` to before ``end``.  ``kept``: the sizes of these shards; gets what is staged."""
 
     def deal(batches):
         for b in batches:
-            if len(b):
-                every = np.ones(len(b), bool)
-                yield from _emit(0, b.column(0), every, every, _matrix(b.column(1), p.size), shared.value, p)
-
-    sizes = reps.select("vec").mapInArrow(survey, "shard long, home long, asked long").groupBy("shard").agg(F.sum("home").alias("home"), F.sum("asked").alias("asked"))
-    sizes = stage(sizes, "sizes")
-    rows = reps.select("cid", "vec").mapInArrow(deal, DEALT)
-    done: list[DataFrame] = []
+            for at in range(0, len(b), 2048):
+                cut = b.slice(at, 2048)
+                shards = cut.column(1)
+                flat, count = shards.flatten().to_numpy(), pa.compute.list_value_length(shards).to_numpy()
+                row, place = np.repeat(np.arange(len(cut)), count), np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+                here = (flat >= first) & (flat < end)
+                idx = pa.array(row[here])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[here].astype(np.int64)), cut.column(0).take(idx), pa.array(place[here] == 0), pa.array(np.ones(len(idx), bool)), _packed(_matrix(cut.column(2), p.size)).take(idx)], names=["shard", "cid", "held", "asks", "vec"])
+
+    rows = placed.filter(F.exists("shards", lambda s: (s >= first) & (s < end))).select("cid", "shards", "vec").mapInArrow(deal, DEALT)
+    sizes, done = kept[0], []
     large = F.col("home") > p.largest * p.cell
     while sizes.filter(large).limit(1).count():
         big = sizes.filter(large).select("shard", "home", F.col("asked").alias("total"))
-        done.append(rows.join(big, "shard", "left_anti").select("shard", "cid", "held", "asks", "vec"))
-        rows = stage(_split(stage(rows.join(big.select("shard"), "shard", "left_semi"), "dealt"), big, p), "dealt")
+        done.append(rows.join(F.broadcast(big), "shard", "left_anti").select("shard", "cid", "held", "asks", "vec"))
+        whole = stage(rows.join(F.broadcast(big.select("shard")), "shard", "left_semi"), "dealt")
+        rows = stage(_split(whole, big, p), "dealt")
+        release(whole)
+        _tidy(rows.sparkSession)
         sizes = stage(rows.groupBy("shard").agg(F.count_if("held").alias("home"), F.count_if("asks").alias("asked")), "sizes")
+        kept += [rows, sizes]
     for part in done:
         rows = rows.unionByName(part)
     # a shard that very many vectors ask is searched by several tasks, each with the whole shard and its own queries
@@ -281,6 +336,10 @@ def _search_shard(p: NeighbourParams):
     return run
 
 
+#: Bytes of a stored table of keys that is sent to every executor at most.
+SENT = 16_000_000
+
+
 def nearest(df: DataFrame, id_col: str, vec_col: str, p: NeighbourParams | None = None) -> DataFrame:
     """(id, neighbour, sim): for every usable vector its up to ``k`` most similar others, cosine in double
     rounded to 6 decimals and at least ``limit``, equal ones by smaller id.
@@ -295,13 +354,15 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, p: NeighbourParams | None
     # Vectors that come once go on as they are; only repeated ones are shuffled, one row per map task.  The table
     # of repeated keys has a known size, by which the planner broadcasts or shuffles it.
     many = stage(named.filter("n > 1").select("ka", "kb"), "repeated")
-    single = rows.join(many, ["ka", "kb"], "left_anti").select(F.col("id").alias("cid"), "vec")
-    merged = rows.join(many, ["ka", "kb"], "left_semi").groupBy("ka", "kb").agg(F.min("id").alias("cid"), F.first("vec").alias("vec")).select("cid", "vec")
+    # up to a million keys or so go to every executor, so that vectors aren't shuffled for them
+    dealt = F.broadcast(many) if stored_bytes(many) <= SENT else many
+    single = rows.join(dealt, ["ka", "kb"], "left_anti").select(F.col("id").alias("cid"), "vec")
+    merged = rows.join(dealt, ["ka", "kb"], "left_semi").groupBy("ka", "kb").agg(F.min("id").alias("cid"), F.first("vec").alias("vec")).select("cid", "vec")
     reps = stage(single.unionByName(merged), "vectors")
     few = ranged_positions(keyed.join(many, ["ka", "kb"], "left_semi"), ["ka", "kb"], [F.col("id").asc()], copies=["ka", "kb", "id"], keep=p.k + 1, label="copies")
     twins = few.join(named, ["ka", "kb"]).select("cid", F.col("id").alias("member"))
     heads = stage(named.filter("n = 1").select("cid", F.col("cid").alias("member")).unionByName(twins), "heads")
-    ways = stage(class_neighbours(reps.select("cid", "vec"), p), "ways")
+    ways = class_neighbours(reps.select("cid", "vec"), p)
     # what one end's search finds holds for the other end as well; a class that many find keeps its best ones only
     either = ways.unionByName(ways.select(F.col("nid").alias("cid"), F.col("cid").alias("nid"), "sim")).distinct()
     best_first = Window.partitionBy("cid").orderBy(F.col("sim").desc(), "nid")

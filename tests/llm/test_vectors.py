@@ -1,9 +1,12 @@
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tandem.llm import graph as G
-from tandem.llm.neighbours import NeighbourParams, _packed, _unpacked, nearest, recall
+from tandem import runtime
+from tandem.llm.neighbours import NeighbourParams, _packed, _unpacked, _waves, nearest, recall
 
 
 def clustered(n, d, rng, families=12):
@@ -88,3 +91,26 @@ def test_packed_vectors_come_back():
     col = _packed(x)
     assert (_unpacked(col, 6) == x).all() and (_unpacked(pa.chunked_array([col.slice(2, 3), col.take(pa.array([0]))]), 6) == x[[2, 3, 4, 0]]).all()
     assert len(col[0].as_py()) == 12 and len(col[1].as_py()) == 24 and _unpacked(col.slice(0, 0), 6).shape == (0, 6)
+
+
+def test_waves_cover_every_shard_once():
+    asked = np.array([0, 3, 3, 9, 0, 2, 2, 2, 0])
+    waves = _waves(asked, 6)
+    assert [s for a, b in waves for s in range(a, b)] == list(range(9)) and all(asked[a:b].sum() <= 6 or (asked[a:b] > 0).sum() == 1 for a, b in waves)
+    assert not _waves(np.zeros(3, int), 6)
+
+
+def test_waves_find_the_same_and_leave_no_vectors_behind(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = clustered(900, 64, rng)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "imageid long, embedding array<float>")
+    p = NeighbourParams(size=64, dims=32, cell=30, local=128, chunk=64, largest=2.0)
+    got = []
+    for wave in (10**6, 1):
+        shared = tmp_path / str(wave)
+        monkeypatch.setattr(runtime, "shared_folder", lambda spark, at=shared: f"file://{at}")
+        found = nearest(df, "imageid", "embedding", replace(p, wave=wave))
+        assert len(list(shared.glob("ways-*"))) == 1 if wave > 1 else len(list(shared.glob("ways-*"))) > 1
+        assert not [f for n in ("vectors", "placed", "dealt") for f in shared.glob(f"{n}-*")]
+        got.append({(r.id, r.neighbour) for r in found.collect()})
+    assert got[0] == got[1] and len(got[0]) > 1000
