@@ -29,3 +29,29 @@ def test_parts_give_the_edges_of_the_whole(spark, monkeypatch, blocks):
 
 def test_blocks_grow_with_the_work():
     assert scoring._block(1e4, 6, 512) == 512 and scoring._block(5e9, 6, 512) == scoring.MOST and 512 < scoring._block(1e8, 6, 512) < scoring.MOST
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+@pytest.mark.parametrize("part", (7, 512))
+def test_a_tile_keeps_no_more_than_its_pools_take(spark, monkeypatch, part):
+    t = core._prepared(spark, DATA).drop("cl").toArrow()
+    monkeypatch.setattr(scoring, "PART", part)
+    zero = pa.array([0] * len(t), pa.int32())
+    got = scoring._tile(3, 0.2, 0.55, 2)(t.append_column("own", zero).append_column("i", zero).append_column("j", zero))
+    b = scoring.Block(t, np.argsort(t.column("id").to_numpy()))
+    s = {n: np.round(v, 9) if v.dtype == float else v for n, v in scoring.score_tile(b, b).items()}
+    ok = (s["composite"] > 0) & ~s["burst"] & ~np.eye(len(b.id), dtype=bool)
+    want = set()
+    for name, where, n in (("composite", ok, 3), ("thematic", ok & (s["thematic"] >= 0.2), 30), ("geometric", ok, 2), ("geometric", ok & (s["gmode"] != 0), 1), ("aesthetic", ok & (s["aesthetic"] >= 0.55), 2)):
+        for x in range(len(b.id)):
+            at = np.nonzero(where[x])[0]
+            want |= {tuple(sorted((int(b.id[x]), int(b.id[y])))) for y in at[np.lexsort((b.id[at], -s[name][x, at]))][:n]}
+    assert sorted(zip(got["a"].to_pylist(), got["b"].to_pylist())) == sorted(want) and len(want) > 100
+
+
+def test_near_colours_are_measured_exactly():
+    rng = np.random.default_rng(1)
+    p, q = rng.normal(0, 60, (9, 18)), rng.normal(0, 60, (5, 18))
+    q[0], q[1] = p[0], p[1] + 1e-7
+    want = [[sum(np.linalg.norm(x[i : i + 3] - y[j : j + 3]) for i in range(0, 18, 3) for j in range(0, 18, 3)) for y in q] for x in p]
+    assert np.abs(scoring._distances(p, q) - want).max() < 1e-9
