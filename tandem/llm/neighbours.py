@@ -10,7 +10,6 @@ for the shards of one wave.
 
 from __future__ import annotations
 
-import gc
 import math
 import os
 from dataclasses import dataclass, field
@@ -24,7 +23,7 @@ from pyspark.sql import types as T
 
 from tandem.llm import graph as G
 from tandem.operators.scan import ranged_positions
-from tandem.runtime import heavy_groups, release, stage, stored_bytes
+from tandem.runtime import heavy_groups, release, stage, stored_bytes, tidy
 
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
     os.environ.setdefault(_name, "1")
@@ -227,7 +226,7 @@ def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
 
     placed = stage(reps.select("cid", "vec").mapInArrow(place, "cid long, shards array<int>, vec array<float>"), "placed")
     release(reps)
-    _tidy(spark)
+    tidy(spark)
     counted = placed.select(F.posexplode("shards")).groupBy("col").agg(F.count_if(F.col("pos") == 0).alias("home"), F.count("*").alias("asked"))
     # one row a shard, at most most_cells
     sizes = stage(counted.select(F.col("col").cast("long").alias("shard"), "home", "asked"), "sizes")
@@ -240,7 +239,7 @@ def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
         ways.append(stage(_search(placed, first, end, kept, p), "ways"))
         release(*kept[1:])
         kept.clear()
-        _tidy(spark)
+        tidy(spark)
     release(placed, sizes)
     found = ways[0]
     for part in ways[1:]:
@@ -248,12 +247,6 @@ def class_neighbours(reps: DataFrame, p: NeighbourParams) -> DataFrame:
     return found
 
 
-def _tidy(spark) -> None:
-    """Spark deletes the shuffle files of what has been staged as soon as nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _search(placed: DataFrame, first: int, end: int, kept: list[DataFrame], p: NeighbourParams) -> DataFrame:
     """(cid, nid, sim) of the shards from ``first`` to before ``end``.  ``kept``: the sizes of these shards; gets what is staged."""
 
@@ -277,7 +270,7 @@ def _search(placed: DataFrame, first: int, end: int, kept: list[DataFrame], p: N
         whole = stage(rows.join(F.broadcast(big.select("shard")), "shard", "left_semi"), "dealt")
         rows = stage(_split(whole, big, p), "dealt")
         release(whole)
-        _tidy(rows.sparkSession)
+        tidy(rows.sparkSession)
         sizes = stage(rows.groupBy("shard").agg(F.count_if("held").alias("home"), F.count_if("asks").alias("asked")), "sizes")
         kept += [rows, sizes]
     for part in done:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import clusters, vocab
 from tandem.functions.text import filename_bases
-from tandem.runtime import heavy_groups, stage
+from tandem.runtime import heavy_groups, release, stage, tidy
 
 NAMES = sorted(vocab.CLUSTER_WEIGHTS)
 OUT = "a long, b long, aesthetic double, geometric double, thematic double, composite double, aestheticmode string, geometricmode string, flipped boolean"
@@ -328,6 +328,7 @@ def score_library(prepared: DataFrame, k: int = 50, block: int = 512, thematic_f
     Edges of a burst (300 s or variants of one file name) or with a composite of 0 or less never come.
     ``prepared`` must have one row per id; null scopes and vectors take no part."""
     rows = stage(prepared.filter("scope IS NOT NULL AND clip IS NOT NULL"), "prepared")
+    tidy(prepared.sparkSession)
     counts = stage(rows.groupBy("scope").agg(F.count("*").alias("n")), "sizes")
     block = _block(counts.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0, prepared.sparkSession.sparkContext.defaultParallelism, block)
     sizes = counts.select("scope", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -343,11 +344,13 @@ def score_cross(prepared: DataFrame, new: Column, k: int = 50, block: int = 512,
     Only tiles of a new with an old block are made, so the work is the batch times the rest and not its square.
     Images with a null vector take no part; a null ``new`` is old."""
     rows = stage(prepared.filter("clip IS NOT NULL").withColumn("fresh", F.coalesce(new, F.lit(False))), "prepared")
+    tidy(prepared.sparkSession)
     n = {r.fresh: r.n for r in rows.groupBy("fresh").agg(F.count("*").alias("n")).collect()}
     block = _block(float(n.get(True, 0)) * n.get(False, 0), prepared.sparkSession.sparkContext.defaultParallelism, block)
     n = {fresh: math.ceil(c / block) for fresh, c in n.items()}
     mine, other = n.get(True, 0), n.get(False, 0)
     if not mine or not other:
+        release(rows)
         return prepared.sparkSession.createDataFrame([], OUT)
     blocks, partners = F.when(F.col("fresh"), mine).otherwise(other), F.when(F.col("fresh"), other).otherwise(mine)
     # new blocks are numbered from 0 and old ones after them

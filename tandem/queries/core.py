@@ -17,7 +17,7 @@ from tandem.operators.features import finite
 from tandem.operators.scan import ranged_positions
 from tandem.plans import blocked, scoring
 from tandem.queries.sql import ORACLES
-from tandem.runtime import stage, stored_bytes, table
+from tandem.runtime import release, stage, stored_bytes, table, tidy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -359,7 +359,11 @@ def _prepared(spark, d):
 
 
 def _pooled(edges):
-    edges = stage(edges, "edges").withColumn("id", F.concat_ws("-", "a", "b"))
+    tiles, edges = edges, stage(edges, "edges")
+    # the images that the tiles were made of, and their shuffle files
+    release(tiles)
+    tidy(edges.sparkSession)
+    edges = edges.withColumn("id", F.concat_ws("-", "a", "b"))
     picked = pools.select_pools(edges.withColumn("structural", F.col("geometricmode") == "structural"))
     first = F.when(F.col("flipped"), F.col("b")).otherwise(F.col("a"))
     # scores come at 9 decimals: halves are sent up by hand, as engines round them differently

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,12 +55,18 @@ def stored_bytes(df: DataFrame) -> int:
 def release(*frames: DataFrame) -> None:
     """Deletes what ``stage`` wrote for tables that nothing will read any more, as those of the rounds before."""
     for df in frames:
-        for name in df.inputFiles()[:1]:
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        for name in dict.fromkeys(f.rsplit("/", 1)[0] for f in df.inputFiles()):
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
             if folder.toString().split(":", 1)[-1].lstrip("/").startswith(shared_folder(df.sparkSession).split(":", 1)[-1].lstrip("/")):
                 folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of what has been staged as soon as nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

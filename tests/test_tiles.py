@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tandem import runtime
 from tandem.plans import scoring
 from tandem.queries import core
 
@@ -55,3 +56,12 @@ def test_near_colours_are_measured_exactly():
     q[0], q[1] = p[0], p[1] + 1e-7
     want = [[sum(np.linalg.norm(x[i : i + 3] - y[j : j + 3]) for i in range(0, 18, 3) for j in range(0, 18, 3)) for y in q] for x in p]
     assert np.abs(scoring._distances(p, q) - want).max() < 1e-9
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+@pytest.mark.parametrize("name", ("library_pairs", "cross_folder_pairs"))
+def test_images_of_the_tiles_go_when_the_edges_are_staged(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(runtime, "shared_folder", lambda spark: f"file://{tmp_path}")
+    pairs = core.QUERIES[name](spark, DATA)
+    assert list(tmp_path.glob("edges-*")) and not list(tmp_path.glob("prepared-*"))
+    assert pairs.count() > 0 or name != "library_pairs"
